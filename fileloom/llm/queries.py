@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileloom.llm import chat, html_extract, mixing, pii, quality, sharding, simhash, suffix_dedup
+from fileloom.llm import chat, decontam, html_extract, mixing, pii, quality, sharding, simhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(told)))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_pii, op4_suffix_dedup, op5_sharding, op6_chat_formatting, op8_html_extraction, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_pii, op4_suffix_dedup, op5_sharding, op6_chat_formatting, op7_decontamination, op8_html_extraction, op9_simhash, op10_mixing)}
 
 _MARK = r"([\[<])(\\*)(/?(?:INST|ROLE|TURN|:)\]|/?s>)"
 
