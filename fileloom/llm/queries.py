@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileloom.llm import chat, decontam, html_extract, mixing, pii, quality, sharding, simhash, suffix_dedup
+from fileloom.llm import chat, decontam, html_extract, mixing, pii, quality, secret_scan, sharding, simhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.labelled_findings()))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.judge(docs, quality.train(docs, labels))
@@ -54,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_pii, op4_suffix_dedup, op5_sharding, op6_chat_formatting, op7_decontamination, op8_html_extraction, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_pii, op4_suffix_dedup, op5_sharding, op6_chat_formatting, op7_decontamination, op8_html_extraction, op9_simhash, op10_mixing)}
 
 _MARK = r"([\[<])(\\*)(/?(?:INST|ROLE|TURN|:)\]|/?s>)"
 
