@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fileloom.functions import formats as fm
 from fileloom.operators import archives
-from fileloom.plans.registry import convert
+from fileloom.plans.registry import converted
 
 PENDING, DONE, ERROR = "pending", "done", "error"
 #: Bytes of outputs that one archive holds at most, about; a larger batch is packed into several.
@@ -53,9 +53,9 @@ def set_target(batch: DataFrame, file_id: int, target: str) -> DataFrame:
 def convert_all(batch: DataFrame) -> DataFrame:
     """Converts pending rows that have a target; a failure is its row's error."""
     due = F.col("target").isNotNull() & (F.col("status") == PENDING)
-    done = batch.withColumn("__done", convert(F.when(due, F.col("content")), F.col("extension"), F.col("target")))
-    new = lambda name: F.when(due, F.col(f"__done.{name}")).otherwise(F.col(name)).alias(name)
-    status = F.when(~due, F.col("status")).when(F.col("__done.error").isNull(), DONE).otherwise(ERROR)
+    done = converted(batch, F.when(due, F.col("content")), F.col("extension"), F.col("target"))
+    new = lambda name: F.when(due, F.col(f"__{name}")).otherwise(F.col(name)).alias(name)
+    status = F.when(~due, F.col("status")).when(F.col("__error").isNull(), DONE).otherwise(ERROR)
     return done.select("id", "name", "content", "extension", "size", "target", status.alias("status"), new("output"), new("error"))
 
 

@@ -147,6 +147,12 @@ def convert(content: Column | str, from_fmt: Column | str, to_fmt: Column | str,
     return out.otherwise(_files_udf()(F.when(~native, c), op, f, t, q))
 
 
+def converted(df: DataFrame, content: Column, from_fmt: Column, to_fmt: Column, quality: Column | None = None) -> DataFrame:
+    """df with __output and __error. A generator computes them once a row, however often they are used or filtered by later."""
+    nothing = F.struct(F.lit(None).cast("binary").alias("output"), F.lit(None).cast("string").alias("error"))
+    return df.select("*", F.inline(F.array(F.coalesce(convert(content, from_fmt, to_fmt, quality), nothing))).alias("__output", "__error"))
+
+
 def _unsupported(source: Column, target: Column) -> Column:
     return F.struct(F.lit(None).cast("binary").alias("output"), F.concat(F.lit("Unsupported conversion: "), source, F.lit(" → "), target).alias("error"))
 
@@ -174,9 +180,9 @@ def parse_config(config: Column | str) -> Column:
 
 def convert_with_config(df: DataFrame, content: str = "content", config: str = "config") -> DataFrame:
     """df with output and error: each row's file converted as its JSON request says."""
-    asked = df.withColumn("__asked", parse_config(config))
-    done = asked.withColumn("__done", convert(F.when(F.col("__asked.error").isNull(), F.col(content)), F.col("__asked.from"), F.col("__asked.to"), F.col("__asked.quality")))
-    return done.withColumn("output", F.col("__done.output")).withColumn("error", F.coalesce("__asked.error", "__done.error")).drop("__asked", "__done")
+    asked = df.select("*", F.inline(F.array(parse_config(config))).alias("__from", "__to", "__quality", "__problem"))
+    done = converted(asked, F.when(F.col("__problem").isNull(), F.col(content)), F.col("__from"), F.col("__to"), F.col("__quality"))
+    return done.withColumn("output", F.col("__output")).withColumn("error", F.coalesce("__problem", "__error")).drop("__from", "__to", "__quality", "__problem", "__output", "__error")
 
 
 def register(spark: SparkSession) -> None:
