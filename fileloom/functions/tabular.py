@@ -50,7 +50,15 @@ def float_text(value: Column) -> Column:
 
     Built from the digits and exponent of Java's own text.
     """
-    return let(value.cast("string"), _float_text)
+
+    def shortest(x: Column) -> Column:
+        # Java's text may have a digit too many; then the fewest digits that read back are looked for
+        s = x.cast("string")
+        fewest = F.get(F.filter(F.array(*[F.format_string(f"%.{p}e", x) for p in range(17)]), lambda t: t.cast("double") == x), F.lit(0))
+        doubtful = (F.length(F.regexp_replace(s, "E.*|[^0-9]", "")) >= 16) | ((F.abs(x) < 1e-300) & (x != 0))
+        return F.when(doubtful, F.coalesce(F.upper(fewest), s)).otherwise(s)
+
+    return let(let(value, shortest), _float_text)
 
 
 def _float_text(s: Column) -> Column:
@@ -76,7 +84,7 @@ def _float_text(s: Column) -> Column:
     text = let(
         parts,
         lambda x: let(
-            F.struct(F.substring_index(F.get(x, F.lit(0)), ".", 1).alias("whole"), F.substring_index(F.get(x, F.lit(0)), ".", -1).alias("part"), F.coalesce(F.get(x, F.lit(1)).cast("int"), F.lit(0)).alias("exponent")), counted
+            F.struct(F.substring_index(F.get(x, F.lit(0)), ".", 1).alias("whole"), F.regexp_extract(F.get(x, F.lit(0)), r"\.(.*)$", 1).alias("part"), F.coalesce(F.get(x, F.lit(1)).cast("int"), F.lit(0)).alias("exponent")), counted
         ),
     )
     return F.concat(sign, text)
