@@ -77,8 +77,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("band", band).withColumn("lane", lane)
     chunks = rows.groupBy(*keys).agg(F.count("*").alias("held"), F.sum("size").alias("words"))
     goal = targets(chunks.groupBy("src", "nul").agg(F.sum("words").alias("source_size")))
-    ahead = Window.partitionBy("nul", "src").orderBy("band", "lane").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("first", F.coalesce(F.sum("held").over(ahead), F.lit(0))).drop("held", "words").join(goal, ["nul", "src"])
+    # where a chunk begins: what the bands before hold, then the lanes before; no window sees all chunks of a source
+    before = lambda w: F.coalesce(F.sum("held").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bands = chunks.groupBy("nul", "src", "band").agg(F.sum("held").alias("held"))
+    bands = bands.withColumn("above", before(Window.partitionBy("nul", "src").orderBy("band"))).drop("held").join(goal, ["nul", "src"])
+    chunks = chunks.withColumn("within", before(Window.partitionBy("nul", "src", "band").orderBy("lane"))).join(bands, ["nul", "src", "band"])
+    chunks = chunks.withColumn("first", F.col("above") + F.col("within")).drop("held", "words", "above", "within")
     own = F.row_number().over(Window.partitionBy(*keys).orderBy("size", "doc_id")).cast("long")
     placed = rows.withColumn("own", own).join(chunks, keys)
     placed = materialize(placed.select("doc_id", "size", "nul", "src", "band", "lane", "source_size", "target", "rate", (F.col("first") + F.col("own")).alias("n")), "places")
