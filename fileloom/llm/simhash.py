@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(groups.select("fp"))).withColumnRenamed("node", "fp")
     of = groups.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join on root has plain shuffles on both sides, which Spark can split where a component is large
+    roots = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     named = of.select("fp", "root").join(roots, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
