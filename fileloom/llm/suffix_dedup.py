@@ -24,12 +24,15 @@ columns are not looked at. Texts over ``RUN_BYTES`` are read in overlapping piec
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fileloom.llm.common import Hasher, chunks, materialize, mix64
 
@@ -69,9 +72,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 _BY_NUM = {np.dtype(t).num: t for t in ("uint8", "uint32", "uint64", "int32", "int64", "bool")}
 
 
-def rows_of(parts, kind: int) -> pa.RecordBatch:
+def rows_of(parts, kind: int, labels: list[int]) -> pa.RecordBatch:
     parts = list(parts)
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["part", "kind", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([labels[p] for p, _ in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["part", "kind", "blob"])
 
 
 def by_part(part: np.ndarray, *arrays: np.ndarray):
@@ -161,7 +164,9 @@ def home(ids: np.ndarray, texts: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(texts ^ mix64(ids.astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
 
 
-def _send_anchors(parts: int):
+def _send_anchors(labels: list[int]):
+    parts = len(labels)
+
     def flush(held):
         h, e, ids, texts, at, begin, end = (np.concatenate(x) for x in zip(*held, strict=True))
         # equal neighbourhoods of an anchor: the smallest document's goes on, the others repeat it
@@ -172,7 +177,7 @@ def _send_anchors(parts: int):
         repeat = np.zeros(len(order), bool)
         repeat[order] = ids[order] > ids[order[lead]]
         if repeat.any():
-            yield rows_of(((p, pack(*a)) for p, a in by_part(home(ids[repeat], texts[repeat], parts), ids[repeat], texts[repeat], begin[repeat], end[repeat], np.zeros(repeat.sum(), np.uint64))), INFO)
+            yield rows_of(((p, pack(*a)) for p, a in by_part(home(ids[repeat], texts[repeat], parts), ids[repeat], texts[repeat], begin[repeat], end[repeat], np.zeros(repeat.sum(), np.uint64))), INFO, labels)
         rest = np.flatnonzero(~repeat)
         part = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
@@ -183,7 +188,7 @@ def _send_anchors(parts: int):
             runs = np.flatnonzero(first)
             return pack(ids[runs], texts[runs], np.diff(np.append(runs, len(ids))).astype(np.uint32), h, e, np.diff(at, prepend=0), before, after)
 
-        yield rows_of(((p, packed(a)) for p, a in by_part(part[rest], ids[rest], texts[rest], h[rest].astype(np.uint32), e[rest], at[rest], (at - begin)[rest].astype(np.uint8), (end - at)[rest].astype(np.uint8))), TEXT)
+        yield rows_of(((p, packed(a)) for p, a in by_part(part[rest], ids[rest], texts[rest], h[rest].astype(np.uint32), e[rest], at[rest], (at - begin)[rest].astype(np.uint8), (end - at)[rest].astype(np.uint8))), TEXT, labels)
 
     def run(batches):
         held, size = [], 0
@@ -207,11 +212,12 @@ def _send_anchors(parts: int):
     return run
 
 
-def _settle(parts: int):
+def _settle(labels: list[int]):
     """A partition's anchors -> what repeats (group 0), and neighbourhoods that must be sorted (their group).
 
     What is known to repeat already passes through.
     """
+    parts = len(labels)
 
     def run(batches):
         held = []
@@ -243,13 +249,14 @@ def _settle(parts: int):
         texts, begin, end = texts[order], begin[order], end[order]
         found = list(by_part(home(ids, texts, parts), ids, texts, begin, end, group))
         if found:
-            yield rows_of(((p, pack(*a)) for p, a in found), INFO)
+            yield rows_of(((p, pack(*a)) for p, a in found), INFO, labels)
 
     return run
 
 
-def _send_texts(parts: int):
+def _send_texts(labels: list[int]):
     """Whole texts to where what is found about them goes."""
+    parts = len(labels)
 
     def flush(held):
         ids = np.concatenate([x[0] for x in held])
@@ -266,10 +273,10 @@ def _send_texts(parts: int):
             held.append((ids, texts, data, offsets))
             size += len(data)
             if size >= RUN_BYTES:
-                yield rows_of(flush(held), TEXT)
+                yield rows_of(flush(held), TEXT, labels)
                 held, size = [], 0
         if held:
-            yield rows_of(flush(held), TEXT)
+            yield rows_of(flush(held), TEXT, labels)
 
     return run
 
@@ -305,7 +312,9 @@ def _about(table, ids, texts):
             yield int(k), int(low[k] + b), int(low[k] + e)
 
 
-def _send_neighbourhoods(parts: int):
+def _send_neighbourhoods(labels: list[int]):
+    parts = len(labels)
+
     def run(batches):
         for table, (ids, texts, length, data) in _meet(batches):
             at = np.cumsum(length) - length
@@ -322,7 +331,7 @@ def _send_neighbourhoods(parts: int):
             for p, (i, t, b, e, g, w) in by_part((g % np.uint64(parts)).astype(np.int64), i, t, b, e, g, where):
                 n = e - b
                 rows.append((p, pack(i, t, b, e, g, data[np.repeat(w - (np.cumsum(n) - n), n) + np.arange(n.sum())])))
-            yield rows_of(rows, TEXT)
+            yield rows_of(rows, TEXT, labels)
 
     return run
 
@@ -443,7 +452,9 @@ def repeated_windows(docs: np.ndarray, length: np.ndarray, data: np.ndarray) ->
     return of[hit], hit - begin[of[hit]]
 
 
-def _sort(parts: int):
+def _sort(labels: list[int]):
+    parts = len(labels)
+
     def settled(held):
         ids, texts, begin, end, _, data = held
         string, offset = repeated_windows(ids, end - begin, data)
@@ -480,7 +491,7 @@ def _sort(parts: int):
             i = j
         if out:
             cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-            yield rows_of(((p, pack(*a)) for p, a in by_part(home(cols[0], cols[1], parts), *cols)), INFO)
+            yield rows_of(((p, pack(*a)) for p, a in by_part(home(cols[0], cols[1], parts), *cols)), INFO, labels)
 
     return run
 
@@ -510,17 +521,26 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(length.astype(np.int64)), pa.array(spans, _RESULT.field("spans").type), pa.array(kept, pa.binary())], schema=_RESULT)
 
 
+def even_labels(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each partition that Spark's hash partitioning sends there, so that no two share a task."""
+    tries = int(parts * (math.log(parts) + 12)) + 1
+    rows = spark.range(tries).select(F.col("id").cast("int").alias("label")).groupBy(F.pmod(F.hash("label"), F.lit(parts)).alias("slot")).agg(F.min("label").alias("label")).collect()
+    found = {r.slot: r.label for r in rows}
+    return [found.get(k, k) for k in range(parts)]
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes) and kept (the bytes that stay) of each row of docs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    labels = even_labels(spark, parts)
     rows = docs.select("doc_id", "text")
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "part").sortWithinPartitions("kind")
 
-    found = materialize(dealt(rows.mapInArrow(_send_anchors(parts), ROWS)).mapInArrow(_settle(parts), ROWS), "found")
-    texts = rows.mapInArrow(_send_texts(parts), ROWS)
-    near = dealt(found.unionByName(texts)).mapInArrow(_send_neighbourhoods(parts), ROWS)
-    windows = dealt(near).mapInArrow(_sort(parts), ROWS)
+    found = materialize(dealt(rows.mapInArrow(_send_anchors(labels), ROWS)).mapInArrow(_settle(labels), ROWS), "found")
+    texts = rows.mapInArrow(_send_texts(labels), ROWS)
+    near = dealt(found.unionByName(texts)).mapInArrow(_send_neighbourhoods(labels), ROWS)
+    windows = dealt(near).mapInArrow(_sort(labels), ROWS)
     return dealt(found.unionByName(windows).unionByName(texts)).mapInArrow(_cut, RESULT)
