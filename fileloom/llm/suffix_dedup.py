@@ -8,7 +8,8 @@ cover) whose anchor is found in two documents need sorting. There are four passe
    run of documents, equal neighbourhoods are merged first: all but the smallest document's are repeats already.
 2. That partition merges equal neighbourhoods again. Those of an anchor with one neighbourhood are settled. Where an
    anchor has several, each one's first document sends its text.
-3. These texts meet by anchor and are sorted by two-stage suffix sorting: suffixes smaller than their successors are
+3. These texts meet by anchor (of an anchor with over ``HOT`` of them, by the hash of each window of 50 bytes, equal
+   ones merged first) and are sorted by two-stage suffix sorting: suffixes smaller than their successors are
    sorted directly, the others are induced by a scan over the buckets. Neighbours in the array with 50 bytes or more in
    common form groups, and all but the smallest document of a group repeat it.
 4. What was found meets the texts again, and the covered bytes go.
@@ -44,6 +45,8 @@ BEFORE, REACH = LENGTH - GRAM, LENGTH
 RUN_BYTES = 1 << 24
 #: Bytes of neighbourhoods that are sorted at a time; groups of an anchor are never cut.
 SORT_BYTES = 1 << 21
+#: Neighbourhoods of one anchor that are sorted in one task; those of larger groups go window by window.
+HOT = 1 << 16
 NULL_ID = np.int64(2**63 - 1)
 
 INFO, TEXT = 0, 1
@@ -243,7 +246,9 @@ def _settle(labels: list[int]):
         repeat = ids > ids[at_e][k]
         sort = several[g] & ~repeat
         # an anchor that is found in one document only once its repeats are gone has nothing to be sorted against
-        group = np.where(sort, (h.astype(np.uint64) << np.uint64(24)) ^ e[at_h][g] | np.uint64(1), np.uint64(0))
+        # a group's number is odd; of a group too large for one task it is 2
+        hot = np.add.reduceat(sort.astype(np.int64), at_h) > HOT
+        group = np.where(sort, np.where(hot[g], np.uint64(2), (h.astype(np.uint64) << np.uint64(24)) ^ e[at_h][g] | np.uint64(1)), np.uint64(0))
         pick = repeat | sort
         order, ids, group = order[pick], ids[pick], group[pick]
         texts, begin, end = texts[order], begin[order], end[order]
@@ -315,23 +320,47 @@ def _about(table, ids, texts):
 def _send_neighbourhoods(labels: list[int]):
     parts = len(labels)
 
+    def sent(ids, texts, begin, end, group, where, data):
+        rows = []
+        for p, (i, t, b, e, g, w) in by_part((group % np.uint64(parts)).astype(np.int64), ids, texts, begin, end, group, where):
+            n = e - b
+            rows.append((p, pack(i, t, b, e, g, data[np.repeat(w - (np.cumsum(n) - n), n) + np.arange(n.sum())])))
+        return rows_of(rows, TEXT, labels)
+
+    def windows(hasher, ids, texts, begin, end, where, data):
+        """Neighbourhoods of large groups, cut to their windows. Of equal windows here only the smallest document's goes
+        on, to the task of the window's hash; the others repeat it already. So no window gathers in one task."""
+        n = end - begin - LENGTH + 1
+        of = np.repeat(np.arange(len(n)), n)
+        shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ids, texts, begin, where = ids[of], texts[of], begin[of] + shift, where[of] + shift
+        h = hasher.slices(hasher.prefix(data), where, where + LENGTH) | np.uint64(1)
+        order = np.lexsort((ids, h))
+        ids, texts, begin, where, h = (a[order] for a in (ids, texts, begin, where, h))
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        repeat = ids > ids[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
+        if repeat.any():
+            found = ids[repeat], texts[repeat], begin[repeat], begin[repeat] + LENGTH, np.zeros(repeat.sum(), np.uint64)
+            yield rows_of(((p, pack(*a)) for p, a in by_part(home(found[0], found[1], parts), *found)), INFO, labels)
+        yield sent(ids[~repeat], texts[~repeat], begin[~repeat], begin[~repeat] + LENGTH, h[~repeat], where[~repeat], data)
+
     def run(batches):
+        hasher = Hasher()
         for table, (ids, texts, length, data) in _meet(batches):
             at = np.cumsum(length) - length
             out = []
             for k, b, e in _about(table, ids, texts):
                 pick = np.arange(b, e)[table[4][b:e] > 0]
-                out.append((table[0][pick], table[1][pick], table[2][pick], table[3][pick], table[4][pick], table[2][pick] + at[k]))
+                out.append([c[pick] for c in table] + [table[2][pick] + at[k]])
             if not out:
                 continue
             i, t, b, e, g, where = (np.concatenate(x) for x in zip(*out, strict=True))
-            if not len(i):
-                continue
-            rows = []
-            for p, (i, t, b, e, g, w) in by_part((g % np.uint64(parts)).astype(np.int64), i, t, b, e, g, where):
-                n = e - b
-                rows.append((p, pack(i, t, b, e, g, data[np.repeat(w - (np.cumsum(n) - n), n) + np.arange(n.sum())])))
-            yield rows_of(rows, TEXT, labels)
+            hot = g == 2
+            if (~hot).any():
+                yield sent(*(a[~hot] for a in (i, t, b, e, g, where)), data)
+            if hot.any():
+                yield from windows(hasher, *(a[hot] for a in (i, t, b, e, where)), data)
 
     return run
 
@@ -470,7 +499,10 @@ def _sort(labels: list[int]):
         return ids[s], texts[s], begin[s] + offset[first], begin[s] + offset[last] + LENGTH, np.zeros(len(s), np.uint64)
 
     def run(batches):
-        held = [unpack(blob.as_py()) for batch in batches for blob in batch.column(2)]
+        held = []
+        for batch in batches:
+            yield batch.filter(pc.equal(batch.column(1), INFO))  # known to repeat already
+            held += [unpack(blob.as_py()) for blob in batch.filter(pc.equal(batch.column(1), TEXT)).column(2)]
         if not held:
             return
         data = np.concatenate([x[5] for x in held])

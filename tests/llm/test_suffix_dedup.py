@@ -39,7 +39,10 @@ def test_tables(request, name):
     check(request.getfixturevalue(name))
 
 
-def test_planted(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [sd.HOT, 2])
+def test_planted(spark, monkeypatch, hot):
+    """hot = 2: nearly all groups count as too large for one task."""
+    monkeypatch.setattr(sd, "HOT", hot)
     rng = random.Random(11)
     letters = "ab "
     shared = ["".join(rng.choices("abcdefgh ", k=k)) for k in (49, 50, 51, 60, 90, 200, 700)]
@@ -52,16 +55,12 @@ def test_planted(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
-def test_long_text_in_pieces(spark):
+def test_long_text_in_pieces(spark, monkeypatch):
     rng = random.Random(2)
     common = "".join(rng.choices("abcdefghijklmnop ", k=400))
     long = "".join("".join(rng.choices("abcdefghijklmnop ", k=2000)) + common[rng.randint(0, 300) :] for _ in range(60))
-    was = sd.RUN_BYTES
-    sd.RUN_BYTES = 1 << 15  # sent to the workers by value
-    try:
-        check(spark.createDataFrame([(1, common), (2, long), (3, long[5000:70000])], "doc_id long, text string"))
-    finally:
-        sd.RUN_BYTES = was
+    monkeypatch.setattr(sd, "RUN_BYTES", 1 << 15)  # the module travels to the workers by value
+    check(spark.createDataFrame([(1, common), (2, long), (3, long[5000:70000])], "doc_id long, text string"))
 
 
 def test_suffix_array():
