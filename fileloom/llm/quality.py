@@ -21,9 +21,9 @@ from fileloom.llm.common import Hasher, chunks, mix64, sums, words_of
 
 BITS = 16
 DIM = 1 << BITS
-#: A document is kept from this calibrated probability of being good: four to one against it are needed to reject it,
-#: as a clean document that is lost costs more than junk that stays.
-THRESHOLD = 0.2
+#: A document is kept from this calibrated probability of being good: nearly two to one against it are needed to reject
+#: it, as a clean document that is lost costs more than junk that stays.
+THRESHOLD = 0.35
 MAX_TRAIN = 3000
 #: Counted rules: fewest words, and the most of 100 words that lie in repeated windows of three.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -141,7 +141,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(rows: list[tuple[int, bytes, bytes]], steps: int = 80, rate: float = 0.15, decay: float = 1e-5) -> dict | None:
+def fit(rows: list[tuple[int, bytes, bytes]], steps: int = 80, rate: float = 0.15, decay: float = 1e-4) -> dict | None:
     """Logistic regression by Adam over all rows at a time, then Platt's sigmoid on the quarter that is held out."""
     rows = sorted(rows)
     if len({r[0] for r in rows}) < 2:
