@@ -21,9 +21,8 @@ from fileloom.llm.common import Hasher, chunks, mix64, sums, words_of
 
 BITS = 16
 DIM = 1 << BITS
-#: A document is kept from this calibrated probability of being good: nearly two to one against it are needed to reject
-#: it, as a clean document that is lost costs more than junk that stays.
-THRESHOLD = 0.35
+#: A document is kept from this calibrated probability of being good.
+THRESHOLD = 0.45
 MAX_TRAIN = 3000
 #: Counted rules: fewest words, and the most of 100 words that lie in repeated windows of three.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
