@@ -20,7 +20,7 @@ texts: those come one blob at a time.
 
 Edge cases: a null text is empty; a null doc_id is larger than any other and not smaller than another null; rows with
 the same doc_id do not repeat each other; texts under 50 bytes stay whole; an empty table gives an empty result; extra
-columns are not looked at. Texts over ``RUN_BYTES`` are read in overlapping pieces.
+columns are not looked at. Texts over ``PIECE_BYTES`` are read in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -42,9 +42,13 @@ GRAM = 20
 #: Bytes before and from the start of an anchor that strings of LENGTH with this anchor may cover.
 BEFORE, REACH = LENGTH - GRAM, LENGTH
 #: Documents are gathered to runs of about this size before their blobs are sent.
-RUN_BYTES = 1 << 24
+RUN_BYTES = 1 << 23
+#: Longer texts are read in overlapping pieces of this size.
+PIECE_BYTES = 1 << 21
+#: Bytes of text for a partition, and fewest partitions.
+PART_BYTES, LEAST_PARTS = 1 << 22, 12
 #: Bytes of neighbourhoods that are sorted at a time; groups of an anchor are never cut.
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 20
 #: Neighbourhoods of one anchor that are sorted in one task; those of larger groups go window by window.
 HOT = 1 << 16
 NULL_ID = np.int64(2**63 - 1)
@@ -131,10 +135,10 @@ def anchors(hasher: Hasher, data: np.ndarray, offsets: np.ndarray, low: int = 0,
 
 def _pieces(data: np.ndarray, offsets: np.ndarray):
     """(bytes, offsets, where they begin in data, low, high): the run itself, or overlapping pieces of a long text."""
-    if len(data) <= RUN_BYTES // 8 or len(offsets) > 2:
+    if len(data) <= PIECE_BYTES or len(offsets) > 2:
         yield data, offsets, 0, 0, len(data)
         return
-    step, margin = RUN_BYTES // 8, 2 * LENGTH
+    step, margin = PIECE_BYTES, 2 * LENGTH
     for b in range(0, len(data), step):
         low, high = max(0, b - margin), min(len(data), b + step + margin)
         own = data[low:high]
@@ -151,7 +155,7 @@ def _runs(batches):
     for batch in batches:
         ids = _ids(batch.column(0))
         for i, j, data, offsets in chunks(batch.column(1)):
-            if len(data) > RUN_BYTES // 8:
+            if len(data) > PIECE_BYTES:
                 texts = np.array([_text_hash(data)], np.uint64)
             else:
                 texts = hasher.slices(hasher.prefix(data), offsets[:-1], offsets[1:])
@@ -170,47 +174,48 @@ def home(ids: np.ndarray, texts: np.ndarray, parts: int) -> np.ndarray:
 def _send_anchors(labels: list[int]):
     parts = len(labels)
 
-    def flush(held):
-        h, e, ids, texts, at, begin, end = (np.concatenate(x) for x in zip(*held, strict=True))
+    def flush(docs, held):
+        """docs: (ids, texts) of the run's documents; held: arrays of anchors, with the document's number in the run."""
+        ids, texts = (np.concatenate(x) for x in zip(*docs, strict=True))
+        h, e, doc, at, before, after = (np.concatenate(x) for x in zip(*held, strict=True))
         # equal neighbourhoods of an anchor: the smallest document's goes on, the others repeat it
-        order = np.lexsort((ids, e, h))
-        same = np.zeros(len(order), bool)
-        same[1:] = (h[order[1:]] == h[order[:-1]]) & (e[order[1:]] == e[order[:-1]])
-        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        order = np.lexsort((ids[doc], e, h))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (e[order[1:]] != e[order[:-1]])
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         repeat = np.zeros(len(order), bool)
-        repeat[order] = ids[order] > ids[order[lead]]
+        repeat[order] = ids[doc[order]] > ids[doc[lead]]
+        del order, new, lead
         if repeat.any():
-            yield rows_of(((p, pack(*a)) for p, a in by_part(home(ids[repeat], texts[repeat], parts), ids[repeat], texts[repeat], begin[repeat], end[repeat], np.zeros(repeat.sum(), np.uint64))), INFO, labels)
-        rest = np.flatnonzero(~repeat)
-        part = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            d, begin, end = doc[repeat], at[repeat] - before[repeat], at[repeat] + after[repeat]
+            yield rows_of(((p, pack(*a)) for p, a in by_part(home(ids[d], texts[d], parts), ids[d], texts[d], begin, end, np.zeros(len(d), np.uint64))), INFO, labels)
+        rest = ~repeat
+        h, e, doc, at, before, after = (a[rest] for a in (h, e, doc, at, before, after))
+        part = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
 
         def packed(own):
-            ids, texts, h, e, at, before, after = own
-            first = np.ones(len(ids), bool)
-            first[1:] = (texts[1:] != texts[:-1]) | (ids[1:] != ids[:-1])
-            runs = np.flatnonzero(first)
-            return pack(ids[runs], texts[runs], np.diff(np.append(runs, len(ids))).astype(np.uint32), h, e, np.diff(at, prepend=0), before, after)
+            doc, h, e, at, before, after = own
+            runs = np.flatnonzero(np.diff(doc, prepend=-1))
+            return pack(ids[doc[runs]], texts[doc[runs]], np.diff(np.append(runs, len(doc))).astype(np.uint32), h, e, np.diff(at, prepend=0), before, after)
 
-        yield rows_of(((p, packed(a)) for p, a in by_part(part[rest], ids[rest], texts[rest], h[rest].astype(np.uint32), e[rest], at[rest], (at - begin)[rest].astype(np.uint8), (end - at)[rest].astype(np.uint8))), TEXT, labels)
+        yield rows_of(((p, packed(a)) for p, a in by_part(part, doc, h.astype(np.uint32), e, at, before, after)), TEXT, labels)
 
     def run(batches):
-        held, size = [], 0
+        docs, held, size, n = [], [], 0, 0
         for hasher, ids, data, offsets, texts in _runs(batches):
             for own, bounds, base, low, high in _pieces(data, offsets):
                 h, e, row, at = anchors(hasher, own, bounds, low, high)
-                if base:  # of a long text, which is the only row
-                    begin, end = np.maximum(at - BEFORE, 0), np.minimum(at + REACH, len(own))
-                    held.append((h, e, ids[row], texts[row], at + base, begin + base, end + base))
-                else:
-                    begin, end = np.maximum(at - BEFORE, bounds[row]), np.minimum(at + REACH, bounds[row + 1])
-                    o = offsets[row]
-                    held.append((h, e, ids[row], texts[row], at - o, begin - o, end - o))
+                before = np.minimum(at - bounds[row], BEFORE).astype(np.uint8)
+                after = np.minimum(bounds[row + 1] - at, REACH).astype(np.uint8)
+                held.append((h, e, (row + n).astype(np.int32), at + base - offsets[row], before, after))
+            docs.append((ids, texts))
+            n += len(ids)
             size += len(data)
             if size >= RUN_BYTES:
-                yield from flush(held)
-                held, size = [], 0
+                yield from flush(docs, held)
+                docs, held, size, n = [], [], 0, 0
         if held:
-            yield from flush(held)
+            yield from flush(docs, held)
 
     return run
 
@@ -564,9 +569,11 @@ def even_labels(spark: SparkSession, parts: int) -> list[int]:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes) and kept (the bytes that stay) of each row of docs."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    labels = even_labels(spark, parts)
     rows = docs.select("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    # every task sends a blob to every partition: as many as the bytes need, and at most what the session says
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(LEAST_PARTS, -(-size // PART_BYTES)))
+    labels = even_labels(spark, parts)
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "part").sortWithinPartitions("kind")

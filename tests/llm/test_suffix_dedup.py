@@ -59,7 +59,7 @@ def test_long_text_in_pieces(spark, monkeypatch):
     rng = random.Random(2)
     common = "".join(rng.choices("abcdefghijklmnop ", k=400))
     long = "".join("".join(rng.choices("abcdefghijklmnop ", k=2000)) + common[rng.randint(0, 300) :] for _ in range(60))
-    monkeypatch.setattr(sd, "RUN_BYTES", 1 << 15)  # the module travels to the workers by value
+    monkeypatch.setattr(sd, "PIECE_BYTES", 1 << 12)  # the module travels to the workers by value
     check(spark.createDataFrame([(1, common), (2, long), (3, long[5000:70000])], "doc_id long, text string"))
 
 
