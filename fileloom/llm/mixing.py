@@ -27,6 +27,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 LANES = 128
 DRAWS = 32
+#: More sources than these are joined, not broadcast.
+BROADCAST_SOURCES = 50_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -89,7 +91,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     totals = placed.groupBy(*keys).agg(*[F.sum(copies(draw(k)) * F.col("size")).alias(f"t{k}") for k in range(DRAWS)], F.max("target").alias("target"))
     totals = totals.groupBy("nul", "src").agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(DRAWS)], F.max("target").alias("target"))
     off = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}").cast("double") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS)]))
-    best = totals.select("nul", "src", off["k"].alias("k"))
+    best = materialize(totals.select("nul", "src", off["k"].alias("k")), "draws")
+    if best.count() <= BROADCAST_SOURCES:
+        best, on = F.broadcast(best), ["nul", "src"]
+    else:  # by chunks, of which none is large, rather than by sources
+        best, on = placed.select(*keys).distinct().join(best, ["nul", "src"]), keys
     moved = start() + F.col("k") / float(DRAWS)
-    chosen = placed.join(best, ["nul", "src"]).withColumn("copies", copies(moved - F.floor(moved)))
+    chosen = placed.join(best, on).withColumn("copies", copies(moved - F.floor(moved)))
     return chosen.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -41,8 +41,11 @@ def check(docs, near=0.02):
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(5)).collect()))
 
 
-def test_documents(documents):
+def test_documents(documents, monkeypatch):
     check(documents)
+    few = sorted(mixing.mix(documents).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(mixing.mix(documents).collect()) == few
 
 
 def test_odd(odd, empty):
