@@ -378,7 +378,7 @@ class Inlines:
                 while i < n and text[i] == " ":
                     i += 1
             else:
-                m = re.compile(r"[^\\`<&*_!\[\]\n]+|!").match(text, i)
+                m = re.compile(r"[^\\`<&*_!\[\]\n]+|!|\\").match(text, i)
                 out.append(escape(m.group()))
                 i = m.end()
         return out
