@@ -83,6 +83,7 @@ WRONG = [
     ("mp3", "wav", b"junk", "Unsupported audio format: "),
     ("wav", "wav", b"", "Unsupported audio format: "),
     ("ogg", "wav", b"OggS\0", "Unsupported codec in this build: "),
+    ("mp3", "wav", b"ID3\4\0\0", "Unsupported codec in this build: reading mp3"),
     ("png", "avif", images.encode_png(np.zeros((1, 1, 4), np.uint8)), "Unsupported codec in this build: writing avif"),
     ("png", "html", b"data", "Unsupported conversion: png → html"),
     ("Mp3", "PNG", b"data", "Unsupported conversion: Mp3 → PNG"),
