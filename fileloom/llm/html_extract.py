@@ -24,6 +24,7 @@ with their parent, and what is left open by an unterminated comment or script is
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -37,6 +38,8 @@ MIN_PAGES = 20
 LOW = 0.3
 #: How much presentation counts against content.
 PRESENTATION = 0.25
+#: Levels of a style's path; deeper elements share their ancestor's style.
+DEPTH = 48
 BROADCAST_ROWS = 20_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,11 +54,11 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = frozenset("ul ol dl table div section article main body td".split())
 
 NOISE_TAGS = frozenset("head nav footer aside form button select datalist dialog menu script style title textarea noscript template iframe svg math canvas object audio video map search xmp noframes".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog note status".split())
 #: Words of a class or id.
 NOISE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer sidebar sidenav aside ad ads advert adverts advertisement "
-    "advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
+    "advertising adsense adsbygoogle sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription comment comments respond disqus replies share sharing social related recommended widget login signup searchform toolbar skip".split()
 )
 #: Noise outside an article only: inside, they head or foot the article itself.
@@ -77,7 +80,7 @@ def host_of(url: str | None) -> str:
 class Node:
     """An element while it is open. style: its path; noise, article, main: whether it or what it is in is such."""
 
-    __slots__ = ("article", "main", "noise", "style", "tag")
+    __slots__ = ("article", "depth", "main", "noise", "style", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         found: dict[str, str] = {}
@@ -86,8 +89,9 @@ class Node:
                 found.setdefault(name.lower(), unescape(a or b or c))
         classes = " ".join(sorted(found.get("class", "").split()))
         self.tag = tag
+        self.depth = parent.depth + 1 if parent else 0
         own = tag + (f".{classes}" if classes else "") + (f"#{i}" if (i := re.sub(r"[0-9]+", "0", found.get("id", ""))) else "")
-        self.style = f"{parent.style}/{own}" if parent and tag not in ("html", "body") else own
+        self.style = own if not parent or tag in ("html", "body") else f"{parent.style}/{own}" if self.depth < DEPTH else parent.style
         self.article = bool(parent and parent.article)
         self.main = bool(parent and parent.main)
         self.noise = bool(parent and parent.noise)
@@ -110,6 +114,7 @@ class Page:
         self.blocks: list[tuple[str, list[str], bool, bool]] = []  # text, styles from the body on, in article, in main
         self.children: dict[str, list[str]] = {}
         self._stack: list[Node] = []
+        self._open: Counter[str] = Counter()
         self._text: list[str] = []
         at, end = 0, len(html)
         while at < end:
@@ -141,8 +146,9 @@ class Page:
         text = " ".join("".join(self._text).split())
         self._text.clear()
         if text:
-            blocks = [x for x in self._stack if x.tag in BLOCK]
-            self.blocks.append((text, [x.style for x in blocks], any(x.article for x in blocks), any(x.main for x in blocks)))
+            top = self._stack[-1] if self._stack else None
+            styles = [x.style for x in self._stack[: DEPTH + 1] if x.tag in BLOCK]
+            self.blocks.append((text, styles, bool(top and top.article), bool(top and top.main)))
 
     def _opens(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -167,16 +173,25 @@ class Page:
         if block and not node.noise and parent is not None:
             self.children.setdefault(parent.style, []).append(node.style.rpartition("/")[2])
         self._stack.append(node)
+        self._open[tag] += 1
+
+    def _pop_from(self, i: int) -> None:
+        for x in self._stack[i:]:
+            self._open[x.tag] -= 1
+        del self._stack[i:]
 
     def _closes(self, tag: str) -> None:
         block = tag in BLOCK
         if block:
             self._ends_block()
+        if not self._open[tag]:
+            return
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i].tag == tag:
                 if block or self._stack[i].noise:
-                    del self._stack[i:]
+                    self._pop_from(i)
                 else:
+                    self._open[tag] -= 1
                     del self._stack[i]
                 return
             if not block and self._stack[i].tag in BLOCK and self._stack[i].tag != "p":
@@ -184,9 +199,11 @@ class Page:
 
     def _pop_to(self, tags: frozenset | set, scope: frozenset | set) -> None:
         """Ends the nearest open element of tags and what is in it, if no element of scope is between."""
+        if not any(self._open[t] for t in tags):
+            return
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i].tag in tags:
-                del self._stack[i:]
+                self._pop_from(i)
                 return
             if self._stack[i].tag in scope:
                 return

@@ -62,3 +62,12 @@ def test_style_tree_cuts_what_repeats(spark, monkeypatch):
         monkeypatch.setattr(he, "BROADCAST_ROWS", most)
         assert sorted((r.page_id, r.text) for r in he.extract(pages).collect()) == want
     assert he.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html", ["<div>" * 20000 + "x", "<b>" * 20000 + "x", "<p>x</section>" * 20000, "<div><p>x" * 5000, "<a \"" * 3000 + "x", "<!--" * 5000, "&amp" * 50000, "<ul><li>" * 5000 + "x"])
+def test_deep_and_broken_pages_end(html):
+    import time
+
+    began = time.time()
+    assert isinstance(he.Page(html).text(), str)
+    assert time.time() - began < 10
