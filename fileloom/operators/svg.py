@@ -55,8 +55,6 @@ def color(text: str, current: str = "black") -> tuple[float, float, float, float
         parts = re.split(r"[\s,/]+", m.group(1).strip())
         v = [float(p[:-1]) / 100 if p.endswith("%") else float(p) / (255 if k < 3 else 1) for k, p in enumerate(parts)]
         return (*v[:3], v[3] if len(v) > 3 else 1.0)
-    if text.startswith("url("):
-        raise UnsupportedCodec("SVG paint servers")
     return (0.0, 0.0, 0.0, 1.0)
 
 
@@ -299,6 +297,7 @@ class Drawing:
         if self.width <= 0 or self.height <= 0:
             raise ConversionError("SVG has zero dimensions")
         self.size = math.ceil(self.width), math.ceil(self.height)
+        self.ids = {n.get("id"): n for n in self.root.iter() if n.get("id")}
         if self.size[0] * self.size[1] > MOST_PIXELS >> 4:
             raise ConversionError("Failed to create pixmap")
 
@@ -341,18 +340,75 @@ class Drawing:
         elif style["visibility"] == "visible":
             box = (self.box[2], self.box[3]) if self.box else (self.width, self.height)
             parts = shape(tag, node.attrib, box)
-            fill = color(style["fill"], style["color"])
-            if fill and tag != "line":
+            fill = self._color(style["fill"], style["color"], parts, m)
+            if fill is not None and tag != "line":
                 self._paint(target, parts, m, fill, float(style["fill-opacity"]), style["fill-rule"] == "evenodd")
-            stroke, width = color(style["stroke"], style["color"]), length(style["stroke-width"], 1.0)
-            if stroke and width > 0:
+            stroke, width = self._color(style["stroke"], style["color"], parts, m), length(style["stroke-width"], 1.0)
+            if stroke is not None and width > 0:
                 self._paint(target, outline(parts, width), m, stroke, float(style["stroke-opacity"]), False)
         if opacity < 1:
             _over(canvas, target * opacity)
 
-    def _paint(self, canvas: np.ndarray, parts: list, m: np.ndarray, paint: tuple, opacity: float, even_odd: bool) -> None:
-        alpha = coverage(parts, m, self.size[0], self.size[1], even_odd)[..., None] * paint[3] * min(max(opacity, 0.0), 1.0)
-        _over(canvas, np.concatenate([alpha * np.array(paint[:3]), alpha], axis=2))
+    def _color(self, text: str, current: str, parts: list, m: np.ndarray) -> np.ndarray | None:
+        """One color, or one for each pixel."""
+        found = re.match(r"url\(\s*['\"]?#([^'\")]+)['\"]?\s*\)\s*(.*)", text)
+        if found and found.group(1) in self.ids:
+            return self._gradient(self.ids[found.group(1)], parts, m)
+        out = color(found.group(2) if found else text, current)
+        return None if out is None else np.array(out)
+
+    def _gradient(self, node: ET.Element, parts: list, m: np.ndarray) -> np.ndarray | None:
+        chain = [node]
+        while (href := next((v for k, v in chain[-1].attrib.items() if k.rpartition("}")[2] == "href"), "")) and len(chain) < 16 and href[1:] in self.ids:
+            chain.append(self.ids[href[1:]])
+        kind = node.tag.rpartition("}")[2]
+        if kind not in ("linearGradient", "radialGradient"):
+            raise UnsupportedCodec(f"SVG paint server {kind}")
+        at = lambda name, default=None: next((n.get(name) for n in chain if n.get(name) is not None), default)
+        stops = next((own for n in chain if (own := [s for s in n if isinstance(s.tag, str) and s.tag.rpartition("}")[2] == "stop"])), [])
+        points = np.array([p for own, _ in parts for p in own], float)
+        if not stops or not len(points):
+            return None
+        offsets, colors = [], []
+        for s in stops:
+            own = dict(s.attrib) | {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in s.get("style", "").split(";")) if v}
+            rgb = color(own.get("stop-color", "black")) or (0.0, 0.0, 0.0, 0.0)
+            offsets.append(max([length(own.get("offset"), 0.0, 1.0), *offsets[-1:]]))
+            colors.append((*rgb[:3], rgb[3] * length(own.get("stop-opacity"), 1.0, 1.0)))
+        low, size = points.min(0), np.ptp(points, axis=0)
+        boxed = at("gradientUnits", "objectBoundingBox") != "userSpaceOnUse"
+        if boxed and not size.all():
+            return np.array(colors[-1])
+        w, h = (1.0, 1.0) if boxed else (self.box[2:] if self.box else (self.width, self.height))
+        space = m @ np.array([[size[0], 0, low[0]], [0, size[1], low[1]], [0, 0, 1]]) if boxed else m
+        back = np.linalg.pinv(space @ transform(at("gradientTransform")))
+        yy, xx = np.mgrid[0 : self.size[1], 0 : self.size[0]] + 0.5
+        x, y = (back[k, 0] * xx + back[k, 1] * yy + back[k, 2] for k in (0, 1))
+        get = lambda name, default, whole: length(at(name, default), 0.0, whole)
+        if kind == "linearGradient":
+            x1, y1, x2, y2 = get("x1", "0%", w), get("y1", "0%", h), get("x2", "100%", w), get("y2", "0%", h)
+            span = (x2 - x1) ** 2 + (y2 - y1) ** 2
+            if not span:
+                return np.array(colors[-1])
+            t = ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / span
+        else:
+            cx, cy, r = get("cx", "50%", w), get("cy", "50%", h), get("r", "50%", math.hypot(w, h) / math.sqrt(2))
+            if r <= 0:
+                return np.array(colors[-1])
+            fx, fy = length(at("fx"), cx, w), length(at("fy"), cy, h)
+            ex, ey, qx, qy = cx - fx, cy - fy, x - fx, y - fy
+            a, b = min(ex * ex + ey * ey - r * r, -1e-9), qx * ex + qy * ey
+            t = (b - np.sqrt(np.maximum(b * b - a * (qx * qx + qy * qy), 0))) / a
+        spread = at("spreadMethod", "pad")
+        if spread == "repeat":
+            t = t % 1
+        elif spread == "reflect":
+            t = 1 - np.abs(t % 2 - 1)
+        return np.stack([np.interp(t, offsets, [c[k] for c in colors]) for k in range(4)], axis=2)
+
+    def _paint(self, canvas: np.ndarray, parts: list, m: np.ndarray, paint: np.ndarray, opacity: float, even_odd: bool) -> None:
+        alpha = coverage(parts, m, self.size[0], self.size[1], even_odd)[..., None] * paint[..., 3:] * min(max(opacity, 0.0), 1.0)
+        _over(canvas, np.concatenate([alpha * paint[..., :3], alpha], axis=2))
 
 
 def svg_to_png(data: bytes) -> bytes:
