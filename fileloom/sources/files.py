@@ -12,11 +12,12 @@ MAX_FILE_BYTES = 1 << 30
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = True, any_format: bool = False) -> DataFrame:
-    """name, content, path, length of the files under a path; of known formats, unless any_format.
+    """name, content, path, length of the files under a path; of known formats, unless any_format. Unreadable ones are skipped.
 
     Selections that leave content out do not read it.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
     if not any_format:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(sorted({x for e in INPUTS for x in (e, e.upper())})) + "}")
     files = reader.load(path).where(F.col("length") <= MAX_FILE_BYTES)

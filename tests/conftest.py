@@ -3,6 +3,11 @@ import sys
 import tempfile
 
 import pytest
+from hypothesis import settings
+
+# the same cases on every run, however slow the machine
+settings.register_profile("steady", deadline=None, derandomize=True)
+settings.load_profile("steady")
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, REPO)
