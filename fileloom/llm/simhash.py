@@ -11,6 +11,9 @@ Equal fingerprints are merged before anything is compared, and a shard emits a s
 one row for each of its members) rather than all pairs. Components come from alternating large-star and small-star
 rounds over those edges, each written to the shared folder.
 
+``similar`` does the same for documents of which five-word shingles are 0.8 alike, with longer fingerprints; it is what
+the pipeline takes.
+
 Edge cases: null and empty texts have no words and the fingerprint zero, which is linked like any other; repeated rows
 each get a row; a document without an id is linked, but names no component (component_id is the smallest id that is
 not null, or null if all are). Extra columns are not looked at; an empty table gives an empty result.
@@ -18,6 +21,7 @@ not null, or null if all are). Extra columns are not looked at; an empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +39,15 @@ SEED = 42
 BLOCKS = RADIUS + 1
 #: Shingles hashed, and pairs compared, at a time.
 STEP = 1 << 16
+#: More than any distance.
+FURTHEST = 1024
+
+#: ``similar``: words of a shingle, bits of a fingerprint, and bits that fingerprints of a link differ in at most.
+#: Shingles of which a share of 0.8 is common have an angle whose cosine is 2 * 0.8 / 1.8; of 256 bits 38.8 differ on
+#: average, with a deviation of 5.7, which is allowed for once.
+WIDE_SHINGLE, WIDE_BITS, WIDE_RADIUS = 5, 256, 44
+#: Share of such links that the tables are to find, and fewest bits of a table's key.
+RECALL, LEAST_KEY = 0.95, 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -55,6 +68,32 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * total > len(starts)).tobytes(), "big")
 
 
+def wide_fingerprint(text: str | None) -> bytes:
+    """256 bits over shingles of five words, by two 128-bit hashes of each."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    k = min(WIDE_SHINGLE, len(words))
+    starts, ends = starts[: len(words) - k + 1], ends[k - 1 :] - 1
+    total, digest = np.zeros(WIDE_BITS, np.int64), xxhash.xxh3_128_digest
+    for i in range(0, len(starts), STEP):
+        parts = [joined[s:e] for s, e in zip(starts[i : i + STEP].tolist(), ends[i : i + STEP].tolist(), strict=True)]
+        hashes = b"".join([digest(p, seed) for p in parts for seed in (SEED, SEED + 1)])
+        total += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, WIDE_BITS // 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(starts)).tobytes()
+
+
+def _wide_fingerprints(batches):
+    for batch in batches:
+        found = [wide_fingerprint(t.as_py()) for t in batch.column(1)]
+        nodes = [xxhash.xxh64_intdigest(f) for f in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(found, pa.binary())], ["doc_id", "fp", "wide"])
+
+
 def _fingerprints(batches):
     for batch in batches:
         found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
@@ -70,9 +109,9 @@ class Forest:
     """BK-trees of all shards of a batch. Item i is node i of its shard's tree; the first of a shard is the root."""
 
     def __init__(self, shard: np.ndarray, value: np.ndarray) -> None:
-        """Both sorted by shard; value is uint64, distinct within a shard."""
+        """Both sorted by shard; value is uint64 (a row of them for each item), distinct within a shard."""
         n = len(value)
-        self.value = value
+        self.value = value.reshape(n, -1)
         self.parent = np.full(n, -1, np.int64)
         self.edge = np.full(n, -1, np.int64)
         first = np.ones(n, bool)
@@ -83,7 +122,7 @@ class Forest:
         item = np.flatnonzero(~first)
         node = self.root[item]
         while len(item):
-            d = np.bitwise_count(value[item] ^ value[node]).astype(np.int64)
+            d = self.distance(item, node)
             order = np.lexsort((item, d, node))
             item, node, d = item[order], node[order], d[order]
             lead = np.ones(len(item), bool)
@@ -95,25 +134,28 @@ class Forest:
         kid = np.flatnonzero(self.parent >= 0)
         order = np.lexsort((self.edge[kid], self.parent[kid]))
         self.kid = kid[order]
-        self.key = self.parent[self.kid] * 128 + self.edge[self.kid]
+        self.key = self.parent[self.kid] * FURTHEST + self.edge[self.kid]
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.value[a] ^ self.value[b]).sum(axis=1, dtype=np.int64)
 
     def search(self, queries: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, node) pairs within the radius, in runs of bounded length; each query searches its own tree."""
         waiting = [(queries[i : i + STEP], self.root[queries[i : i + STEP]]) for i in range(0, len(queries), STEP)]
         while waiting:
             q, node = waiting.pop()
-            d = np.bitwise_count(self.value[q] ^ self.value[node]).astype(np.int64)
+            d = self.distance(q, node)
             hit = (d <= radius) & (q != node)
             if hit.any():
                 yield q[hit], node[hit]
-            low = np.searchsorted(self.key, node * 128 + np.maximum(d - radius, 0))
-            high = np.searchsorted(self.key, node * 128 + d + radius, "right")
+            low = np.searchsorted(self.key, node * FURTHEST + np.maximum(d - radius, 0))
+            high = np.searchsorted(self.key, node * FURTHEST + d + radius, "right")
             n = high - low
             some = n > 0
             q, low, n = q[some], low[some], n[some]
             ends = np.cumsum(n)
             begin = 0
-            while begin < len(q):  # no run of over STEP pairs, unless one node alone has more children (at most 64)
+            while begin < len(q):  # no run of over STEP pairs, unless one node alone has more children (as many as there are distances)
                 base = ends[begin - 1] if begin else 0
                 end = max(int(np.searchsorted(ends, base + STEP, "right")), begin + 1)
                 k = n[begin:end]
@@ -138,30 +180,73 @@ def forest_labels(shard: np.ndarray, value: np.ndarray, radius: int = RADIUS) ->
     return label
 
 
-def _shard_links(batches):
-    """Batches of (shard, fp) sorted by shard; a shard may run over several batches."""
-    shards, values, held = [], [], 0
-
-    def links(shard, value):
-        order = np.lexsort((value, shard))
-        shard, value = shard[order], value[order]
-        label = forest_labels(shard, value)
-        own = np.flatnonzero(label != np.arange(len(value)))
-        return pa.RecordBatch.from_arrays([pa.array(value[own].view(np.int64)), pa.array(value[label[own]].view(np.int64))], ["a", "b"])
-
+def _by_shard(batches):
+    """(shard, other columns) of whole shards, from batches sorted by shard; a shard may run over several batches."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        s, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        if not len(s):
+        cols = [batch.column(0).to_numpy(zero_copy_only=False), *batch.columns[1:]]
+        if not len(cols[0]):
             continue
-        last = int(np.searchsorted(s, s[-1]))  # the last shard may go on in the next batch
-        if held and shards[-1][-1] != s[0] or last:
-            yield links(np.concatenate([*shards, s[:last]]), np.concatenate([*values, v[:last]]))
-            shards, values = [], []
-        shards.append(s[last:])
-        values.append(v[last:])
-        held = sum(map(len, shards))
+        last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last shard may go on in the next batch
+        done = held + ([[c[:last] for c in cols]] if last else [])
+        if done and (last or held[-1][0][-1] != cols[0][0]):
+            yield done
+            held = []
+        held.append([c[last:] for c in cols])
     if held:
-        yield links(np.concatenate(shards), np.concatenate(values))
+        yield held
+
+
+def _forest_links(shard: np.ndarray, node: np.ndarray, value: np.ndarray, radius: int) -> pa.RecordBatch:
+    """(a, b): each node that is linked, and the least one of its shard that links lead to."""
+    label = forest_labels(shard, value, radius)
+    own = np.flatnonzero(label != np.arange(len(node)))
+    return pa.RecordBatch.from_arrays([pa.array(node[own].view(np.int64)), pa.array(node[label[own]].view(np.int64))], ["a", "b"])
+
+
+def _shard_links(batches):
+    for parts in _by_shard(batches):
+        shard = np.concatenate([p[0] for p in parts])
+        value = np.concatenate([p[1].to_numpy(zero_copy_only=False) for p in parts]).view(np.uint64)
+        order = np.lexsort((value, shard))
+        yield _forest_links(shard[order], value[order], value[order], RADIUS)
+
+
+def _wide_links(batches):
+    for parts in _by_shard(batches):
+        shard = np.concatenate([p[0] for p in parts])
+        node = np.concatenate([p[1].to_numpy(zero_copy_only=False) for p in parts]).view(np.uint64)
+        order = np.lexsort((node, shard))
+        shard, node = shard[order], node[order]
+        more = np.zeros(len(shard), bool)  # a shard of one has no links
+        more[1:] = shard[1:] == shard[:-1]
+        more[:-1] |= more[1:]
+        if more.any():
+            wide = np.frombuffer(b"".join(x.as_py() for p in parts for x in p[2]), np.uint64).reshape(len(shard), -1)
+            yield _forest_links(shard[more], node[more], wide[order[more]], WIDE_RADIUS)
+
+
+def tables(n: int) -> tuple[int, int]:
+    """Bits of a key and number of tables for n fingerprints: a key has few of them, and RECALL of the links agree somewhere."""
+    bits = max(LEAST_KEY, math.ceil(math.log2(max(n, 2))) - 2)
+    same = (1 - math.acos(2 * 0.8 / 1.8) / math.pi) ** bits
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - same))
+
+
+def _table_keys(bits: int, number: int):
+    picks = np.array([np.random.default_rng(SEED + t).choice(WIDE_BITS, bits, replace=False) for t in range(number)])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                node, wide = batch.column(0).slice(i, 4096), batch.column(1).slice(i, 4096)
+                n = len(node)
+                own = np.unpackbits(np.frombuffer(b"".join(x.as_py() for x in wide), np.uint8).reshape(n, -1), axis=1).astype(np.int64)
+                for t, pick in enumerate(picks):
+                    key = own[:, pick] @ (1 << np.arange(bits, dtype=np.int64)) | t << 48
+                    yield pa.RecordBatch.from_arrays([pa.array(key), node, wide], ["shard", "fp", "wide"])
+
+    return run
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -201,9 +286,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of each row of docs."""
     rows = materialize(fingerprints(docs), "fingerprints")
     groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = components(links(groups.select("fp"))).withColumnRenamed("node", "fp")
+    found = _named(rows, groups, links(groups.select("fp")))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id of each row of docs, by fingerprints of 256 bits over five words that differ in at most 44.
+
+    So far apart, no block of bits need be equal; fingerprints meet in tables keyed by a few of their bits, drawn by a
+    seed, as many as find ``RECALL`` of the links at a similarity of 0.8 (nearly all of closer ones). Each key of a
+    table is a shard with its BK-tree, as above.
+    """
+    rows = materialize(docs.select("doc_id", "text").mapInArrow(_wide_fingerprints, "doc_id long, fp long, wide binary"), "fingerprints")
+    groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "groups")
+    dealt = groups.select("fp", "wide").mapInArrow(_table_keys(*tables(groups.count())), "shard long, fp long, wide binary")
+    edges = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_wide_links, "a long, b long")
+    return _named(rows.select("doc_id", "fp"), groups.drop("wide"), edges).select("doc_id", "component_id")
+
+
+def _named(rows: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (doc_id, fp) with component_id, the least doc_id of what edges between fps connect; groups: fp, least."""
+    linked = components(edges).withColumnRenamed("node", "fp")
     of = groups.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # written, so that the join on root has plain shuffles on both sides, which Spark can split where a component is large
     roots = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    named = of.select("fp", "root").join(roots, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(of.select("fp", "root").join(roots, "root").select("fp", "component_id"), "fp")
