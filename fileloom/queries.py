@@ -10,15 +10,12 @@ from fileloom.functions import formats as fm
 from fileloom.functions import paged, tabular, text, tree
 from fileloom.operators import audio, images
 from fileloom.plans import batch, registry
+from fileloom.sources.tables import read_table as table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def query(sql: str | None = None):
     """Registers a query under its function's name, with its SQL."""
 
