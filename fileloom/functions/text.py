@@ -104,11 +104,8 @@ def base64_decode(content: Column | str) -> Column:
 
     Spark's decoder is lax; a text is canonical exactly if its bytes are encoded to the same text again.
     """
-    from fileloom.functions.tabular import let
-
-    def decoded(text: Column, data: Column) -> Column:
-        good = F.coalesce(base64_encode(data) == text, F.lit(False))
-        problem = F.when(text.isNull(), "Invalid UTF-8: not a valid byte sequence").when(~good, "Invalid base64: not canonical padded Base64")
-        return F.struct(F.when(good, data).alias("output"), F.when(_c(content).isNotNull(), problem).alias("error"))
-
-    return let(trim(utf8(content)), lambda t: let(F.try_to_binary(t, F.lit("base64")), lambda b: decoded(t, b)))
+    clean = trim(utf8(content))
+    data = F.try_to_binary(clean, F.lit("base64"))
+    good = F.coalesce(base64_encode(data) == clean, F.lit(False))
+    problem = F.when(_c(content).isNull(), F.lit(None).cast("string")).when(clean.isNull(), "Invalid UTF-8: not a valid byte sequence").when(~good, "Invalid base64: not canonical padded Base64")
+    return F.struct(F.when(good, data).alias("output"), problem.alias("error"))

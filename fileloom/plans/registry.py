@@ -126,7 +126,8 @@ def _files_udf():
 def convert(content: Column | str, from_fmt: Column | str, to_fmt: Column | str, quality: Column | None = None) -> Column:
     """struct(output, error) of each file; from_fmt and to_fmt are columns, or format names that are the same for all.
 
-    A null content gives nulls. With names, only the one operator's expression is in the plan.
+    A null content gives nulls. With names, only the one operator's expression is in the plan. To hand results of mixed
+    formats to another UDF use ``converted``: Spark does not plan a UDF whose argument holds lambdas.
     """
     c = F.col(content) if isinstance(content, str) else content
     q = (quality if quality is not None else F.lit(None)).cast("int")

@@ -519,8 +519,9 @@ def image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.array([images.decode_png(x.as_py())[0, 0].tobytes().hex() if x.is_valid else None for x in v], pa.string())
 
     rows = table(spark, sf_dir, "part").select("p_partkey", made("p_partkey").alias("png")).withColumn("fmt", F.explode(F.array(*map(F.lit, LOSSLESS))))
-    there = rows.select("p_partkey", "fmt", registry.convert("png", F.lit("png"), F.col("fmt"))["output"].alias("there"))
-    return there.select("p_partkey", "fmt", first(registry.convert("there", F.col("fmt"), F.lit("png"))["output"]).alias("pixel"))
+    there = registry.converted(rows, F.col("png"), F.lit("png"), F.col("fmt")).select("p_partkey", "fmt", F.col("__output").alias("there"))
+    back = registry.converted(there, F.col("there"), F.col("fmt"), F.lit("png"))
+    return back.select("p_partkey", "fmt", first("__output").alias("pixel"))
 
 
 @query("select n_nationkey, (n_nationkey + 1)::int as width, 5 as height, printf('%02x%02x%02xff', n_nationkey * 10, 200 - n_nationkey, 7) as pixel from nation")
