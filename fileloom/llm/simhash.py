@@ -11,8 +11,11 @@ Equal fingerprints are merged before anything is compared, and a shard emits a s
 one row for each of its members) rather than all pairs. Components come from alternating large-star and small-star
 rounds over those edges, each written to the shared folder.
 
-``similar`` does the same for documents of which five-word shingles are 0.8 alike, with longer fingerprints; it is what
-the pipeline takes.
+``similar`` links documents of which the sets of five-word shingles are 0.8 alike, exactly and at every size; it is what
+the pipeline takes. Shingles have one order for all documents; of two sets that are 0.8 alike, the first shingles (one
+more than a fifth of them) have one in common, so these name the shards and every link is proposed (prefix filtering).
+The order puts shingles that a sample repeats last; the sample decides how much is compared, never what is found. What
+lengths, places in the order and parity sketches do not rule out, all bounds that hold for sure, is compared in full.
 
 Edge cases: null and empty texts have no words and the fingerprint zero, which is linked like any other; repeated rows
 each get a row; a document without an id is linked, but names no component (component_id is the smallest id that is
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import materialize
+from fileloom.llm.common import materialize, mix64
 
 RADIUS = 3
 SHINGLE = 3
@@ -42,11 +45,19 @@ STEP = 1 << 16
 #: More than any distance.
 FURTHEST = 1024
 
-#: ``similar``: words of a shingle, bits of a fingerprint, and bits that fingerprints of a link differ in at most.
-#: Shingles of which a share of 0.8 is common have an angle whose cosine is 2 * 0.8 / 1.8; of 256 bits 38.8 differ on
-#: average, with a deviation of 5.7, which is allowed for once.
-WIDE_SHINGLE, WIDE_BITS, WIDE_RADIUS = 5, 256, 44
-#: Share of such links that the tables are to find, and fewest bits of a table's key.
+#: ``similar``: words of a shingle; sets of a and b shingles are 0.8 alike if 9 times those in common are 4 * (a + b) or more.
+WIDE_SHINGLE = 5
+#: Documents of the sample that orders shingles, and most shingles of it that count as repeated.
+SAMPLE, REPEATED = 8192, 1 << 16
+#: Fewest bits of a sketch, and most of the filter of documents to be compared in full.
+LEAST_SKETCH, MOST_FILTER = 512, 1 << 23
+
+#: Turns of ``similar`` that compare few pairs of a shard, before one that compares all that are not joined.
+NEAR_TURNS = 3
+
+#: 256-bit fingerprints, of which 44 bits stand for a similarity of 0.8 on average only, and the tables that found a share
+#: of their links. Nothing but tests takes them.
+WIDE_BITS, WIDE_RADIUS = 256, 44
 RECALL, LEAST_KEY = 0.95, 16
 
 
@@ -87,11 +98,234 @@ def wide_fingerprint(text: str | None) -> bytes:
     return np.packbits(2 * total > len(starts)).tobytes()
 
 
-def _wide_fingerprints(batches):
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the distinct shingles of five words, ascending; fewer words are one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    k = min(WIDE_SHINGLE, len(words))
+    starts, ends = starts[: len(words) - k + 1], ends[k - 1 :] - 1
+    digest, seed = xxhash.xxh64_intdigest, SEED
+    return np.unique(np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def _shingle_rows(batches):
+    for batch in batches:
+        for text in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], ["shingle"])
+
+
+def repeated(docs: DataFrame) -> np.ndarray:
+    """Shingles that several documents of a sample have, the most frequent last."""
+    part = max(1, docs.count() // SAMPLE)
+    texts = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).distinct()
+    counts = texts.mapInArrow(_shingle_rows, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    found = counts.orderBy(F.desc("n"), "shingle").limit(REPEATED).select("shingle").toArrow()
+    return found.column(0).to_numpy()[::-1].view(np.uint64)
+
+
+def first_shingles(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of a set in the order: not in common (ascending) by value, then common by rank. Sets 0.8 alike share one of them."""
+    n = len(own)
+    if not n:
+        return own
+    some = n - (4 * n + 4) // 5 + 1
+    at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
+    late = np.where(common[at] == own, rank[at] + 1, 0) if len(common) else np.zeros(n, np.int64)
+    return own[np.argsort(late, kind="stable")[:some]]
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Bytes of 0 and 1: parities of the shingles of each remainder, at least as many as shingles, by a power of two."""
+    bits = max(LEAST_SKETCH, 1 << (len(own) - 1).bit_length() if len(own) else 0)
+    return np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A number of shingles that two sets differ in at least, by their sketches; the longer is folded to the shorter."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _shingled(order: np.ndarray):
+    rank = np.argsort(order)
+    common = order[rank]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                ids, rows = batch.column(0).slice(i, 256).cast(pa.int64()), []
+                for text in batch.column(1).slice(i, 256):
+                    own = shingles(text.as_py())
+                    node = xxhash.xxh64_intdigest(own.tobytes())
+                    rows.append((node, len(own), np.packbits(sketch(own), bitorder="little").tobytes(), first_shingles(own, common, rank).tobytes()))
+                nodes, sizes, sketches, firsts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(firsts, pa.binary())], ["doc_id", "fp", "n", "sketch", "firsts"])
+
+    return run
+
+
+def _dealt_firsts(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            cols = [batch.column(k).slice(i, 256) for k in range(3)]
+            node, n = (c.to_numpy(zero_copy_only=False) for c in cols[:2])
+            firsts = [np.frombuffer(x.as_py(), np.int64) for x in cols[2]]
+            each = [len(x) for x in firsts]
+            if sum(each):
+                place = np.repeat(n, each) << 32 | np.concatenate([np.arange(k) for k in each])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.repeat(node, each)), pa.array(place)], ["shard", "fp", "place"])
+
+
+def _columns(parts) -> list[np.ndarray]:
+    return [np.concatenate([p[0] for p in parts]), *(np.concatenate([p[k].to_numpy(zero_copy_only=False) for p in parts]) for k in range(1, len(parts[0])))]
+
+
+def _shared(batches):
+    """Rows of which the lengths and places in the order leave some other row of the shard possible (see _possible)."""
+    for parts in _by_shard(batches):
+        shard, node, place = _columns(parts)
+        order = np.lexsort((place >> 32, shard))
+        shard, node, place = shard[order], node[order], place[order]
+        n = place >> 32
+        most = (9 * (n - (place & ((1 << 32) - 1))) - 4 * n) // 4  # length that another may have at most
+        same = shard[1:] == shard[:-1]
+        more = np.zeros(len(shard), bool)
+        more[:-1] = same & (n[1:] <= most[:-1])  # the next is the shortest that is as long
+        part = np.append(0, np.cumsum(~same)) << 33
+        more[1:] |= same & (part[1:] + n[1:] <= np.maximum.accumulate(part + np.maximum(most, 0))[:-1])
+        if more.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (shard, node, place)], ["shard", "fp", "place"])
+
+
+def _folded(sketches) -> np.ndarray:
+    """Sketches of LEAST_SKETCH bits, a row each."""
+    width, out = LEAST_SKETCH // 64, []
+    for x in sketches:
+        out.append(np.bitwise_xor.reduce(np.frombuffer(x.as_py(), np.uint64).reshape(-1, width)))
+    return np.array(out, np.uint64).reshape(-1, width)
+
+
+def _possible(place: np.ndarray, short: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows x and y may be 0.8 alike if their shard is the first shingle in common: what follows it suffices."""
+    n, at = place >> 32, place & ((1 << 32) - 1)
+    rest = n - at
+    own = 9 * np.minimum(rest[x], rest[y]) >= 4 * (n[x] + n[y])
+    for i in range(0, len(x), STEP):
+        k = i + np.flatnonzero(own[i : i + STEP])
+        own[k] = 9 * np.bitwise_count(short[x[k]] ^ short[y[k]]).sum(axis=1, dtype=np.int64) <= n[x[k]] + n[y[k]]
+    return own
+
+
+def _pair_batch(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def _near_pairs(turn: int):
+    """Of each shard some pairs of different labels, at most three a row: with the least node, and the next by length and by chance."""
+
+    def run(batches):
+        for parts in _by_shard(batches):
+            shard, node, place, label = _columns([p[:4] for p in parts])
+            short = _folded(x for p in parts for x in p[4])
+            # the first turn has one order for all shards; later ones, with few rows left to join, eight
+            chance = mix64(node.view(np.uint64) + np.uint64(8 * turn) + (shard.view(np.uint64) & np.uint64(7 if turn else 0)))
+            for stars, order in ((True, np.lexsort((node, shard))), (False, np.lexsort((node, place >> 32, shard))), (False, np.lexsort((chance, shard)))):
+                s = shard[order]
+                first = np.ones(len(s), bool)
+                first[1:] = s[1:] != s[:-1]
+                y = np.flatnonzero(~first)
+                x, y = order[np.flatnonzero(first)[np.cumsum(first) - 1][y] if stars else y - 1], order[y]
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+                own = _possible(place, short, x, y)
+                yield _pair_batch(node, x[own], y[own])
+
+    return run
+
+
+def _pairs_apart(batches):
+    """Of each shard all pairs that may be 0.8 alike and have different labels."""
+    for parts in _by_shard(batches):
+        shard, node, place, label = _columns([p[:4] for p in parts])
+        order = np.lexsort((node, label, shard))
+        shard, node, place, label = shard[order], node[order], place[order], label[order]
+        short = _folded(x for p in parts for x in p[4])[order]
+        cut = shard[1:] != shard[:-1]
+        end = np.append(np.flatnonzero(cut) + 1, len(shard))[np.append(0, np.cumsum(cut))]
+        run = np.append(np.flatnonzero(cut | (label[1:] != label[:-1])) + 1, len(shard))[np.append(0, np.cumsum(cut | (label[1:] != label[:-1])))]
+        many = end - run  # rows after those of the same label
+        ends, begin = np.cumsum(many), 0
+        while begin < len(shard):  # a row has fewer pairs than its shard has rows; else runs of STEP
+            stop = max(int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEP, "right")), begin + 1)
+            k = many[begin:stop]
+            x = np.repeat(np.arange(begin, stop), k)
+            y = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(run[begin:stop], k)
+            own = _possible(place, short, x, y)
+            if own.any():
+                yield _pair_batch(node, x[own], y[own])
+            begin = stop
+
+
+def _unlike_left_out(batches):
+    for batch in batches:
+        n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
+        few = [9 * least_difference(x.as_py(), y.as_py()) <= k for x, y, k in zip(batch.column(4), batch.column(5), n.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(few, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+
+def _alike(batches):
     for batch in batches:
-        found = [wide_fingerprint(t.as_py()) for t in batch.column(1)]
-        nodes = [xxhash.xxh64_intdigest(f) for f in found]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(found, pa.binary())], ["doc_id", "fp", "wide"])
+        found = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            own, other = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+            found.append(9 * len(np.intersect1d(own, other, assume_unique=True)) >= 4 * (len(own) + len(other)))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(found, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+
+def _sets(bits: int, words: np.ndarray):
+    """(fp, all shingles) of documents whose number is in a filter of so many bits, or that have none."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            asked = (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            for k in np.flatnonzero(asked).tolist():
+                own = shingles(batch.column(1)[k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(own.tobytes())], np.uint64).view(np.int64)), pa.array([own.tobytes()], pa.binary())], ["fp", "own"])
+
+    return run
+
+
+def _confirmed(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that are 0.8 alike."""
+    size = groups.select("fp", "n", "sketch")
+    both = pairs.join(size.toDF("a", "na", "sa"), "a").join(size.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    left = materialize(both.mapInArrow(_unlike_left_out, "a long, b long"), "pairs")
+    nodes = materialize(left.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "asked")
+    # texts are not dealt: a filter of bounded size, which lets some others through, tells tasks of which the shingles are asked for
+    bits = min(MOST_FILTER, max(64, 1 << (16 * nodes.count()).bit_length()))
+
+    def number(col):  # documents without an id share one
+        return F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
+
+    at = nodes.join(groups.select("fp", "least"), "fp").select(number("least").alias("at"))
+    set_bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("own")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
+    words[set_bits.column(0).to_numpy()] = set_bits.column(1).to_numpy().view(np.uint64)
+    sets = docs.select(number("doc_id").alias("at"), "text").mapInArrow(_sets(bits, words), "fp long, own binary")
+    sets = materialize(sets.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.first("own").alias("own")), "sets")
+    whole = left.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
+    return materialize(whole.mapInArrow(_alike, "a long, b long"), "links")
 
 
 def _fingerprints(batches):
@@ -212,20 +446,6 @@ def _shard_links(batches):
         yield _forest_links(shard[order], value[order], value[order], RADIUS)
 
 
-def _wide_links(batches):
-    for parts in _by_shard(batches):
-        shard = np.concatenate([p[0] for p in parts])
-        node = np.concatenate([p[1].to_numpy(zero_copy_only=False) for p in parts]).view(np.uint64)
-        order = np.lexsort((node, shard))
-        shard, node = shard[order], node[order]
-        more = np.zeros(len(shard), bool)  # a shard of one has no links
-        more[1:] = shard[1:] == shard[:-1]
-        more[:-1] |= more[1:]
-        if more.any():
-            wide = np.frombuffer(b"".join(x.as_py() for p in parts for x in p[2]), np.uint64).reshape(len(shard), -1)
-            yield _forest_links(shard[more], node[more], wide[order[more]], WIDE_RADIUS)
-
-
 def tables(n: int) -> tuple[int, int]:
     """Bits of a key and number of tables for n fingerprints: a key has few of them, and RECALL of the links agree somewhere."""
     bits = max(LEAST_KEY, math.ceil(math.log2(max(n, 2))) - 2)
@@ -233,22 +453,6 @@ def tables(n: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - same))
 
 
-def _table_keys(bits: int, number: int):
-    picks = np.array([np.random.default_rng(SEED + t).choice(WIDE_BITS, bits, replace=False) for t in range(number)])
-
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                node, wide = batch.column(0).slice(i, 4096), batch.column(1).slice(i, 4096)
-                n = len(node)
-                own = np.unpackbits(np.frombuffer(b"".join(x.as_py() for x in wide), np.uint8).reshape(n, -1), axis=1).astype(np.int64)
-                for t, pick in enumerate(picks):
-                    key = own[:, pick] @ (1 << np.arange(bits, dtype=np.int64)) | t << 48
-                    yield pa.RecordBatch.from_arrays([pa.array(key), node, wide], ["shard", "fp", "wide"])
-
-    return run
-
-
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between fingerprints that connect exactly what links of at most RADIUS bits connect."""
     width = 64 // BLOCKS
@@ -291,17 +495,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id of each row of docs, by fingerprints of 256 bits over five words that differ in at most 44.
+    """doc_id and component_id of each row of docs, by links between sets of five-word shingles that are 0.8 alike.
 
-    So far apart, no block of bits need be equal; fingerprints meet in tables keyed by a few of their bits, drawn by a
-    seed, as many as find ``RECALL`` of the links at a similarity of 0.8 (nearly all of closer ones). Each key of a
-    table is a shard with its BK-tree, as above.
+    Equal sets are merged. Of each shard few pairs are compared at first, which joins large groups; then all pairs that
+    are not joined yet, so no link is missed and a group of copies does not make as many pairs as its square.
     """
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(_wide_fingerprints, "doc_id long, fp long, wide binary"), "fingerprints")
-    groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "groups")
-    dealt = groups.select("fp", "wide").mapInArrow(_table_keys(*tables(groups.count())), "shard long, fp long, wide binary")
-    edges = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_wide_links, "a long, b long")
-    return _named(rows.select("doc_id", "fp"), groups.drop("wide"), edges).select("doc_id", "component_id")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kind = "doc_id long, fp long, n long, sketch binary, firsts binary"
+    rows = materialize(docs.mapInArrow(_shingled(repeated(docs)), kind), "shingled")
+    groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("firsts").alias("firsts")), "groups")
+    place = "shard long, fp long, place long"
+    dealt = groups.select("fp", "n", "firsts").mapInArrow(_dealt_firsts, place)
+    shared = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shared, place)
+    shared = materialize(shared.join(groups.select("fp", "sketch"), "fp").select("shard", "fp", "place", "sketch"), "shared")
+
+    tried = edges = None
+    for turn in range(NEAR_TURNS + 1):
+        joined = components(edges).toDF("fp", "root") if turn else groups.select("fp", F.col("fp").alias("root"))
+        apart = shared.join(joined, "fp", "left").select("shard", "fp", "place", F.coalesce("root", "fp").alias("label"), "sketch")
+        pairs = apart.repartition("shard").sortWithinPartitions("shard").mapInArrow(_near_pairs(turn) if turn < NEAR_TURNS else _pairs_apart, "a long, b long").distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "tried")
+        found = _confirmed(docs, groups, pairs)
+        tried, edges = (tried.unionByName(pairs), edges.unionByName(found)) if turn else (pairs, found)
+    return _named(rows.select("doc_id", "fp"), groups.select("fp", "least"), edges).select("doc_id", "component_id")
 
 
 def _named(rows: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:

@@ -121,3 +121,41 @@ def test_chain_over_shards(spark):
     low = min(chain)
     assert {roots.get(x, x) for x in chain} == {low}
     assert simhash.components(edges.limit(0)).count() == 0
+
+
+def exact_components(texts):
+    """Smallest index that links of a similarity of 0.8 lead to, by brute force over all pairs."""
+    label = list(range(len(texts)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def borderline(rng, groups=40):
+    """Texts and edited copies of them on both sides of 0.8, with lines that all texts repeat."""
+    vocabulary = [f"word{i}" for i in range(2000)]
+    line = rng.choices(vocabulary, k=12)
+    texts = []
+    for g in range(groups):
+        base = rng.choices(vocabulary, k=rng.randint(6, 300)) + line * (g % 2)
+        texts.append(" ".join(base))
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rng.randint(0, 1 + len(own) // 35)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts.append(" ".join(own[: len(own) - rng.choice([0, 0, len(own) // 8])]))
+    return texts
+
+
+def similar_labels(spark, texts):
+    return {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_similar_is_exact(spark):
+    texts = borderline(random.Random(21)) + ["", None, "one two", "two one"]
+    want = exact_components(texts)
+    assert len(set(want)) > 60 and similar_labels(spark, texts) == dict(enumerate(want))
