@@ -159,3 +159,14 @@ def test_similar_is_exact(spark):
     texts = borderline(random.Random(21)) + ["", None, "one two", "two one"]
     want = exact_components(texts)
     assert len(set(want)) > 60 and similar_labels(spark, texts) == dict(enumerate(want))
+
+
+def test_similar_is_alike_at_every_size(spark):
+    """Links do not depend on how many other documents there are, nor on what a sample finds repeated."""
+    texts = borderline(random.Random(22), 12)
+    rng = random.Random(23)
+    others = [" ".join(f"other{rng.randrange(5000)}" for _ in range(8)) for _ in range(18_000)]
+    want = dict(enumerate(exact_components(texts)))
+    assert similar_labels(spark, texts) == want
+    got = similar_labels(spark, texts + others)
+    assert {k: got[k] for k in want} == want
