@@ -269,7 +269,7 @@ class Document:
 
         def walk(node, inherited: dict) -> None:
             d = self.get(node)
-            if not isinstance(d, dict) or id(d) in seen or len(seen) > 100_000:
+            if not isinstance(d, dict) or id(d) in seen:
                 return
             seen.add(id(d))
             own = inherited | {k: d[k] for k in ("Resources",) if k in d}
