@@ -13,9 +13,11 @@ rounds over those edges, each written to the shared folder.
 
 ``similar`` links documents of which the sets of five-word shingles are 0.8 alike, exactly and at every size; it is what
 the pipeline takes. Shingles have one order for all documents; of two sets that are 0.8 alike, the first shingles (one
-more than a fifth of them) have one in common, so these name the shards and every link is proposed (prefix filtering).
-The order puts shingles that a sample repeats last; the sample decides how much is compared, never what is found. What
-lengths, places in the order and parity sketches do not rule out, all bounds that hold for sure, is compared in full.
+more than a fifth of them) have one in common, so these name the shards and no link lies outside all shards. In a shard
+the SimHash values of the sets form a BK-tree, and a document is proposed the nearest node on the path by which it
+enters the tree: one proposal for a document and turn, so a group of copies costs no more than its size. What is
+confirmed on the full sets is joined. A last turn compares what the trees left apart, by bounds that hold for sure
+(lengths, places in the order, parity sketches), and confirms it likewise, so that no link is lost.
 
 Edge cases: null and empty texts have no words and the fingerprint zero, which is linked like any other; repeated rows
 each get a row; a document without an id is linked, but names no component (component_id is the smallest id that is
@@ -24,7 +26,6 @@ not null, or null if all are). Extra columns are not looked at; an empty table g
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,13 +53,9 @@ SAMPLE, REPEATED = 8192, 1 << 16
 #: Fewest bits of a sketch, and most of the filter of documents to be compared in full.
 LEAST_SKETCH, MOST_FILTER = 512, 1 << 23
 
-#: Turns of ``similar`` that compare few pairs of a shard, before one that compares all that are not joined.
-NEAR_TURNS = 3
-
-#: 256-bit fingerprints, of which 44 bits stand for a similarity of 0.8 on average only, and the tables that found a share
-#: of their links. Nothing but tests takes them.
-WIDE_BITS, WIDE_RADIUS = 256, 44
-RECALL, LEAST_KEY = 0.95, 16
+#: Turns of ``similar`` that follow trees before the one that compares all that are not joined, and the most bits
+#: between a document and the node that it is proposed. Both decide how much the last turn compares, not what is found.
+TREE_TURNS, TREE_RADIUS = 2, 14
 
 
 def fingerprint(text: str | None) -> int:
@@ -79,25 +76,6 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * total > len(starts)).tobytes(), "big")
 
 
-def wide_fingerprint(text: str | None) -> bytes:
-    """256 bits over shingles of five words, by two 128-bit hashes of each."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return bytes(WIDE_BITS // 8)
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    k = min(WIDE_SHINGLE, len(words))
-    starts, ends = starts[: len(words) - k + 1], ends[k - 1 :] - 1
-    total, digest = np.zeros(WIDE_BITS, np.int64), xxhash.xxh3_128_digest
-    for i in range(0, len(starts), STEP):
-        parts = [joined[s:e] for s, e in zip(starts[i : i + STEP].tolist(), ends[i : i + STEP].tolist(), strict=True)]
-        hashes = b"".join([digest(p, seed) for p in parts for seed in (SEED, SEED + 1)])
-        total += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, WIDE_BITS // 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * total > len(starts)).tobytes()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Hashes of the distinct shingles of five words, ascending; fewer words are one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -113,6 +91,14 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set of shingles: bit i is 1 if it is set in over half of them."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(own), STEP):
+        total += np.unpackbits(own[i : i + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(own)).tobytes(), "big")
+
+
 def _shingle_rows(batches):
     for batch in batches:
         for text in batch.column(0):
@@ -166,9 +152,10 @@ def _shingled(order: np.ndarray):
                 for text in batch.column(1).slice(i, 256):
                     own = shingles(text.as_py())
                     node = xxhash.xxh64_intdigest(own.tobytes())
-                    rows.append((node, len(own), np.packbits(sketch(own), bitorder="little").tobytes(), first_shingles(own, common, rank).tobytes()))
-                nodes, sizes, sketches, firsts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(firsts, pa.binary())], ["doc_id", "fp", "n", "sketch", "firsts"])
+                    rows.append((node, len(own), set_fingerprint(own), np.packbits(sketch(own), bitorder="little").tobytes(), first_shingles(own, common, rank).tobytes()))
+                nodes, sizes, sims, sketches, firsts = zip(*rows, strict=True)
+                cols = [ids, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(firsts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n", "sim", "sketch", "firsts"])
 
     return run
 
@@ -230,25 +217,34 @@ def _pair_batch(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def _near_pairs(turn: int):
-    """Of each shard some pairs of different labels, at most three a row: with the least node, and the next by length and by chance."""
+def _tree_pairs(turn: int):
+    """(a, b, d): for each row of a shard the nearest node of another label that it passes on its way into the BK-tree."""
 
     def run(batches):
         for parts in _by_shard(batches):
-            shard, node, place, label = _columns([p[:4] for p in parts])
-            short = _folded(x for p in parts for x in p[4])
-            # the first turn has one order for all shards; later ones, with few rows left to join, eight
-            chance = mix64(node.view(np.uint64) + np.uint64(8 * turn) + (shard.view(np.uint64) & np.uint64(7 if turn else 0)))
-            for stars, order in ((True, np.lexsort((node, shard))), (False, np.lexsort((node, place >> 32, shard))), (False, np.lexsort((chance, shard)))):
-                s = shard[order]
-                first = np.ones(len(s), bool)
-                first[1:] = s[1:] != s[:-1]
-                y = np.flatnonzero(~first)
-                x, y = order[np.flatnonzero(first)[np.cumsum(first) - 1][y] if stars else y - 1], order[y]
-                apart = label[x] != label[y]
-                x, y = x[apart], y[apart]
-                own = _possible(place, short, x, y)
-                yield _pair_batch(node, x[own], y[own])
+            shard, node, sim, label = _columns(parts)
+            several = np.zeros(len(shard), bool)
+            order = np.lexsort((label, shard))
+            differ = (shard[order][1:] == shard[order][:-1]) & (label[order][1:] != label[order][:-1])
+            several = np.isin(shard, shard[order][1:][differ])
+            shard, node, sim, label = shard[several], node[several], sim[several].view(np.uint64), label[several]
+            if not len(shard):
+                continue
+            # one order of chance for all shards, so that a group has the same roots in all that it shares
+            chance = mix64(node.view(np.uint64) + np.uint64(turn))
+            order = np.lexsort((chance, sim, shard))
+            shard, node, sim, label, chance = (c[order] for c in (shard, node, sim, label, chance))
+            new = np.ones(len(shard), bool)
+            new[1:] = (shard[1:] != shard[:-1]) | (sim[1:] != sim[:-1])
+            again = np.flatnonzero(~new & (label != np.roll(label, 1)))  # of equal value: the one before
+            tops = np.flatnonzero(new)
+            tops = tops[np.lexsort((chance[tops], shard[tops]))]
+            trees = Forest(shard[tops], sim[tops], label[tops])
+            met = np.flatnonzero(trees.nearest_distance <= TREE_RADIUS)
+            a = np.concatenate([again, tops[met]])
+            b = np.concatenate([again - 1, tops[trees.nearest[met]]])
+            d = np.concatenate([np.zeros(len(again), np.int64), trees.nearest_distance[met]])
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(d)], ["a", "b", "d"])
 
     return run
 
@@ -340,12 +336,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class Forest:
-    """BK-trees of all shards of a batch. Item i is node i of its shard's tree; the first of a shard is the root."""
+    """BK-trees of all shards of a batch. Item i is node i of its shard's tree; the first of a shard is the root.
 
-    def __init__(self, shard: np.ndarray, value: np.ndarray) -> None:
+    nearest: the closest node of another label (if labels are given) on the item's way from the root to its place.
+    """
+
+    def __init__(self, shard: np.ndarray, value: np.ndarray, label: np.ndarray | None = None) -> None:
         """Both sorted by shard; value is uint64 (a row of them for each item), distinct within a shard."""
         n = len(value)
         self.value = value.reshape(n, -1)
+        self.nearest = np.full(n, -1, np.int64)
+        self.nearest_distance = np.full(n, FURTHEST, np.int64)
         self.parent = np.full(n, -1, np.int64)
         self.edge = np.full(n, -1, np.int64)
         first = np.ones(n, bool)
@@ -357,6 +358,10 @@ class Forest:
         node = self.root[item]
         while len(item):
             d = self.distance(item, node)
+            closer = d < self.nearest_distance[item]
+            if label is not None:
+                closer &= label[item] != label[node]
+            self.nearest[item[closer]], self.nearest_distance[item[closer]] = node[closer], d[closer]
             order = np.lexsort((item, d, node))
             item, node, d = item[order], node[order], d[order]
             lead = np.ones(len(item), bool)
@@ -446,13 +451,6 @@ def _shard_links(batches):
         yield _forest_links(shard[order], value[order], value[order], RADIUS)
 
 
-def tables(n: int) -> tuple[int, int]:
-    """Bits of a key and number of tables for n fingerprints: a key has few of them, and RECALL of the links agree somewhere."""
-    bits = max(LEAST_KEY, math.ceil(math.log2(max(n, 2))) - 2)
-    same = (1 - math.acos(2 * 0.8 / 1.8) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - same))
-
-
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between fingerprints that connect exactly what links of at most RADIUS bits connect."""
     width = 64 // BLOCKS
@@ -497,26 +495,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of each row of docs, by links between sets of five-word shingles that are 0.8 alike.
 
-    Equal sets are merged. Of each shard few pairs are compared at first, which joins large groups; then all pairs that
-    are not joined yet, so no link is missed and a group of copies does not make as many pairs as its square.
+    Equal sets are merged. Trees propose a pair for each document at first, which joins large groups; then all pairs
+    that are not joined yet are compared, so no link is missed and a group of copies does not make as many pairs as its
+    square.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kind = "doc_id long, fp long, n long, sketch binary, firsts binary"
+    kind = "doc_id long, fp long, n long, sim long, sketch binary, firsts binary"
     rows = materialize(docs.mapInArrow(_shingled(repeated(docs)), kind), "shingled")
-    groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("firsts").alias("firsts")), "groups")
+    own = [F.first(c).alias(c) for c in ("n", "sim", "sketch", "firsts")]
+    groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *own), "groups")
     place = "shard long, fp long, place long"
     dealt = groups.select("fp", "n", "firsts").mapInArrow(_dealt_firsts, place)
     shared = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shared, place)
-    shared = materialize(shared.join(groups.select("fp", "sketch"), "fp").select("shard", "fp", "place", "sketch"), "shared")
+    shared = materialize(shared.join(groups.select("fp", "sim", "sketch"), "fp").select("shard", "fp", "place", "sim", "sketch"), "shared")
 
-    tried = edges = None
-    for turn in range(NEAR_TURNS + 1):
+    edges = None
+    for turn in range(TREE_TURNS + 1):
         joined = components(edges).toDF("fp", "root") if turn else groups.select("fp", F.col("fp").alias("root"))
-        apart = shared.join(joined, "fp", "left").select("shard", "fp", "place", F.coalesce("root", "fp").alias("label"), "sketch")
-        pairs = apart.repartition("shard").sortWithinPartitions("shard").mapInArrow(_near_pairs(turn) if turn < NEAR_TURNS else _pairs_apart, "a long, b long").distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "tried")
+        apart = shared.join(joined, "fp", "left").withColumn("label", F.coalesce("root", "fp"))
+        if turn < TREE_TURNS:
+            near = apart.select("shard", "fp", "sim", "label").repartition("shard").sortWithinPartitions("shard").mapInArrow(_tree_pairs(turn), "a long, b long, d long")
+            pairs = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("near")).select("a", "near.b")
+        else:
+            pairs = apart.select("shard", "fp", "place", "label", "sketch").repartition("shard").sortWithinPartitions("shard").mapInArrow(_pairs_apart, "a long, b long").distinct()
         found = _confirmed(docs, groups, pairs)
-        tried, edges = (tried.unionByName(pairs), edges.unionByName(found)) if turn else (pairs, found)
+        edges = edges.unionByName(found) if turn else found
     return _named(rows.select("doc_id", "fp"), groups.select("fp", "least"), edges).select("doc_id", "component_id")
 
 

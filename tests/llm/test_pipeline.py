@@ -2,10 +2,9 @@ from collections import Counter
 
 import corpus_pipeline as cp
 from fileloom.llm import queries
-from fileloom.llm.simhash import WIDE_RADIUS, wide_fingerprint
 from tests.llm.test_decontam import plain as leaks
 from tests.llm.test_quality import counts
-from tests.llm.test_simhash import connected
+from tests.llm.test_simhash import exact_components
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -23,8 +22,7 @@ def test_stages_against_brute_force(spark, sf_dir):
 
     second = cp.near_dedup(spark, first, sf_dir)
     ids = sorted(kept)
-    label = connected([int.from_bytes(wide_fingerprint(rows[d].text), "big") for d in ids], WIDE_RADIUS)
-    want = {ids[k] for k in set(label)}
+    want = {ids[k] for k in set(exact_components([rows[d].text for d in ids]))}
     assert {r.doc_id for r in second.collect()} == want
 
     third = cp.decontamination(spark, second, sf_dir)

@@ -61,41 +61,6 @@ def test_trees_find_every_link():
     assert simhash.forest_labels(np.zeros(len(values), int), values).tolist() == connected([int(v) for v in values])
 
 
-def jaccard(a, b):
-    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
-    return len(x & y) / len(x | y)
-
-
-def wide_components(texts):
-    """Classes of equal components, by brute force over all fingerprints."""
-    values = [int.from_bytes(simhash.wide_fingerprint(t), "big") for t in texts]
-    return connected(values, simhash.WIDE_RADIUS)
-
-
-def test_similar_documents(spark):
-    """Near copies of 0.85 and more are found, others stay apart, and nothing is linked that brute force does not link."""
-    rng = random.Random(12)
-    vocabulary = [f"word{i}" for i in range(3000)]
-    texts = []
-    for _ in range(60):
-        base = rng.choices(vocabulary, k=rng.randint(60, 400))
-        texts.append(" ".join(base))
-        for _ in range(3):
-            own = list(base)
-            for k in range(rng.randint(0, max(1, len(own) // 90))):
-                own[rng.randrange(len(own))] = rng.choice(vocabulary)
-            texts.append(" ".join(own))
-    texts += ["", None, "one two", texts[0], texts[4].upper()]
-    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    label = wide_components(texts)
-    assert all(label[i] == label[got[i]] for i in got)
-    whole = [t or "" for t in texts]
-    close = [(i, j) for i in range(240) for j in range(i) if i // 4 == j // 4 and jaccard(whole[i], whole[j]) >= 0.85]
-    assert len(close) > 150 and sum(got[i] == got[j] for i, j in close) >= 0.99 * len(close)
-    assert not any(got[i] == got[j] for i in range(240) for j in range(i) if i // 4 != j // 4)
-    assert got[243] == got[0] and got[244] == got[4] and got[241] == got[240]
-
-
 @pytest.mark.parametrize("name", ["odd", "empty"])
 def test_similar_odd(request, name):
     docs = request.getfixturevalue(name)
@@ -104,9 +69,21 @@ def test_similar_odd(request, name):
     assert all(r.component_id is None or r.doc_id is None or r.component_id <= r.doc_id for r in got.collect())
 
 
-def test_tables_grow_with_the_input():
-    assert simhash.tables(10) == simhash.tables(200_000) == (16, 40)
-    assert simhash.tables(1 << 24) == (22, 110)
+def test_path_into_the_tree():
+    """nearest is the closest of an item's ancestors that has another label."""
+    rng = np.random.default_rng(8)
+    value = np.unique(rng.integers(0, 1 << 20, 300).astype(np.uint64))
+    label = rng.integers(0, 3, len(value))
+    trees = simhash.Forest(np.arange(len(value)) // 100, value, label)
+    for i in range(len(value)):
+        k, best = trees.parent[i], simhash.FURTHEST
+        while k >= 0:
+            if label[k] != label[i]:
+                best = min(best, int(value[i] ^ value[k]).bit_count())
+            k = trees.parent[k]
+        assert trees.nearest_distance[i] == best
+        if best < simhash.FURTHEST:
+            assert int(value[i] ^ value[trees.nearest[i]]).bit_count() == best and label[trees.nearest[i]] != label[i]
 
 
 def test_chain_over_shards(spark):
@@ -161,6 +138,26 @@ def test_similar_is_exact(spark):
     assert len(set(want)) > 60 and similar_labels(spark, texts) == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("radius", [0, 64])
+def test_trees_do_not_decide(spark, monkeypatch, radius):
+    """However near proposals of the trees must be, the same documents are linked."""
+    monkeypatch.setattr(simhash, "TREE_RADIUS", radius)
+    texts = borderline(random.Random(24), 10)
+    assert similar_labels(spark, texts) == dict(enumerate(exact_components(texts)))
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies that differ from a base and from each other become one group, with few pairs compared."""
+    rng = random.Random(25)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(600):
+        own = list(base)
+        own[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    assert set(similar_labels(spark, texts).values()) == {0}
+
+
 def test_similar_is_alike_at_every_size(spark):
     """Links do not depend on how many other documents there are, nor on what a sample finds repeated."""
     texts = borderline(random.Random(22), 12)
