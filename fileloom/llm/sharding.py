@@ -1,16 +1,18 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly, bytes first.
 
-Equal texts go together: rows are gathered by the hash of their text in ``PARCELS`` parcels, a fixed number whatever the
-input, so that what is packed on the driver is bounded. A group of copies that holds over 1 / ``GRAIN`` of a shard's
-fair share (at most 3 * shards * GRAIN such groups can exist) is cut out of its parcel into pieces by the hash of the
-id, as no shard could hold a group of a third of all rows. Parcels and pieces, largest first, go each to the shard where
-the dot product of its (bytes, tokens, rows) and the shard's residual capacity is highest.
+Equal texts go together. What is packed are groups of equal texts: each group that holds over 1 / ``GRAIN`` of a shard's
+fair share of bytes, tokens or rows by itself (at most 3 * shards * GRAIN such groups can exist), the smaller ones
+gathered whole by the hash of their text in ``PARCELS`` parcels, a fixed number whatever the input, so that what is
+packed on the driver is bounded. Parcels and groups, largest first, go each to the shard where the dot product of its
+(bytes, tokens, rows) and the shard's residual capacity is highest. One exit: a group with more bytes than a shard's fair
+share fits in no shard of near-equal bytes; it is cut by the hash of the id into as many pieces as it fills shares. A
+group that exceeds a share in rows or tokens only stays whole.
 
 Slots number a shard's rows without gaps: rows are numbered within (shard, lane) and lanes begin where the counts of
 those before end, so no task sees a whole shard.
 
 Edge cases: a null text is a group of its own with no bytes; a size is bytes plus ``OVERHEAD``; repeated rows go
-together unless their group is cut; null ids form one lane; an empty table gives an empty result; extra columns are not
+together; rows without an id are spread by their texts; an empty table gives an empty result; extra columns are not
 looked at.
 """
 
@@ -32,6 +34,10 @@ LANES = 64
 #: Weight of bytes, tokens and rows in the dot product: the law is near-equal bytes.
 DIMENSIONS = ("size", "tokens", "n")
 WEIGHTS = (4.0, 1.0, 1.0)
+#: Packed items change places until no shard has this share more bytes than another, or so many times for each shard.
+EVEN, SWAPS = 0.001, 16
+#: What tells equal texts: two hashes and the size.
+GROUP = "of long, text_crc32 long, size long"
 
 
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -40,11 +46,34 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     share = vectors / np.where(total > 0, total, 1) * np.sqrt(WEIGHTS)
     residual = np.tile(share.sum(0) / shards, (shards, 1))
     out = np.zeros(len(share), np.int64)
-    for i in np.lexsort((np.arange(len(share)), -share.max(1, initial=0))):
+    for i in np.lexsort((np.arange(len(share)), -share.sum(1), -share[:, 0])):  # largest in bytes first, as they are the law
         k = int(np.argmax(residual @ share[i]))
         out[i] = k
         residual[k] -= share[i]
-    return out
+    return settle(vectors[:, 0], out, shards)
+
+
+def settle(size: np.ndarray, place: np.ndarray, shards: int) -> np.ndarray:
+    """Evens the bytes out: items of the fullest and of the emptiest shard change places, one for one, while that helps."""
+    place, fill = place.copy(), np.bincount(place, size, shards)
+    for _ in range(SWAPS * shards):
+        high, low = int(fill.argmax()), int(fill.argmin())
+        gap = fill[high] - fill[low]
+        a, b = np.flatnonzero(place == high), np.flatnonzero(place == low)
+        if gap <= EVEN * fill.mean() or not len(b):
+            break
+        b = b[np.argsort(size[b], kind="stable")]
+        at = np.searchsorted(size[b], size[a] - gap / 2).clip(0, len(b) - 1)
+        x = np.concatenate([a, a])
+        y = np.concatenate([b[at], b[np.maximum(at - 1, 0)]])
+        moved = size[x] - size[y]
+        k = int(np.argmin(np.abs(moved - gap / 2)))
+        if not 0 < moved[k] < gap:
+            break
+        place[x[k]], place[y[k]] = low, high
+        fill[high] -= moved[k]
+        fill[low] += moved[k]
+    return place
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -58,29 +87,30 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64("text").alias("of"),
     )
-    rows = materialize(rows, "sizes").withColumn("spread", F.xxhash64("doc_id"))
+    rows = materialize(rows, "sizes").withColumn("spread", F.xxhash64("doc_id", "of"))
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
     parcel = F.pmod("of", F.lit(PARCELS))
     by_parcel = rows.groupBy(parcel.alias("parcel")).agg(*sums).collect()  # PARCELS rows at most
     total = {k: sum(r[k] for r in by_parcel) or 1 for k in DIMENSIONS}
     limit = {k: total[k] / (shards * GRAIN) for k in DIMENSIONS}
     heavy = [r.parcel for r in by_parcel if any(r[k] > limit[k] for k in DIMENSIONS)]
-    cut = []
+    own = []
     if heavy:
         # only a heavy parcel can hold a heavy group; there are 3 * shards * GRAIN of those at most
         over = F.lit(False)
         for k in DIMENSIONS:
-            over |= F.col(k) > limit[k]
-        groups = rows.where(parcel.isin(heavy)).groupBy("of").agg(*sums).where(over).collect()
-        cut = [(r.of, max(math.ceil(r[k] / limit[k]) for k in DIMENSIONS)) for r in sorted(groups, key=lambda r: r.of)]
-    if cut:
-        begin, first = PARCELS, []
-        for of, pieces in cut:
-            first.append((of, pieces, begin))
+            over |= F.col(f"all_{k}") > limit[k]
+        of_group = [F.col(c.split(" ")[0]) for c in GROUP.split(", ")]
+        groups = rows.where(parcel.isin(heavy)).groupBy(*of_group).agg(*[F.sum(k).alias(f"all_{k}") for k in ("size", "tokens")], F.count("*").alias("all_n")).where(over).collect()
+        share = total["size"] / shards
+        begin = PARCELS
+        for g in sorted(groups, key=lambda g: (g.of, g.text_crc32, g.size)):
+            own.append((g.of, g.text_crc32, g.size, pieces := max(1, math.ceil(g.all_size / share)), begin))
             begin += pieces
-        pieces = F.broadcast(spark.createDataFrame(first, "of long, pieces int, begin int"))
-        rows = rows.join(pieces, "of", "left").withColumn("parcel", F.coalesce(F.col("begin") + F.pmod("spread", "pieces"), parcel)).drop("pieces", "begin")
-        by_parcel = rows.groupBy("parcel").agg(*sums).collect()  # PARCELS and at most 2 pieces for each heavy group's limit
+    if own:
+        pieces = F.broadcast(spark.createDataFrame(own, f"{GROUP}, pieces int, begin int"))
+        rows = rows.join(pieces, [c.split(" ")[0] for c in GROUP.split(", ")], "left").withColumn("parcel", F.coalesce(F.col("begin") + F.pmod("spread", "pieces"), parcel)).drop("pieces", "begin")
+        by_parcel = rows.groupBy("parcel").agg(*sums).collect()  # PARCELS, the heavy groups, and at most shards more for those that are cut
     else:
         rows = rows.withColumn("parcel", parcel)
     by_parcel = sorted(by_parcel, key=lambda r: r.parcel)
@@ -90,6 +120,6 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     counts = rows.groupBy("shard", "lane").agg(F.count("*").alias("n"))  # shards * LANES rows
     ahead = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "lane", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    own = F.row_number().over(Window.partitionBy("shard", "lane").orderBy("doc_id", "text_crc32", "size"))
-    placed = rows.withColumn("own", own).join(F.broadcast(counts), ["shard", "lane"])
+    number = F.row_number().over(Window.partitionBy("shard", "lane").orderBy("doc_id", "text_crc32", "size"))
+    placed = rows.withColumn("own", number).join(F.broadcast(counts), ["shard", "lane"])
     return placed.select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("ahead") + F.col("own") - 1).alias("slot"))
