@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a kernel works on at a time; temporaries are some 100 bytes for each.
 CHUNK_BYTES = 1 << 20
+#: Longer slices are hashed one by one.
+LONG_SLICE = 256
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -85,7 +88,8 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
 
 
 class Hasher:
-    """Hashes of any slices of a byte array, from one prefix sum."""
+    """Hashes of any slices of a byte array, from one prefix sum. A polynomial modulo 2^64: only for slices of under 256 bytes,
+    as longer ones can be made to collide (a Thue-Morse string and its complement)."""
 
     def __init__(self) -> None:
         self._pw = self._inv = np.ones(0, np.uint64)
@@ -105,6 +109,27 @@ class Hasher:
             return mix64((prefix[end] - prefix[start]) * self._inv[start] + (end - start).astype(np.uint64))
 
 
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of slices of any length: of up to LONG_SLICE bytes by rounds of 8 bytes, of longer ones XXH64."""
+    n = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    with np.errstate(over="ignore"):
+        out = mix64(n.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+        todo = np.flatnonzero((n > 0) & (n <= LONG_SLICE))
+        at = 0
+        while len(todo):
+            block, rest = eight[start[todo] + at], n[todo] - at
+            short = rest < 8
+            block[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+            out[todo] = mix64(out[todo] ^ mix64(block + np.uint64(at + 1)))
+            at += 8
+            todo = todo[rest > 8]
+    for k in np.flatnonzero(n > LONG_SLICE).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[start[k] : end[k]].tobytes())
+    return out
+
+
 def chunks(col: pa.Array, limit: int = CHUNK_BYTES):
     """(first row, row after the last, bytes, offsets from 0) of runs of rows with about limit bytes; null counts as ''."""
     if pa.types.is_string_view(col.type) or not (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)):

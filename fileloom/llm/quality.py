@@ -1,7 +1,7 @@
 """Quality rules: counted rules first, then a calibrated logistic regression on hashed word and character n-grams.
 
 Training reads labelled rows (1 good, 0 bad), at most ``max_train`` of them (half of each class, those with the
-smallest hash of their id); rows whose labels contradict each other or are null are not used. A quarter is held out
+smallest hash of their id) and at most ``MAX_TRAIN_BYTES`` of their features, which is what the driver holds; rows whose labels contradict each other or are null are not used. A quarter is held out
 to calibrate the scores (Platt's sigmoid). Scoring runs in Arrow batches over whole texts; a document is kept if no
 counted rule fails and its calibrated probability reaches the fixed ``threshold``.
 
@@ -14,16 +14,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import Hasher, chunks, mix64, sums, words_of
+from fileloom.llm.common import chunks, mix64, slice_hashes, sums, words_of
 
 BITS = 16
 DIM = 1 << BITS
 #: A document is kept from this calibrated probability of being good.
 THRESHOLD = 0.45
 MAX_TRAIN = 2000
+#: Bytes of the features of labelled rows, 8 for each distinct n-gram of a row; rows beyond them are not used.
+MAX_TRAIN_BYTES = 96 << 20
+#: Features whose gradient is summed at a time.
+STEP = 1 << 20
 #: Counted rules: fewest words, and the most of 100 words that lie in repeated windows of three.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A mean over thousands of n-grams is small; this factor brings its gradient to a useful size.
@@ -52,14 +56,10 @@ def _repeats(keys: np.ndarray) -> np.ndarray:
 class Kernel:
     """Counts and hashed features of a run of rows."""
 
-    def __init__(self) -> None:
-        self.hasher = Hasher()
-
     def read(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.data, self.offsets = data, offsets
-        self.prefix = self.hasher.prefix(data)
         self.starts, self.ends, self.first = words_of(data, offsets)
-        self.words = self.hasher.slices(self.prefix, self.starts, self.ends)
+        self.words = slice_hashes(data, self.starts, self.ends)
 
     def counts(self) -> list[np.ndarray]:
         data, offsets, first = self.data, self.offsets, self.first
@@ -75,7 +75,7 @@ class Kernel:
         begin, end = begin[has], end[has]
         row = np.searchsorted(offsets, begin, "right") - 1
         with np.errstate(over="ignore"):
-            keys = self.hasher.slices(self.prefix, begin, end) + mix64(row.astype(np.uint64) + np.uint64(1))
+            keys = slice_hashes(data, begin, end) + mix64(row.astype(np.uint64) + np.uint64(1))
         _, at = np.unique(keys, return_index=True)
         dup = np.bincount(row, minlength=rows) - np.bincount(row[at], minlength=rows)
         # windows of three words
@@ -120,11 +120,11 @@ def logits(kernel: Kernel, weights: np.ndarray, bias: float) -> np.ndarray:
 
 
 def _sparse(batches):
-    """(label, indices, values) of labelled rows; int32 and float32 as bytes."""
+    """(doc_id, label, indices, values) of labelled rows; int32 and float32 as bytes."""
     kernel = Kernel()
     for batch in batches:
-        labels, found = batch.column(1).to_pylist(), []
-        for i, j, data, offsets in chunks(batch.column(0)):
+        found = []
+        for i, j, data, offsets in chunks(batch.column(2)):
             kernel.read(data, offsets)
             parts = [[] for _ in range(i, j)]
             for f, (bucket, begin, end) in enumerate(kernel.features()):
@@ -133,7 +133,7 @@ def _sparse(batches):
                         at, n = np.unique(bucket[b:e], return_counts=True)
                         parts[k].append((at.astype(np.int32) + f * DIM, (SCALE * n / (e - b)).astype(np.float32)))
             found += [(np.concatenate([p[0] for p in x]).tobytes(), np.concatenate([p[1] for p in x]).tobytes()) if x else (b"", b"") for x in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["label", "at", "value"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["doc_id", "label", "at", "value"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -151,30 +151,45 @@ def fit(rows: list[tuple[int, bytes, bytes]], steps: int = 80, rate: float = 0.1
     y = np.array([r[0] for r in rows], float)
 
     def stacked(mask):
-        """Columns and values of the rows one after another, where each begins, and the labels."""
+        """Runs of rows with about STEP features: their columns and values one after another, where each begins, how long it is."""
         pick = np.flatnonzero(mask)
-        at = [np.frombuffer(rows[i][1], np.int32) for i in pick]
-        length = np.array([len(a) for a in at])
-        return np.concatenate(at).astype(np.int64), np.concatenate([np.frombuffer(rows[i][2], np.float32) for i in pick]), np.cumsum(length) - length, length, y[pick]
-
-    def scores(col, val, first):
-        return np.add.reduceat(w.astype(np.float32)[col] * val, first).astype(float) + bias
-
-    col, val, first, length, t = stacked(~held)
+        ends, runs, i = np.cumsum([len(rows[k][1]) // 4 for k in pick]), [], 0
+        while i < len(pick):
+            j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP, "right")), i + 1)
+            own = [rows[k] for k in pick[i:j]]
+            length = np.array([len(r[1]) // 4 for r in own])
+            runs.append((np.frombuffer(b"".join(r[1] for r in own), np.int32), np.frombuffer(b"".join(r[2] for r in own), np.float32), np.cumsum(length) - length, length))
+            i = j
+        return runs, y[pick]
+
+    def scores(runs):
+        light = w.astype(np.float32)
+        return np.concatenate([np.add.reduceat(light[col] * val, first) for col, val, first, _ in runs]).astype(float) + bias
+
+    def gradient(runs, g):
+        out, at = np.zeros(3 * DIM), 0
+        for col, val, first, length in runs:
+            out += np.bincount(col, np.repeat(g[at : at + len(first)].astype(np.float32), length) * val, minlength=3 * DIM)
+            at += len(first)
+        return out
+
+    runs, t = stacked(~held)
+    check, held_t = stacked(held)
+    rows.clear()
     balance = np.where(t == 1, 0.5 / max(t.sum(), 1), 0.5 / max((1 - t).sum(), 1))
     w, bias = np.zeros(3 * DIM), 0.0
     m, v, mb, vb = np.zeros(3 * DIM), np.zeros(3 * DIM), 0.0, 0.0
     for k in range(1, steps + 1):
-        g = (_sigmoid(scores(col, val, first)) - t) * balance
-        gw, gb = np.bincount(col, np.repeat(g.astype(np.float32), length) * val, minlength=3 * DIM) + decay * w, g.sum()
+        g = (_sigmoid(scores(runs)) - t) * balance
+        gw, gb = gradient(runs, g) + decay * w, g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**k, 1 - 0.99**k
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-6)
         bias -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
     a, b = 1.0, 0.0
-    col, val, first, length, t = stacked(held) if held.any() else (col, val, first, length, t[:0])
+    t = held_t
     if 0 < t.sum() < len(t):
-        z = scores(col, val, first)
+        z = scores(check)
         n1, n0 = t.sum(), len(t) - t.sum()
         target = np.where(t == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         # each class counts the same: the share of bad rows among the labelled ones is no prior for the corpus
@@ -202,8 +217,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dic
         picked = some if picked is None else picked.unionByName(some)
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_train pairs of numbers
     texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # rows that share an id count once
-    rows = texts.select("text", "label").mapInArrow(_sparse, "label int, at binary, value binary").collect()
-    return fit([(r.label, bytes(r.at), bytes(r.value)) for r in rows])
+    rows = texts.select("doc_id", "label", "text").mapInArrow(_sparse, "doc_id long, label int, at binary, value binary")
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over max_train rows
+    rows = rows.withColumn("held", F.sum(F.octet_length("at") + F.octet_length("value")).over(so_far)).where(F.col("held") <= MAX_TRAIN_BYTES)
+    found = rows.select("label", "at", "value").toArrow()
+    return fit(list(zip(*(c.to_pylist() for c in found.columns), strict=True)))
 
 
 def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:

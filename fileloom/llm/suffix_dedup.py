@@ -155,15 +155,8 @@ def _runs(batches):
     for batch in batches:
         ids = _ids(batch.column(0))
         for i, j, data, offsets in chunks(batch.column(1)):
-            if len(data) > PIECE_BYTES:
-                texts = np.array([_text_hash(data)], np.uint64)
-            else:
-                texts = hasher.slices(hasher.prefix(data), offsets[:-1], offsets[1:])
-            yield hasher, ids[i:j], data, offsets, texts
-
-
-def _text_hash(data: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(data.tobytes())
+            texts = [xxhash.xxh64_intdigest(data[b:e].tobytes()) for b, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield hasher, ids[i:j], data, offsets, np.array(texts, np.uint64)
 
 
 def home(ids: np.ndarray, texts: np.ndarray, parts: int) -> np.ndarray:

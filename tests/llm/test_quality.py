@@ -28,6 +28,27 @@ def test_counts(request, name):
     assert all(r.kept == (not r.base_failed) and r.probability is None for r in got)
 
 
+def test_lines_and_windows_that_polynomials_confuse(spark):
+    """A Thue-Morse string and its complement, as lines and as words."""
+    s = "ab"
+    while len(s) < 4096:
+        s += s.translate({97: 98, 98: 97})
+    t = s.translate({97: 98, 98: 97})
+    docs = spark.createDataFrame([(1, f"{s}\n{t}\n"), (2, f"{s} x y {t} x y {s}"), (3, f"{s} x y {s} x y"), (4, f"{s[:255]}\n{s[:256]}\n{s[:257]}\n{s[:256]}")], "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:7] for r in quality.judge(docs, None).collect()}
+    assert got == {r.doc_id: counts(r.text) for r in docs.collect()}
+    assert got[1][3] == 0 and got[4][3] == 1
+
+
+def test_training_is_bounded_by_bytes(spark, documents, sf_dir, monkeypatch):
+    labels = queries.table(spark, sf_dir, "labels")
+    monkeypatch.setattr(quality, "MAX_TRAIN_BYTES", 400_000)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows: seen.extend(rows))
+    quality.train(documents, labels)
+    assert 0 < sum(len(r[1]) + len(r[2]) for r in seen) <= 400_000
+
+
 def test_held_out_accuracy(spark, sf_dir):
     """Trained on the even ids' labels, judged on the odd ones."""
     big = sf_dir.replace("0.001", "0.01")
