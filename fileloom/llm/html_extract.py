@@ -3,13 +3,16 @@
 All pages of a host are merged into one tree of style nodes: a node is the path of tag names, classes and ids from the
 body on, so that elements of the same style are one node. On each page a node has a presentation (the sequence of its
 children's styles) and a content (its text). Over a host's pages the entropy of both, as a share of the greatest
-possible one, is the node's importance: what looks and reads the same on every page carries nothing. Nodes on at least
-``MIN_PAGES`` pages with an importance under ``LOW`` of the host's most important node are noise, and their branches
-are cut from each page.
+possible one, is the node's importance: what looks and reads the same on every page carries nothing. Nodes with an
+importance under ``LOW`` of the host's most important node are noise, and their branches are cut from each page.
 
-Some branches are noise by what they are, however varied: menus, footers, sidebars, forms, scripts and the like, by tag,
-role, class or id. Of what stays, the article counts, else the main element, else the whole body.
+Entropies need pages. A node on ``MIN_PAGES`` pages or more is judged by them; one on ``FEW_PAGES`` or more only if it is
+the same on all of them, and counts as fully important otherwise. What an element is named (by tag, role, class or id:
+menus, footers, sidebars, adverts, comments and the like) weighs in as a prior: its entropy counts ``NAMED`` only, so that
+named branches go however varied they are, unless they hold the page (a form around everything, a class that names what
+a page has). Only markup that is never text (scripts, styles, controls, what is hidden) is left out before the tree.
 
+Of what the tree leaves the articles count if they hold a quarter of it, else the main element likewise, else the body.
 Texts: character references are decoded, white space within a block becomes one space, blocks are trimmed and joined
 in page order by a newline; <br> is white space.
 
@@ -18,7 +21,8 @@ noise nodes of all hosts are broadcast only if they are at most ``BROADCAST_ROWS
 
 Edge cases: null or empty html has an empty text; a null url belongs to the host ''; repeated pages each get a row; an
 empty table gives an empty result; extra columns are not looked at. Broken markup never fails: unclosed elements end
-with their parent, and what is left open by an unterminated comment or script is dropped, as browsers do.
+with their parent, what is left open by an unterminated comment or script is dropped, and elements within over
+``STACK`` others are taken for siblings, as browsers do. Reading is linear in the page.
 """
 
 from __future__ import annotations
@@ -34,12 +38,16 @@ from pyspark.sql import functions as F
 
 from fileloom.llm.common import materialize
 
-MIN_PAGES = 20
+MIN_PAGES, FEW_PAGES = 20, 3
 LOW = 0.3
 #: How much presentation counts against content.
 PRESENTATION = 0.25
-#: Levels of a style's path; deeper elements share their ancestor's style.
-DEPTH = 48
+#: What the importance of an element that is named as noise is multiplied by.
+NAMED = 0.25
+#: Share of the text that articles, or else the main element, must hold to be the main text.
+HELD = 0.25
+#: Levels of a style's path; deeper elements share their ancestor's style. Most elements that are open at a time.
+DEPTH, STACK = 48, 512
 BROADCAST_ROWS = 20_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,22 +61,35 @@ BLOCK = frozenset(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = frozenset("ul ol dl table div section article main body td".split())
 
-NOISE_TAGS = frozenset("head nav footer aside form button select datalist dialog menu script style title textarea noscript template iframe svg math canvas object audio video map search xmp noframes".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog note status".split())
-#: Words of a class or id.
-NOISE_WORDS = frozenset(
+#: Never text.
+NEVER = frozenset("head script style title textarea noscript template iframe xmp noframes svg math canvas object audio video map button select datalist".split())
+#: Named as noise by tag or role.
+NAMED_TAGS = frozenset("nav footer aside form dialog menu search".split())
+NAMED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog status".split())
+#: Named as noise by class or id: every part of the name is one of these words or says where it stands, and one is of these.
+NAMED_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer sidebar sidenav aside ad ads advert adverts advertisement "
     "advertising adsense adsbygoogle sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
-    "subscription comment comments respond disqus replies share sharing social related recommended widget login signup searchform toolbar skip".split()
+    "subscription comment comments respond disqus replies share sharing social related recommended widget widgets login signup searchform toolbar skip".split()
+)
+PLACE_WORDS = frozenset(
+    "main top bottom left right upper lower site page global primary secondary first second outer inner container wrapper wrap box block area section bar inline "
+    "list item items link links posts slot unit banner bubble form panel column col region content title header heading body group button buttons icons js css div id".split()
 )
 #: Noise outside an article only: inside, they head or foot the article itself.
 OUTER_TAGS = frozenset({"header"})
 OUTER_WORDS = frozenset({"header", "masthead", "banner", "topbar"})
+#: What shows that a named branch holds the page.
+HOLDS_FORM = frozenset("h1 main article nav header footer".split())
+HOLDS_CLASS = frozenset("h1 main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+_HEAD = re.compile(r"/?([A-Za-z][^\s/>]*)")
+_INSIDE = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+")
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-z]+")
+#: Numbers that tell elements apart, not styles: post-4711 and post-4712 are one style, col-1 and col-2 are two.
+_DIGITS = re.compile(r"[0-9]{3,}")
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -77,86 +98,131 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
+def names_noise(token: str, words: frozenset = NAMED_WORDS) -> bool:
+    """Whether a class or id means such a part of a page: cookie-notice does, no-sidebar or share-price-report does not."""
+    parts = [w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if w]
+    return any(w in words for w in parts) and all(w in words or w in PLACE_WORDS for w in parts)
+
+
 class Node:
-    """An element while it is open. style: its path; noise, article, main: whether it or what it is in is such."""
+    """An element while it is open.
+
+    style and path: its own and all styles from the body on; named: what it is named noise by ('' if it is not); holds: tags
+    in it that show that it holds the page; never, article, main: whether it or what it is in is such.
+    """
 
-    __slots__ = ("article", "depth", "main", "noise", "style", "tag")
+    __slots__ = ("article", "depth", "holds", "main", "named", "never", "path", "style", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         found: dict[str, str] = {}
         if attributes:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 found.setdefault(name.lower(), unescape(a or b or c))
-        classes = " ".join(sorted(found.get("class", "").split()))
+        classes = found.get("class", "").split()
         self.tag = tag
         self.depth = parent.depth + 1 if parent else 0
-        own = tag + (f".{classes}" if classes else "") + (f"#{i}" if (i := re.sub(r"[0-9]+", "0", found.get("id", ""))) else "")
-        self.style = own if not parent or tag in ("html", "body") else f"{parent.style}/{own}" if self.depth < DEPTH else parent.style
+        self.holds: set[str] = set()
         self.article = bool(parent and parent.article)
         self.main = bool(parent and parent.main)
-        self.noise = bool(parent and parent.noise)
-        if tag in ("html", "body"):
-            return
-        role = found.get("role", "").lower()
-        words = {w for x in (found.get("class", ""), found.get("id", "")) for w in _SPLIT.split(x.lower()) if w}
-        noisy = tag in NOISE_TAGS or role in NOISE_ROLES or bool(words & NOISE_WORDS) or "hidden" in found or found.get("aria-hidden") == "true"
-        noisy |= not self.article and (tag in OUTER_TAGS or bool(words & OUTER_WORDS))
-        self.noise |= noisy
-        if not self.noise:
-            self.article |= tag == "article"
-            self.main |= tag == "main" or role == "main"
+        self.never = bool(parent and parent.never) or tag in NEVER or "hidden" in found or found.get("aria-hidden") == "true"
+        self.named = "" if tag in ("html", "body") else self._named_by(tag, found.get("role", "").lower(), [*classes, found.get("id", "")])
+        own = tag + "".join(f".{c}" for c in sorted(_DIGITS.sub("0", c) for c in classes)) + (f"#{i}" if (i := _DIGITS.sub("0", found.get("id", ""))) else "")
+        if parent is None or tag in ("html", "body"):
+            self.style, self.path = own, (own,) if tag in BLOCK else ()
+        elif self.depth < DEPTH:
+            self.style = f"{parent.style}/{own}"
+            self.path = (*parent.path, self.style) if tag in BLOCK or self.named else parent.path
+        else:
+            self.style, self.path = parent.style, parent.path
+        self.article |= tag == "article"
+        self.main |= tag == "main" or found.get("role", "").lower() == "main"
+
+    def _named_by(self, tag: str, role: str, names: list[str]) -> str:
+        if tag in NAMED_TAGS or role in NAMED_ROLES:
+            # an aside in an article may be part of it: only the tree can tell
+            return "" if tag == "aside" and self.article and not role else "form" if tag == "form" else "tag"
+        if not self.article and (tag in OUTER_TAGS or any(names_noise(x, OUTER_WORDS) for x in names)):
+            return "outer"
+        return "class" if any(names_noise(x) for x in names) else ""
+
+    def prior(self) -> float:
+        if not self.named or (self.named == "form" and self.holds & HOLDS_FORM) or (self.named == "class" and self.holds & HOLDS_CLASS) or (self.named == "outer" and "main" in self.holds):
+            return 1.0
+        return NAMED
 
 
 class Page:
-    """What a page consists of: blocks of text with the styles they are in, and each style's sequence of children."""
+    """What a page consists of: blocks of pieces of text with the elements they are in, and each style's sequence of children."""
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[str, list[str], bool, bool]] = []  # text, styles from the body on, in article, in main
+        self.blocks: list[list[tuple[str, Node | None]]] = []
         self.children: dict[str, list[str]] = {}
+        self.named: list[Node] = []
         self._stack: list[Node] = []
         self._open: Counter[str] = Counter()
-        self._text: list[str] = []
-        at, end = 0, len(html)
+        self._pieces: list[tuple[str, Node | None]] = []
+        self._read(html)
+        self._ends_block()
+
+    def _read(self, html: str) -> None:
+        at, end, quotes = 0, len(html), True
         while at < end:
-            m = _TOKEN.search(html, at)
-            if m is None:
+            begin = html.find("<", at)
+            if begin < 0:
                 self._said(html[at:])
-                break
-            if m.start() > at:
-                self._said(html[at : m.start()])
-            at = m.end()
-            close, tag, attributes = (m.group(1), m.group(2), m.group(3)) if m.group(2) else (m.group(4), m.group(5), m.group(6))
-            if tag is None:
+                return
+            m = _HEAD.match(html, begin + 1)
+            if m is None:
+                if html.startswith("<!--", begin):
+                    stop = html.find("-->", begin + 4)
+                    stop = end if stop < 0 else stop + 3
+                elif html[begin + 1 : begin + 2] in ("!", "?", "/") and begin + 1 < end:
+                    stop = html.find(">", begin) + 1 or end
+                else:
+                    self._said(html[at : begin + 1])
+                    at = begin + 1
+                    continue
+                if begin > at:
+                    self._said(html[at:begin])
+                at = stop
                 continue
-            tag = tag.lower()
-            if close:
+            if begin > at:
+                self._said(html[at:begin])
+            stop = _INSIDE.match(html, m.end()).end() if quotes else end
+            if html[stop : stop + 1] != ">":
+                quotes = False  # a quote that is never closed: from here on quotes count as any character
+                stop = html.find(">", m.end())
+                if stop < 0:  # no tag ends any more
+                    self._said(html[begin:])
+                    return
+            tag, at = m.group(1).lower(), stop + 1
+            if html[begin + 1] == "/":
                 self._closes(tag)
                 continue
-            self._opens(tag, attributes)
+            self._opens(tag, html[m.end() : stop])
             if tag in RAW:
                 done = _CLOSE[tag].search(html, at)
                 at = done.end() if done else end
-        self._ends_block()
 
     def _said(self, text: str) -> None:
-        if not (self._stack and self._stack[-1].noise):
-            self._text.append(unescape(text) if "&" in text else text)
+        top = self._stack[-1] if self._stack else None
+        if not (top and top.never):
+            self._pieces.append((unescape(text) if "&" in text else text, top))
 
     def _ends_block(self) -> None:
-        text = " ".join("".join(self._text).split())
-        self._text.clear()
-        if text:
-            top = self._stack[-1] if self._stack else None
-            styles = [x.style for x in self._stack[: DEPTH + 1] if x.tag in BLOCK]
-            self.blocks.append((text, styles, bool(top and top.article), bool(top and top.main)))
+        if self._pieces:
+            if any(not t.isspace() for t, _ in self._pieces):
+                self.blocks.append(self._pieces)
+                self._pieces = []
+            else:
+                self._pieces.clear()
 
     def _opens(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self._said(" ")
             return
         block = tag in BLOCK
-        noisy = bool(self._stack and self._stack[-1].noise)
-        if block and not noisy:
+        if block and not (self._stack and self._stack[-1].never):
             self._ends_block()
         if block:
             self._pop_to({"p"}, SCOPE)
@@ -164,13 +230,17 @@ class Page:
             self._pop_to(ENDS[tag], SCOPE - {"td"} if tag in ("tr", "td", "th") else SCOPE)
         if tag in VOID or tag in RAW or (attributes.endswith("/") and tag in ("svg", "math", "path")):
             return
-        if tag in ("html", "body") and any(x.tag == tag for x in self._stack):
+        if len(self._stack) >= STACK or (tag in ("html", "body") and any(x.tag == tag for x in self._stack)):
             return
         parent = self._stack[-1] if self._stack else None
         node = Node(tag, attributes, parent)
-        if node.noise and not noisy:
-            self._ends_block()
-        if block and not node.noise and parent is not None:
+        if tag in HOLDS_FORM:
+            for x in self._stack:
+                if x.named:
+                    x.holds.add(tag)
+        if node.named and not node.never:
+            self.named.append(node)
+        if block and not node.never and parent is not None:
             self.children.setdefault(parent.style, []).append(node.style.rpartition("/")[2])
         self._stack.append(node)
         self._open[tag] += 1
@@ -188,7 +258,7 @@ class Page:
             return
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i].tag == tag:
-                if block or self._stack[i].noise:
+                if block or self._stack[i].never:
                     self._pop_from(i)
                 else:
                     self._open[tag] -= 1
@@ -210,20 +280,46 @@ class Page:
 
     def text(self, noise: frozenset | set = frozenset()) -> str:
         """The main text without the branches of noise."""
-        left = [b for b in self.blocks if not any(s in noise for s in b[1])]
-        for k in (2, 3):
-            if any(b[k] for b in self.blocks):
-                return "\n".join(b[0] for b in left if b[k])
-        return "\n".join(b[0] for b in left)
+        cut: dict[tuple, bool] = {}
+
+        def gone(node: Node | None) -> bool:
+            if node is None or not noise:
+                return False
+            if node.path not in cut:
+                cut[node.path] = not noise.isdisjoint(node.path)
+            return cut[node.path]
+
+        left = []
+        for pieces in self.blocks:
+            own = [x for x in pieces if not gone(x[1])]
+            if text := " ".join("".join(t for t, _ in own).split()):
+                left.append((text, own[0][1]))
+        size = sum(len(t) for t, _ in left)
+        for kind in ("article", "main"):
+            held = [t for t, n in left if n is not None and getattr(n, kind)]
+            if held and sum(map(len, held)) >= HELD * size:
+                return "\n".join(held)
+        return "\n".join(t for t, _ in left)
 
     def nodes(self):
-        """(style, presentation, content) of each style on the page, the latter two as hashes."""
+        """(style, presentation, content, prior) of each style on the page, presentation and content as hashes."""
         content: dict[str, list[str]] = {}
-        for text, styles, _, _ in self.blocks:
-            for s in dict.fromkeys(styles):
-                content.setdefault(s, []).append(text)
+        for pieces in self.blocks:
+            for text, node in pieces:
+                if node is not None and not text.isspace():
+                    for s in node.path:
+                        content.setdefault(s, []).append(text)
+        prior = {x.style: x.prior() for x in self.named}
         for s, texts in content.items():
-            yield s, _hash("\x00".join(self.children.get(s, ()))), _hash("\x00".join(texts))
+            yield s, _hash("\x00".join(self.children.get(s, ()))), _hash("\x00".join(texts)), prior.get(s, 1.0)
+
+
+def main_text(html: str | None, noise: frozenset | set | None = None) -> str:
+    """The main text of a page; without noise nodes it is judged as a host of one page is, by priors."""
+    page = Page(html or "")
+    if noise is None:
+        noise = {s for s, _, _, prior in page.nodes() if prior < LOW}
+    return page.text(noise)
 
 
 def _hash(s: str) -> int:
@@ -238,27 +334,29 @@ def _nodes(batches):
             rows += [(host, *x) for x in Page(html.as_py() or "").nodes()]
         if rows:
             cols = zip(*rows, strict=True)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "style", "presentation", "content"])
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "style", "presentation", "content", "prior"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, style, pages and importance of each style node."""
-    nodes = pages.select("url", "html").mapInArrow(_nodes, "host string, style string, presentation long, content long")
+    """host, style, pages, entropy (0 to 1), prior and importance of each style node."""
+    nodes = pages.select("url", "html").mapInArrow(_nodes, "host string, style string, presentation long, content long, prior double")
     # both features in one pass; a feature's count is summed before it is shuffled
-    each = nodes.select("host", "style", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("presentation").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("f"))
-    counts = each.groupBy("host", "style", "f.kind", "f.value").agg(F.count("*").cast("double").alias("n"))
-    by_kind = counts.groupBy("host", "style", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    entropy = F.when(F.col("pages") > 1, (F.log("pages") - F.col("nlogn") / F.col("pages")) / F.log("pages")).otherwise(1.0)
+    each = nodes.select("host", "style", "prior", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("presentation").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("f"))
+    counts = each.groupBy("host", "style", "f.kind", "f.value").agg(F.count("*").cast("double").alias("n"), F.sum("prior").alias("prior"))
+    by_kind = counts.groupBy("host", "style", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("values"), F.sum("prior").alias("prior"))
+    entropy = F.when(F.col("values") == 1, F.when(F.col("pages") > 1, 0.0).otherwise(1.0)).otherwise((F.log("pages") - F.col("nlogn") / F.col("pages")) / F.log("pages"))
     weight = F.when(F.col("kind") == 0, PRESENTATION).otherwise(1 - PRESENTATION)
-    return by_kind.groupBy("host", "style").agg(F.max("pages").alias("pages"), F.sum(entropy * weight).alias("importance"))
+    tree = by_kind.groupBy("host", "style").agg(F.max("pages").alias("pages"), F.sum(entropy * weight).alias("entropy"), F.max(F.col("prior") / F.col("pages")).alias("prior"))
+    judged = (F.col("pages") >= MIN_PAGES) | ((F.col("pages") >= FEW_PAGES) & (F.col("entropy") == 0))
+    return tree.withColumn("importance", F.when(judged, F.col("entropy")).otherwise(1.0) * F.col("prior"))
 
 
 def noise_nodes(tree: DataFrame) -> DataFrame:
     """host and styles, the list of its noise nodes."""
-    common = tree.where(F.col("pages") >= MIN_PAGES)
-    most = common.groupBy("host").agg(F.max("importance").alias("most"))
-    return common.join(most, "host").where(F.col("importance") < LOW * F.col("most")).groupBy("host").agg(F.sort_array(F.collect_set("style")).alias("styles"))
+    most = tree.groupBy("host").agg(F.max("importance").alias("most"))
+    low = tree.where(~F.col("style").rlike(r"^(html|body)[^/]*$")).join(most, "host").where(F.col("importance") < LOW * F.col("most"))
+    return low.groupBy("host").agg(F.sort_array(F.collect_set("style")).alias("styles"))
 
 
 def _extract(shared, has_styles: bool):
@@ -269,7 +367,7 @@ def _extract(shared, has_styles: bool):
             texts = []
             for i in range(batch.num_rows):
                 noise = frozenset(batch.column(3)[i].as_py() or ()) if has_styles else known.get(host_of(url[i].as_py()), frozenset())
-                texts.append(Page(html[i].as_py() or "").text(noise))
+                texts.append(main_text(html[i].as_py(), noise))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), url.cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
