@@ -35,16 +35,22 @@ NEAR_BEFORE, NEAR_AFTER = 48, 24
 
 FOUND = "doc_id long, start long, end long, kind string, score double, value_sha256 string"
 
+#: kind, what a text must hold to be searched for it, pattern; the last group is the value. Each search is linear in the text.
 KNOWN = (
-    ("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("github_token", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}"),
-    ("slack_token", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}"),
-    ("jwt", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END"),
+    ("aws_key", ("AKIA", "ASIA"), r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
+    ("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(?<![A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36,})"),
+    ("gitlab_token", ("glpat-",), r"(?<![A-Za-z0-9])(glpat-[A-Za-z0-9_-]{20,})"),
+    ("npm_token", ("npm_",), r"(?<![A-Za-z0-9])(npm_[A-Za-z0-9]{36,})"),
+    ("slack_token", ("xox",), r"(?<![A-Za-z0-9])(xox[abprs]-[A-Za-z0-9-]{10,})"),
+    ("stripe_key", ("sk_live_", "sk_test_", "rk_live_", "rk_test_"), r"(?<![A-Za-z0-9])([sr]k_(?:live|test)_[A-Za-z0-9]{16,})"),
+    ("google_key", ("AIza",), r"(?<![A-Za-z0-9])(AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])"),
+    ("sendgrid_key", ("SG.",), r"(?<![A-Za-z0-9_.-])(SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,64})"),
+    ("jwt", ("eyJ",), r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
+    ("private_key", ("PRIVATE KEY-----",), r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END)"),
+    ("url_password", ("://",), r"://[^\s/:@\"'<>]{1,64}:([^\s/:@\"'<>]{6,128})@"),
 )
-_KNOWN = tuple((k, re.compile(p)) for k, p in KNOWN)
-_HINT = re.compile(r"AKIA|ASIA|gh[pousr]_|xox|eyJ|-----BEGIN")
-_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:[a-z]+[_-])*(?:api_?key|access_?key|key|token|secret|passw(?:or)?d|pwd|auth|credentials?)[\"']?\x20{0,3}[:=]\x20{0,3}([\"']?)([^\s\"'<>]{8,})")
+_KNOWN = tuple((k, hints, re.compile(p)) for k, hints, p in KNOWN)
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:api_?key|access_?key|key|token|secret|passw(?:or)?d|pwd|auth|credentials?)[\"']?\x20{0,3}[:=]\x20{0,3}([\"']?)([^\s\"'<>]{8,})")
 _GENERIC = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 _WORD = re.compile(r"[A-Za-z]+")
 _DIGIT = re.compile(r"[0-9].*[0-9]", re.S)
@@ -56,6 +62,9 @@ TEST_PATH = frozenset("test tests fixture fixtures example examples sample sampl
 CONFIG_PATH = frozenset("env config conf cfg ini yaml yml properties settings credentials secrets tfvars".split())
 LOCK_PATH = frozenset("lock lockfile min map dist vendor node modules svg ipynb".split())
 
+#: What a value that stands for another one begins or ends with.
+BRACKETS = frozenset("${}%<>()[]")
+
 _CLASS = {c: 0 for c in string.digits} | {c: 1 for c in string.ascii_lowercase} | {c: 2 for c in string.ascii_uppercase}
 _ALPHABET = string.digits + string.ascii_lowercase + string.ascii_uppercase + "+/_-=."
 _INDEX = {c: i for i, c in enumerate(_ALPHABET)}
@@ -65,8 +74,9 @@ _SIZE = len(_ALPHABET) + 1
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what may be a secret, not overlapping."""
     found = []
-    if _HINT.search(text):
-        found += [(*m.span(), kind) for kind, p in _KNOWN for m in p.finditer(text)]
+    for kind, hints, p in _KNOWN:
+        if any(h in text for h in hints):
+            found += [(*m.span(1), kind) for m in p.finditer(text)]
     found += [(*m.span(2), "assigned") for m in _ASSIGNED.finditer(text)]
     found += [(*m.span(), "generic") for m in _GENERIC.finditer(text) if _DIGIT.search(m.group())]
     out, at = [], 0
@@ -120,7 +130,7 @@ def features(value: str, kind: str, before: str, after: str, path: str, model: d
         len(value), entropy, *share, changes, odds, coverage(value, model["dictionary"]), longest_word / n, len(counts) / n, longest,
         float(all(c in string.hexdigits for c in value)), float(kind not in ("assigned", "generic")), float(kind == "assigned"),
         float(before[-1:] in "\"'" and before[-1:] != ""), len(near & SECRET_WORDS), len(near & DIGEST_WORDS), len((near | _split(value)) & DUMMY_WORDS),
-        len(parts & TEST_PATH), len(parts & CONFIG_PATH), len(parts & LOCK_PATH),
+        len(parts & TEST_PATH), len(parts & CONFIG_PATH), len(parts & LOCK_PATH), float(value[:1] in BRACKETS) + float(value[-1:] in BRACKETS),
     ]
 
 
@@ -259,7 +269,10 @@ def labelled_findings(n: int = 3000, seed: int = 20) -> list[tuple[str, str, str
                 lambda: pick(hexes, rng.choice([32, 40, 48, 64])), lambda: pick(base62, rng.randint(20, 48)), lambda: pick(base62 + "+/", rng.choice([40, 43])),
                 lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(base62, 36),
                 lambda: f"xoxb-{pick(string.digits, 11)}-{pick(base62, 24)}", lambda: f"eyJ{pick(base62, 20)}.{pick(base62, 40)}.{pick(base62 + '-_', 43)}",
-                lambda: pick(base62 + "!%&*", rng.randint(12, 20)),
+                lambda: pick(base62 + "!%&*", rng.randint(12, 20)), lambda: f"{rng.choice(['sk', 'rk'])}_live_{pick(base62, rng.randint(24, 40))}",
+                lambda: "AIza" + pick(base62 + "-_", 35), lambda: "glpat-" + pick(base62 + "-_", 20), lambda: "npm_" + pick(base62, 36),
+                lambda: f"SG.{pick(base62 + '-_', 22)}.{pick(base62 + '-_', 43)}", lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)),
+                lambda: pick(base62 + "+/", 86) + "==",
             ]
         )()
 
@@ -276,6 +289,16 @@ def labelled_findings(n: int = 3000, seed: int = 20) -> list[tuple[str, str, str
                 lambda: (f"{prose()} ", "".join(word() for _ in range(7)) + f"{rng.randint(10, 99)}", f" {prose()}"),
                 lambda: ("data:image/png;base64,", "iVBORw0KGgo" + pick(base62 + "+/", 60), "==\""),
                 lambda: ("-" * 3, "=-" * 12 + "0-0", ""),
+                lambda: (f"{prose()} http://", f"{word()}/{word()}/{rng.randint(1000, 2030)}/{rng.randint(1, 12)}/{word()}-{word()}-{word()}", f" {prose()}"),
+                lambda: (f"{rng.choice(['ISBN', 'order', 'invoice', 'SKU'])} ", "-".join(pick(string.digits, k) for k in (3, 1, 6, 5, 4, 1)), f" {prose()}"),
+                lambda: ("src=\"", f"static/{word()}.{pick(hexes, 20)}.chunk.js", "\""),
+                lambda: (f"{word()} ", "".join(word().title() for _ in range(6)) + f"V{rng.randint(10, 99)}", "()"),
+                lambda: (f"{rng.choice(['token', 'secret', 'password', 'key'])} = ", f"{rng.choice(['os.environ', 'getenv', 'config', 'settings', 'process.env'])}.{word()}_{word()}", f" {prose()}"),
+                lambda: (f"{rng.choice(['token', 'secret', 'password', 'key'])}: ", (rng.choice(['${', '{{', '%(', '<']) + "_".join(word() for _ in range(rng.randint(1, 5))) + rng.choice(['}', '}}', ')s', '>'])).upper(), f" {prose()}"),
+                lambda: (f"{prose()} mysql://", f"{rng.choice(['user', 'root'])}:{rng.choice(['password', 'example', 'changeme', 'yourpass'])}", "@localhost/db"),
+                lambda: (f"{prose()} ", f"20{pick(string.digits, 2)}-{pick(string.digits, 2)}-{pick(string.digits, 2)}T{pick(string.digits, 6)}-{word()}-{word()}", f" {prose()}"),
+                lambda: (f"{rng.choice(['token', 'secret', 'password', 'key'])}: ", rng.choice("-=*#.x_") * rng.randint(8, 60), f" {prose()}"),
+                lambda: ("uuid=", "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), f" {prose()}"),
             ]
         )()
 
