@@ -10,15 +10,19 @@ over a passage's words bounds what any item of the block can score; only blocks
 opened, and in them every item is scored exactly. All passages of an Arrow batch are bounded and scored at once in
 numpy; nothing above the threshold is lost.
 
-What is retrieved is verified: the share of the question's and of the answer's shingles of five words that the passage
-holds. The answer is the item's last line or sentence, the question what stands before (all of it, if there is one
-sentence). An item is found if the question's share and either the answer's or the whole item's reach ``OVERLAP``.
+The pivot of WAND, which moves one cursor a word from item to item, is taken over blocks: bounds of all blocks stand side
+by side, so that a block is skipped by one comparison and no passage waits for another.
 
-Benchmarks are stated sets; one index holds at most ``MAX_ITEMS`` items and is broadcast, a larger benchmark is indexed
-in several, which are queried in turn.
+What is retrieved is verified: the share of the question's and of the answer's pairs of adjacent words that the passage
+holds (of parts of under ``SHORT`` words, of the words), which one edit does not sink as it would longer shingles. The
+answer is the item's last line or sentence, the question what stands before (all of it, if there is one sentence). An
+item is found if the question's share reaches ``OVERLAP`` and that of the answer, if there is one, ``ANSWER_OVERLAP``.
+
+Benchmarks are stated sets; one index holds at most ``MAX_ITEMS`` items and ``MAX_WORDS`` words (or one item) and is
+broadcast, a larger benchmark is dealt to several by hash, which are queried in turn and have their own word weights.
 
 Edge cases: null and empty texts, and items without words, are never found; items of equal text are each found; a null
-item_id or doc_id stays null; repeated rows each give their rows; an empty table gives an empty result; extra columns
+item_id or doc_id stays null; repeated documents each give their rows, an item that is repeated with its id counts once; an empty table gives an empty result; extra columns
 are not looked at.
 """
 
@@ -29,23 +33,29 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import Hasher, chunks, mix64
+from fileloom.llm.common import chunks, mix64, slice_hashes
 
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself from which it is retrieved.
 THRESHOLD = 0.5
-OVERLAP = 0.8
-SHINGLE = 5
-MAX_ITEMS = 20_000
+OVERLAP, ANSWER_OVERLAP = 0.7, 0.5
+#: Parts of fewer words are compared word by word.
+SHORT = 4
+#: Of one index: an item weighs some 100 bytes, a word at most 8 * BLOCKS and some 50 bytes.
+MAX_ITEMS, MAX_WORDS = 20_000, 200_000
 BLOCKS, LEAST_BLOCK = 64, 4
+#: Most indexes; a benchmark that needs more is no stated set.
+MAX_PARTS = 1 << 12
 #: Fewest words of a passage.
 LEAST_SPAN = 128
 
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
+#: Words of the index, as a pattern.
+INDEXED = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
@@ -61,22 +71,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of the distinct shingles; of fewer words, one of all of them."""
-    if not len(words):
-        return words
-    n = min(SHINGLE, len(words))
+def pairs(words: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct pairs of adjacent words."""
     with np.errstate(over="ignore"):
-        out = np.full(len(words) - n + 1, n, np.uint64)
-        for k in range(n):
-            out = mix64(out * np.uint64(31) + words[k : len(words) - n + 1 + k])
-    return np.unique(out)
+        return np.unique(mix64(mix64(words[:-1]) * np.uint64(31) + words[1:]))
 
 
-def _words(hasher: Hasher, text: str) -> np.ndarray:
+def _words(text: str) -> np.ndarray:
     data = np.frombuffer(pc.utf8_lower(pa.scalar(text)).as_py().encode(), np.uint8)
     starts, ends, _ = word_spans(data, np.array([0, len(data)]))
-    return hasher.slices(hasher.prefix(data), starts, ends)
+    return slice_hashes(data, starts, ends)
+
+
+def _part(words: np.ndarray) -> tuple[bool, np.ndarray]:
+    """Whether a part is compared word by word, and the hashes of its words or pairs."""
+    return (True, np.unique(words)) if len(words) < SHORT else (False, pairs(words))
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -86,13 +95,13 @@ def split_item(text: str) -> tuple[str, str]:
 
 
 def index(items: list[tuple[int | None, str | None]]) -> dict | None:
-    """The inverted index with its block maxima, and each item's shingles."""
-    hasher, own = Hasher(), []
+    """The inverted index with its block maxima, and each item's parts."""
+    own = []
     for i, text in items:
         question, answer = split_item(text or "")
-        q, a = _words(hasher, question), _words(hasher, answer)
+        q, a = _words(question), _words(answer)
         if len(q) + len(a):
-            own.append((i, np.concatenate([q, a]), shingles(q), shingles(a)))
+            own.append((i, np.concatenate([q, a]), _part(q), _part(a)))
     if not own:
         return None
     vocabulary, term = np.unique(np.concatenate([w for _, w, _, _ in own]), return_inverse=True)
@@ -114,7 +123,7 @@ def index(items: list[tuple[int | None, str | None]]) -> dict | None:
     key = term * maxima.shape[1] + block
     return {
         "ids": [i for i, *_ in own], "vocabulary": vocabulary, "slots": slots, "maxima": maxima, "key": key, "item": item, "impact": impact,
-        "whole": [shingles(w) for _, w, _, _ in own], "question": [q for _, _, q, _ in own], "answer": [a for *_, a in own],
+        "question": [q for _, _, q, _ in own], "answer": [a for *_, a in own],
         "stride": max(LEAST_SPAN // 2, int(length.max())),
     }
 
@@ -166,43 +175,30 @@ def retrieve(own: dict, words: np.ndarray, first: np.ndarray):
         yield r, begin, min(begin + 2 * stride, int(first[r + 1])), int(pair[k] % len(own["ids"])), float(score[k])
 
 
-def _share(part: np.ndarray, whole: np.ndarray) -> float:
-    return float(np.isin(part, whole, assume_unique=True).mean()) if len(part) else 1.0
+def _share(part: tuple[bool, np.ndarray], words: np.ndarray, held: np.ndarray) -> float:
+    short, own = part
+    return float(np.isin(own, words if short else held).mean()) if len(own) else 1.0
 
 
 def matches(own: dict | None, column: pa.Array):
     """(row, item, score, question's share, answer's share) of what is found, the best passage of each row and item."""
     if own is None:
         return
-    hasher = Hasher()
     column = pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
     for i, _, data, offsets in chunks(column):
         starts, ends, first = word_spans(data, offsets)
-        words = hasher.slices(hasher.prefix(data), starts, ends)
+        words = slice_hashes(data, starts, ends)
         best = {}
         for r, begin, end, item, score in retrieve(own, words, first):
-            held = _with_short(shingles(words[begin:end]), words[begin:end], own, item)
-            q, a, w = _share(own["question"][item], held), _share(own["answer"][item], held), _share(own["whole"][item], held)
-            if q >= OVERLAP and max(a, w) >= OVERLAP:
+            passage = words[begin:end]
+            held = pairs(passage)
+            q, a = _share(own["question"][item], passage, held), _share(own["answer"][item], passage, held)
+            if q >= OVERLAP and a >= ANSWER_OVERLAP:
                 best[r, item] = max(best.get((r, item), (0, 0, 0)), (score, q, a))
         for (r, item), found in sorted(best.items()):
             yield i + r, item, *found
 
 
-def _with_short(held: np.ndarray, words: np.ndarray, own: dict, item: int) -> np.ndarray:
-    """Adds the passage's shingles of fewer words, where a part of the item is so short that it has one shingle."""
-    if min(len(own["question"][item]), len(own["answer"][item]) or 2) > 1:
-        return held
-    parts = [held]
-    for n in range(1, min(SHINGLE, len(words) + 1)):
-        with np.errstate(over="ignore"):
-            out = np.full(len(words) - n + 1, n, np.uint64)
-            for k in range(n):
-                out = mix64(out * np.uint64(31) + words[k : len(words) - n + 1 + k])
-        parts.append(out)
-    return np.unique(np.concatenate(parts))
-
-
 def _find(shared):
     def run(batches):
         for batch in batches:
@@ -228,16 +224,21 @@ def _clean(shared, text: int):
 
 
 def indexes(items: DataFrame):
-    """Broadcast indexes of items (item_id, text), each of at most MAX_ITEMS of them."""
-    rows = items.select("item_id", "text")
-    n = rows.count()
-    if n <= MAX_ITEMS:
-        yield rows.sparkSession.sparkContext.broadcast(index(_sorted(rows.collect())))
-        return
-    numbered = rows.withColumn("at", F.row_number().over(Window.orderBy("item_id", "text")) - 1)  # the test set, in one order
-    for k in range(0, n, MAX_ITEMS):
-        some = numbered.where((F.col("at") >= k) & (F.col("at") < k + MAX_ITEMS)).select("item_id", "text").collect()
-        yield rows.sparkSession.sparkContext.broadcast(index(_sorted(some)))
+    """Broadcast indexes of items (item_id, text), each of at most MAX_ITEMS of them and MAX_WORDS words, or of one item."""
+    rows = items.select("item_id", "text").distinct()
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(INDEXED))
+    parts = 1
+    while True:
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+        held = dealt.groupBy("part").agg(F.count("*").alias("n"), F.sum(words).alias("words")).orderBy("part").collect()  # a row for each index
+        if all(h.n == 1 or (h.n <= MAX_ITEMS and h.words <= MAX_WORDS) for h in held) or parts >= MAX_PARTS:
+            break
+        parts *= 2
+    for h in held:
+        own = dealt.where(F.col("part") == h.part).select("item_id", "text").collect()
+        yield rows.sparkSession.sparkContext.broadcast(index(_sorted(own)))
+    if not held:
+        yield rows.sparkSession.sparkContext.broadcast(None)
 
 
 def _sorted(rows):

@@ -12,9 +12,12 @@ def words(text):
     return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
 
 
-def grams(w):
-    n = min(5, len(w))
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+def held(part, passage):
+    """Share of a part's pairs of words (of under four words, of its words) that are found in a passage."""
+    n = 1 if len(part) < 4 else 2
+    own = {" ".join(part[i : i + n]) for i in range(len(part) - n + 1)}
+    found = {" ".join(passage[i : i + n]) for i in range(len(passage) - n + 1)}
+    return len(own & found) / len(own) if own else None
 
 
 def plain(docs, items):
@@ -41,12 +44,8 @@ def plain(docs, items):
                 if score < 0.5:
                     continue
 
-                def share(part, passage=passage):
-                    g = grams(part)
-                    k = min(5, len(part))
-                    return sum(any(tuple(passage[x : x + k]) == s for x in range(len(passage))) for s in g) / len(g) if g else 1.0
-
-                if share(q) >= 0.8 and max(share(a), share(whole)) >= 0.8:
+                question, answer = held(q, passage), held(a, passage)
+                if (question is None or question >= 0.7) and (answer is None or answer >= 0.5):
                     best[i, tuple(whole)] = max(best.get((i, tuple(whole)), 0), score)
         out += [(d, i, round(s, 6)) for (i, _), s in best.items()]
     return out
@@ -91,5 +90,27 @@ def test_planted(spark, monkeypatch):
     kept = decontam.clean(df, it)
     assert sorted(map(repr, [r.doc_id for r in kept.collect()])) == sorted(repr(d) for d, t in docs if d not in {r.doc_id for r in got})
     monkeypatch.setattr(decontam, "MAX_ITEMS", 40)
-    assert len(list(decontam.indexes(it))) == 4
+    several = [x.value for x in decontam.indexes(it)]
+    assert len(several) > 3 and max(len(x["ids"]) for x in several if x) <= 40
     assert decontam.contaminated(df, it).count() > 50
+    monkeypatch.setattr(decontam, "MAX_WORDS", 300)
+    assert max(sum(map(len, x["vocabulary"][None])) for x in (y.value for y in decontam.indexes(it)) if x and len(x["ids"]) > 1) <= 300
+
+
+def test_question_and_answer_by_hand(spark):
+    """What counts is stated here, not computed: both parts, or nearly all of both, or else nothing."""
+    question = "which of the seven rivers that cross the old town of marten was first bridged with stone by the guild of masons"
+    items = spark.createDataFrame([(1, question + "? It was the river Oder near the mill."), (2, "Alone in one sentence the heron stands where reeds and water meet at dusk")], "item_id long, text string")
+    edited = question.replace("seven", "nine")
+    docs = [
+        (1, f"Some words. {question}? It was the river Oder near the mill. More."),
+        (2, f"Some words. {question}? Nobody knows that."),
+        (3, f"Some words. {edited}? It was the river Oder near the mill."),
+        (4, "It was the river Oder near the mill."),
+        (5, f"{question}? It was the river Oder near a mill."),
+        (6, "alone in one sentence the heron stands where reeds and waters meet at dusk"),
+        (7, "alone stands the heron"),
+        (8, None),
+    ]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 1), (5, 1), (6, 2)]
