@@ -24,30 +24,46 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a local one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session, as in tests, gets one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="fileloom-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it again. The table goes when the application ends."""
+    """Cuts the lineage: writes df as a table in the shared folder and reads it again. The table goes when it is dropped, or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fileloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fileloom_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes materialized tables that nothing reads any more."""
+    for t in tables:
+        own = next(x for x in _written if x[1] == t._fileloom_path)
+        _remove(*own)
+        _written.remove(own)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def _remove_all() -> None:
-    for spark, path in _written:
+    for own in _written:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            _remove(*own)
         except Exception:  # noqa: BLE001  the session may be gone by then
             return
 

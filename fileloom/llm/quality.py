@@ -220,8 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dic
     rows = texts.select("doc_id", "label", "text").mapInArrow(_sparse, "doc_id long, label int, at binary, value binary")
     so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over max_train rows
     rows = rows.withColumn("held", F.sum(F.octet_length("at") + F.octet_length("value")).over(so_far)).where(F.col("held") <= MAX_TRAIN_BYTES)
-    found = rows.select("label", "at", "value").toArrow()
-    return fit(list(zip(*(c.to_pylist() for c in found.columns), strict=True)))
+    return fit([tuple(x.values()) for batch in rows.select("label", "at", "value").toArrow().to_batches() for x in batch.to_pylist()])
 
 
 def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:

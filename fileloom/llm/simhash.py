@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileloom.llm.common import materialize, mix64
+from fileloom.llm.common import dropped, materialize, mix64
 
 RADIUS = 3
 SHINGLE = 3
@@ -43,6 +43,8 @@ SEED = 42
 BLOCKS = RADIUS + 1
 #: Shingles hashed, and pairs compared, at a time.
 STEP = 1 << 16
+#: Edges that one task unites, 16 bytes each.
+TASK_EDGES = 1 << 20
 #: More than any distance.
 FURTHEST = 1024
 
@@ -302,26 +304,30 @@ def _sets(bits: int, words: np.ndarray):
     return run
 
 
-def _confirmed(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that are 0.8 alike."""
-    size = groups.select("fp", "n", "sketch")
-    both = pairs.join(size.toDF("a", "na", "sa"), "a").join(size.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    left = materialize(both.mapInArrow(_unlike_left_out, "a long, b long"), "pairs")
-    nodes = materialize(left.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "asked")
+def _confirmed(docs: DataFrame, groups: DataFrame, pairs: DataFrame, filtered: bool) -> DataFrame:
+    """Those of pairs (a, b) that are 0.8 alike; filtered: whether sketches rule out pairs at first."""
+    if filtered:
+        size = groups.select("fp", "n", "sketch")
+        both = pairs.join(size.toDF("a", "na", "sa"), "a").join(size.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+        pairs = both.mapInArrow(_unlike_left_out, "a long, b long")
+    left = materialize(pairs, "pairs")
+    nodes = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     # texts are not dealt: a filter of bounded size, which lets some others through, tells tasks of which the shingles are asked for
-    bits = min(MOST_FILTER, max(64, 1 << (16 * nodes.count()).bit_length()))
+    bits = min(MOST_FILTER, max(64, 1 << (32 * left.count()).bit_length()))
 
     def number(col):  # documents without an id share one
         return F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
 
-    at = nodes.join(groups.select("fp", "least"), "fp").select(number("least").alias("at"))
+    at = groups.select("fp", "least").join(nodes, "fp", "left_semi").select(number("least").alias("at"))
     set_bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("own")).toArrow()
     words = np.zeros(bits >> 6, np.uint64)
     words[set_bits.column(0).to_numpy()] = set_bits.column(1).to_numpy().view(np.uint64)
     sets = docs.select(number("doc_id").alias("at"), "text").mapInArrow(_sets(bits, words), "fp long, own binary")
     sets = materialize(sets.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.first("own").alias("own")), "sets")
     whole = left.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    return materialize(whole.mapInArrow(_alike, "a long, b long"), "links")
+    found = materialize(whole.mapInArrow(_alike, "a long, b long"), "links")
+    dropped(left, sets)
+    return found
 
 
 def _fingerprints(batches):
@@ -460,15 +466,36 @@ def links(distinct: DataFrame) -> DataFrame:
     return alone.mapInArrow(_shard_links, "a long, b long")
 
 
+def _united(batches):
+    """(node, root) of all nodes in edges (a, b), by union-find."""
+    edges = [np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) for batch in batches]
+    if not edges:
+        return
+    node, at = np.unique(np.concatenate(edges, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(node))
+    while True:
+        x, y = root[a], root[b]
+        if not (differ := x != y).any():
+            break
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (nearer := root[root] < root).any():
+            root[nearer] = root[root[nearer]]
+    for i in range(0, len(node), STEP):
+        yield pa.RecordBatch.from_arrays([pa.array(node[i : i + STEP]), pa.array(node[root[i : i + STEP]])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the smallest node it is connected with, of each node in edges (a, b).
 
-    Rounds of large-star and small-star: each links the neighbours of a node to the smallest of them. A node with many
-    neighbours is only ever aggregated (min) and joined, never gathered.
+    Up to TASK_EDGES edges are united in one task. More take rounds of large-star and small-star, each of which links the
+    neighbours of a node to the smallest of them, until they are few or settled. A node with many neighbours is only ever
+    aggregated (min) and joined, never gathered.
     """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
+    n, state = now.count(), None
+    while n > TASK_EDGES:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(near, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
@@ -476,12 +503,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(small, "edges")
-        found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.countDistinct("a").alias("k")).first()
+        before, now = now, materialize(small, "edges")
+        dropped(before)
+        found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (found.n, found.h) == state:
-            break
-        state = (found.n, found.h)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root")))
+        n, state = found.n, (found.n, found.h)
+    return materialize(now.repartition(1).mapInArrow(_united, "node long, root long"), "roots")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -511,15 +539,18 @@ def similar(docs: DataFrame) -> DataFrame:
 
     edges = None
     for turn in range(TREE_TURNS + 1):
-        joined = components(edges).toDF("fp", "root") if turn else groups.select("fp", F.col("fp").alias("root"))
-        apart = shared.join(joined, "fp", "left").withColumn("label", F.coalesce("root", "fp"))
+        apart = shared.withColumn("label", F.col("fp"))
+        if turn:
+            joined = components(edges).toDF("fp", "root")
+            apart = shared.join(joined, "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
         if turn < TREE_TURNS:
             near = apart.select("shard", "fp", "sim", "label").repartition("shard").sortWithinPartitions("shard").mapInArrow(_tree_pairs(turn), "a long, b long, d long")
             pairs = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("near")).select("a", "near.b")
         else:
             pairs = apart.select("shard", "fp", "place", "label", "sketch").repartition("shard").sortWithinPartitions("shard").mapInArrow(_pairs_apart, "a long, b long").distinct()
-        found = _confirmed(docs, groups, pairs)
+        found = _confirmed(docs, groups, pairs, turn == TREE_TURNS)
         edges = edges.unionByName(found) if turn else found
+    dropped(shared)
     return _named(rows.select("doc_id", "fp"), groups.select("fp", "least"), edges).select("doc_id", "component_id")
 
 

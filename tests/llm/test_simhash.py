@@ -86,6 +86,21 @@ def test_path_into_the_tree():
             assert int(value[i] ^ value[trees.nearest[i]]).bit_count() == best and label[trees.nearest[i]] != label[i]
 
 
+@pytest.mark.parametrize("most", [simhash.TASK_EDGES, 0, 60])
+def test_components(spark, monkeypatch, most):
+    """In one task, by rounds, and by rounds until few are left."""
+    monkeypatch.setattr(simhash, "TASK_EDGES", most)
+    rng = random.Random(most)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(500 + i, 501 + i) for i in range(60)] + [(700, 700), (-5, 900), (900, 10**12)]
+    least = {x: x for e in edges for x in e}
+    for _ in range(500):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {k: v for k, v in got.items() if k != v} == {k: v for k, v in least.items() if k != v}
+    assert all(got.get(k, k) == v for k, v in least.items())
+
+
 def test_chain_over_shards(spark):
     rng = random.Random(4)
     at, chain = 0, []
