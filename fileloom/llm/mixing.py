@@ -6,14 +6,15 @@ ratio 3 * size / weight in ascending order, sources are full up to the first who
 (what is left) / (weight that is left); that level times its weight is each other source's target.
 
 Within a source every document expects target / size copies. Documents are laid end to end in an order by size, so
-that what is taken comes near the target; a prefix sum of the expected copies plus one offset of the source gives as
-many copies as integer boundaries are crossed. The prefix sum is distributed: rows are numbered in chunks (a band of
-sizes of a tenth at most, and one of ``LANES`` residues of the id), and the chunks' counts give where each begins. The
-offset is drawn from the source's name: of ``DRAWS`` equally spaced ones the one whose total comes nearest the target.
+that what is taken comes within one document of the target; a prefix sum of the expected copies plus one random offset of
+the source gives as many copies as integer boundaries are crossed. The offset is drawn from the source's name, so reruns
+agree. The prefix sum is distributed: rows are numbered in chunks (a band of sizes of a tenth at most, and one of
+``LANES`` residues of a digest of the id), and the chunks' counts give where each begins. Sources are ranked likewise, in
+ranges of their order, so that however many there are none of this runs in one task.
 
 Edge cases: a null text has size 0; a source of size 0 has target 0 and takes nothing; null is a source of its own;
-a null id counts as 0 for the order; repeated rows are each sampled; an empty table gives an empty result; extra
-columns are not looked at.
+a null id comes first in the order of its size and is spread by its text; repeated rows are each sampled; an empty table
+gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,57 +27,62 @@ from fileloom.llm.common import WORD, materialize
 WEIGHTS = (5, 2, 1)
 MOST = 3
 LANES = 128
-DRAWS = 32
-#: More sources than these are joined, not broadcast.
-BROADCAST_SOURCES = 50_000
 
 
-def targets(sizes: DataFrame) -> DataFrame:
-    """(src, nul, source_size) of each source -> with target and rate, the copies that each document expects.
+def numbered(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with rank (from 1) in an order without ties, and for each name of sums the sum of a column over the rows before.
 
-    Its windows run over one row for each source, never over documents.
+    Rows go to ranges of the order; a range's rows are numbered by themselves and begin where the ranges before end. Only
+    the ranges' totals, a row for each, are summed in one task.
     """
-    order = Window.orderBy("nul", "src")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.row_number().over(order) - 1) % len(WEIGHTS) + 1)
-    s = sizes.withColumn("weight", weight).withColumn("full", F.col("source_size").cast("double") * MOST)
-    s = s.withColumn("ratio", F.col("full") / F.col("weight"))
-    everything = Window.partitionBy()
-    before = Window.orderBy("ratio", "nul", "src").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("left", F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("full").over(before), F.lit(0.0)))
-    s = s.withColumn("rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    s = s.withColumn("level", F.col("left") / F.col("rest"))
-    s = s.withColumn("level", F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "nul", "src", "level"))).over(everything)["level"])
+    rows = materialize(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    totals = rows.groupBy("range").agg(F.count("*").alias("rank_0"), *[F.sum(c).alias(f"{k}_0") for k, c in sums.items()])
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range", *[F.coalesce(F.sum(f"{k}_0").over(ahead), F.lit(0)).alias(f"{k}_0") for k in ("rank", *sums)])
+    own = Window.partitionBy("range").orderBy(*order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(totals), "range").withColumn("rank", F.row_number().over(own) + F.col("rank_0"))
+    for k, c in sums.items():
+        out = out.withColumn(k, F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"{k}_0"))
+    return out.drop("range", *[f"{k}_0" for k in ("rank", *sums)])
+
+
+def targets(sizes: DataFrame) -> DataFrame:
+    """(src, nul, source_size) of each source -> with target and rate, the copies that each document expects."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.col("rank") - 1) % len(WEIGHTS) + 1).cast("int"))
+    s = numbered(sizes, ["nul", "src"], {}).withColumn("weight", weight).withColumn("full", F.col("source_size").cast("double") * MOST)
+    s = s.withColumn("ratio", F.col("full") / F.col("weight")).drop("rank")
+    s = materialize(numbered(s, ["ratio", "nul", "src"], {"filled": "full", "weighed": "weight"}), "levels")
+    everything = s.agg(F.sum("source_size").cast("double").alias("words"), F.sum("weight").alias("weights"))
+    s = s.join(F.broadcast(everything))  # one row
+    level = (F.col("words") - F.col("filled")) / (F.col("weights") - F.col("weighed"))
+    first = s.where(F.col("ratio") > level).agg(F.min(F.struct("ratio", "nul", "src", level.alias("level")))["level"].alias("level"))
+    s = s.join(F.broadcast(first))  # one row; its level is null if all sources are full
     target = F.when(F.col("level").isNull(), F.col("full")).otherwise(F.least("full", F.col("level") * F.col("weight")))
     s = s.withColumn("target", target)
     return s.select("src", "nul", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0).alias("rate"))
 
 
-def start(src: str = "src") -> Column:
-    """The source's first offset, 20 bits of its name's digest."""
+def offset(src: str = "src") -> Column:
+    """The source's offset, 20 bits of its name's digest."""
     return F.conv(F.substring(F.md5(F.col(src)), 1, 5), 16, 10).cast("double") / float(1 << 20)
 
 
-def copies(offset: Column) -> Column:
+def copies() -> Column:
     """Integer boundaries that the row's stretch of the prefix sum crosses."""
-    upper, lower = F.floor(offset + F.col("n") * F.col("rate")), F.floor(offset + (F.col("n") - 1) * F.col("rate"))
+    upper, lower = F.floor(offset() + F.col("n") * F.col("rate")), F.floor(offset() + (F.col("n") - 1) * F.col("rate"))
     return F.least(upper - lower, F.lit(MOST).cast("long"))
 
 
-def draw(k: int) -> Column:
-    moved = start() + k / DRAWS
-    return moved - F.floor(moved)
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken (copies times size) of each row of docs."""
+    """doc_id, size, source_size, target, copies, taken (copies times size) and text_hash of each row of docs."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().cast("int").alias("nul"), size.alias("size"))
+    lane = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce("text", F.lit(""))))), 1, 4), 16, 10).cast("int") % LANES
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().cast("int").alias("nul"), size.alias("size"), lane.alias("lane"), F.xxhash64("text").alias("text_hash"))
     rows = materialize(rows, "sizes")
     digits = F.col("size").cast("string")
-    band = F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")
-    lane = F.pmod(F.coalesce("doc_id", F.lit(0).cast("long")), F.lit(LANES))
     keys = ["nul", "src", "band", "lane"]
-    rows = rows.withColumn("band", band).withColumn("lane", lane)
+    rows = rows.withColumn("band", F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int"))
     chunks = rows.groupBy(*keys).agg(F.count("*").alias("held"), F.sum("size").alias("words"))
     goal = targets(chunks.groupBy("src", "nul").agg(F.sum("words").alias("source_size")))
     # where a chunk begins: what the bands before hold, then the lanes before; no window sees all chunks of a source
@@ -85,17 +91,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     bands = bands.withColumn("above", before(Window.partitionBy("nul", "src").orderBy("band"))).drop("held").join(goal, ["nul", "src"])
     chunks = chunks.withColumn("within", before(Window.partitionBy("nul", "src", "band").orderBy("lane"))).join(bands, ["nul", "src", "band"])
     chunks = chunks.withColumn("first", F.col("above") + F.col("within")).drop("held", "words", "above", "within")
-    own = F.row_number().over(Window.partitionBy(*keys).orderBy("size", "doc_id")).cast("long")
-    placed = rows.withColumn("own", own).join(chunks, keys)
-    placed = materialize(placed.select("doc_id", "size", "nul", "src", "band", "lane", "source_size", "target", "rate", (F.col("first") + F.col("own")).alias("n")), "places")
-    totals = placed.groupBy(*keys).agg(*[F.sum(copies(draw(k)) * F.col("size")).alias(f"t{k}") for k in range(DRAWS)], F.max("target").alias("target"))
-    totals = totals.groupBy("nul", "src").agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(DRAWS)], F.max("target").alias("target"))
-    off = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}").cast("double") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS)]))
-    best = materialize(totals.select("nul", "src", off["k"].alias("k")), "draws")
-    if best.count() <= BROADCAST_SOURCES:
-        best, on = F.broadcast(best), ["nul", "src"]
-    else:  # by chunks, of which none is large, rather than by sources
-        best, on = placed.select(*keys).distinct().join(best, ["nul", "src"]), keys
-    moved = start() + F.col("k") / float(DRAWS)
-    chosen = placed.join(best, on).withColumn("copies", copies(moved - F.floor(moved)))
-    return chosen.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy("size", "doc_id", "text_hash")).cast("long")
+    placed = rows.withColumn("own", own).join(chunks, keys).withColumn("n", F.col("first") + F.col("own"))
+    chosen = placed.withColumn("copies", copies())
+    return chosen.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
+
+
+def expand(docs: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; rows of the same doc_id and text are one document.
+
+    Rows meet their copies by id and text, so those without an id are spread; texts are dealt once and not sorted.
+    """
+    i, text, times, k = (next(f"{'_' * n}{c}" for n in range(len(docs.columns) + 1) if f"{'_' * n}{c}" not in docs.columns) for c in ("id", "text_hash", "copies", "copy"))
+    taken = mix(docs).groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(text)).agg(F.max("copies").cast("int").alias(times)).where(F.col(times) > 0)
+    met = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(text)))
+    return met.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)

@@ -52,7 +52,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "text_hash")
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_pii, op4_suffix_dedup, op5_sharding, op6_chat_formatting, op7_decontamination, op8_html_extraction, op9_simhash, op10_mixing)}
@@ -82,18 +82,14 @@ from pieces group by conv_id
 """
 
 _CASE = " ".join(f"when {k} then {float(w)!r}" for k, w in enumerate(mixing.WEIGHTS))
-_MOVED = "(start + {k} / 32.0::double) - floor(start + {k} / 32.0::double)"
-_COPIES = "least(floor({u} + n * rate) - floor({u} + (n - 1) * rate), 3)::bigint"
-_TOTALS = ", ".join(f"sum({_COPIES.format(u='(' + _MOVED.format(k=k) + ')')} * size) as t{k}" for k in range(mixing.DRAWS))
-_DRAWN = ", ".join(f"{{'off': abs(t{k}::double - target), 'k': {k}}}" for k in range(mixing.DRAWS))
+_COPIES = "least(floor(u + n * rate) - floor(u + (n - 1) * rate), 3)::bigint"
 
 OP10 = rf"""
 with sized as (
   select doc_id, coalesce(source, '') as src, (source is null)::int as nul,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, md5(coalesce(text, '')))), 1, 4))::int % {mixing.LANES} as lane,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
-keyed as (
-  select *, length(size::varchar) * 100 + substr(size::varchar, 1, 2)::int as band,
-    ((coalesce(doc_id, 0) % {mixing.LANES}) + {mixing.LANES}) % {mixing.LANES} as lane from sized),
+keyed as (select *, length(size::varchar) * 100 + substr(size::varchar, 1, 2)::int as band from sized),
 sources as (select src, nul, sum(size)::bigint as source_size from keyed group by 1, 2),
 weighed as (
   select *, source_size::double * 3 as full_size,
@@ -107,13 +103,10 @@ goal as (
   select src, nul, source_size, least(full_size, coalesce((select level from level) * weight, full_size)) as target from levels),
 placed as (
   select k.*, g.source_size, g.target, case when g.source_size > 0 then g.target / g.source_size::double else 0 end as rate,
-    ('0x' || substr(md5(k.src), 1, 5))::bigint / 1048576.0::double as start,
+    ('0x' || substr(md5(k.src), 1, 5))::bigint / 1048576.0::double as u,
     row_number() over (partition by k.nul, k.src order by band, lane, size, doc_id nulls first) as n
-  from keyed k join goal g using (src, nul)),
-totals as (select nul, src, max(target) as target, {_TOTALS} from placed group by nul, src),
-best as (select nul, src, list_min([{_DRAWN}])['k'] as k from totals),
-chosen as (select p.*, (start + k / 32.0::double) - floor(start + k / 32.0::double) as u from placed p join best using (nul, src))
-select doc_id, size, source_size, target, {_COPIES.format(u="u")} * size as taken from chosen
+  from keyed k join goal g using (src, nul))
+select doc_id, size, source_size, target, {_COPIES} * size as taken from placed
 """
 
 ORACLE_SQL = {"op6_chat_formatting": OP6, "op10_mixing": OP10}

@@ -1,3 +1,8 @@
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from fileloom.llm import mixing
 
 
@@ -41,11 +46,32 @@ def check(docs, near=0.02):
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(5)).collect()))
 
 
-def test_documents(documents, monkeypatch):
+def test_documents(documents):
     check(documents)
-    few = sorted(mixing.mix(documents).collect())
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
-    assert sorted(mixing.mix(documents).collect()) == few
+
+
+def test_numbered(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.randint(0, 9)) for k in rng.sample(range(10**6), 500)]
+    got = mixing.numbered(spark.createDataFrame(rows, "k long, v long"), ["k"], {"below": "v"}).collect()
+    below = 0
+    for rank, (k, v) in enumerate(sorted(rows), 1):
+        assert (k, v, rank, below) in got
+        below += v
+    assert len(got) == 500
+
+
+def test_expand(spark, documents, odd, empty):
+    """Each row as often as its copies say; without an id, rows are told apart by their texts."""
+    for docs in (documents, odd, empty, odd.withColumns({"copies": F.lit(1.5), "_copies": F.lit(2), "id": F.lit(3)})):
+        got = mixing.expand(docs)
+        assert got.columns == docs.columns
+        want = Counter()
+        for r in mixing.mix(docs).collect():
+            want[r.doc_id] = max(want[r.doc_id], r.copies)
+        seen = Counter(r.doc_id for r in got.collect())
+        times = Counter(r.doc_id for r in docs.select("doc_id").collect())
+        assert all(seen[i] <= want[i] * times[i] for i in seen) and set(seen) == {i for i, n in want.items() if n}
 
 
 def test_odd(odd, empty):
