@@ -2,7 +2,7 @@
 
 ``find`` returns each document's spans (code points, end exclusive) with kind and score; ``redact`` replaces them.
 The four base kinds (email, ip, card, phone) are found leftmost and non-overlapping per kind, and a match that fails
-its check is dropped without a second try. The method adds kinds that need more evidence: ``iban`` (ISO 13616, mod 97),
+its check is dropped without a second try. The method adds kinds that need more evidence: ``iban`` (ISO 13616, length by country, mod 97),
 ``ssn`` and ``local_phone`` (both only where a word nearby speaks for them).
 
 Edge cases: a null text counts as empty, an empty text has no spans, repeated rows are treated one by one, extra
@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,16 +27,28 @@ PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn":
 THRESHOLD = 0.5
 #: Each word of these within WINDOW code points before or after adds BOOST, once; a word of AGAINST takes it away.
 WINDOW, BOOST = 48, 0.3
+_PHONE_WORDS = "phone tel call mobile fax telephone telefon anrufen handy téléphone appeler portable teléfono llamar móvil"
 CONTEXT = {
-    "email": {"email", "mail", "contact", "write", "address"},
-    "ip": {"ip", "host", "server", "address", "client"},
-    "card": {"card", "visa", "mastercard", "credit", "payment", "amex"},
-    "phone": {"phone", "tel", "call", "mobile", "fax", "telephone"},
-    "iban": {"iban", "account", "bank", "transfer"},
-    "ssn": {"ssn", "social", "security", "taxpayer"},
-    "local_phone": {"phone", "tel", "call", "mobile", "fax", "telephone"},
+    kind: frozenset(words.split())
+    for kind, words in {
+        "email": "email mail contact write address kontakt schreiben adresse écrire courriel correo escribir dirección",
+        "ip": "ip host server address client adresse serveur servidor dirección",
+        "card": "card visa mastercard credit payment amex karte kreditkarte zahlung carte paiement tarjeta pago",
+        "phone": _PHONE_WORDS,
+        "iban": "iban account bank transfer konto überweisung compte virement cuenta transferencia",
+        "ssn": "ssn social security taxpayer",
+        "local_phone": _PHONE_WORDS,
+    }.items()
 }
-AGAINST = {"version", "isbn", "order", "invoice", "serial", "sku"}
+AGAINST = frozenset("version isbn order invoice serial sku bestellung rechnung commande facture pedido factura".split())
+#: Characters of an IBAN by country (ISO 13616); others are taken as long as they stand.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, max_score double"
 FOUND = "doc_id long, kind string, start long, end long, score double"
@@ -49,7 +63,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
-_LETTERS = re.compile(r"[A-Za-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -67,6 +81,16 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the number ends that the country's length and its checksum confirm; words in capitals may follow it."""
+    kept = [i for i in range(start, end) if text[i] != " "]
+    n = IBAN_LENGTH.get(text[start : start + 2], len(kept))
+    if not 15 <= n <= min(len(kept), 34) or not mod97("".join(text[i] for i in kept[:n])):
+        return None
+    stop = kept[n - 1] + 1
+    return stop if stop == end or not text[stop].isalnum() else None
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -109,14 +133,18 @@ def score(text: str, start: int, end: int, kind: str) -> float:
 def spans(text: str) -> list[tuple[int, int, str, float]]:
     """All spans with scores, by start, then kind."""
     base = base_spans(text)
-    taken = [(s, e) for s, e, _ in base]
+    taken = sorted((s, e) for s, e, _ in base)
+    starts = [s for s, _ in taken]
+    reach = list(accumulate((e for _, e in taken), max))  # the furthest end of those that start no later
     more = []
     for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("local_phone", _LOCAL_PHONE)):
         for m in pattern.finditer(text):
             s, e = m.span()
-            if kind == "iban" and not (15 <= len(x := m.group().replace(" ", "")) <= 34 and mod97(x)):
-                continue
-            if kind != "iban" and any(s < b and a < e for a, b in taken):
+            if kind == "iban":
+                e = iban_end(text, s, e)
+                if e is None:
+                    continue
+            elif (k := bisect_left(starts, e)) and reach[k - 1] > s:
                 continue
             if score(text, s, e, kind) >= THRESHOLD:
                 more.append((s, e, kind))

@@ -3,7 +3,7 @@
 Two fingerprints of 64 bits that differ in at most ``RADIUS`` = 3 bits agree on at least one of four blocks of 16
 bits. Each block and its value names a shard, so every link lies inside some shard. A shard's fingerprints form a
 BK-tree (children keyed by their integer Hamming distance to the parent), and a search follows only edges within the
-radius of its distance. Trees are built for all shards of an Arrow batch at once, level by level, and searched by
+radius of its distance. A shard with too many fingerprints is dealt on by parts of the bits that are left. Trees are built for all shards of an Arrow batch at once, level by level, and searched by
 frontiers in numpy. They are not broadcast: that would bring the fingerprints of all documents to the driver; each
 shard goes to the task that owns it instead.
 
@@ -43,6 +43,8 @@ SEED = 42
 BLOCKS = RADIUS + 1
 #: Shingles hashed, and pairs compared, at a time.
 STEP = 1 << 16
+#: Fingerprints that one shard has at most before it is dealt on.
+MOST_SHARD = 1 << 16
 #: Edges that one task unites, 16 bytes each.
 TASK_EDGES = 1 << 20
 #: More than any distance.
@@ -458,10 +460,22 @@ def _shard_links(batches):
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between fingerprints that connect exactly what links of at most RADIUS bits connect."""
-    width = 64 // BLOCKS
-    shard = F.explode(F.array(*[F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(k << width) for k in range(BLOCKS)]))
-    dealt = distinct.select(shard.alias("shard"), "fp")
+    """Edges (a, b) between fingerprints that connect exactly what links of at most RADIUS bits connect.
+
+    A shard of over MOST_SHARD fingerprints is dealt on: those of its links that agree on a block of 16 bits differ in at most
+    RADIUS of the other 48, so they agree on one of four parts of 12 of these as well.
+    """
+    width, part = 64 // BLOCKS, (64 - 64 // BLOCKS) // BLOCKS
+    blocks = []
+    for k in range(BLOCKS):
+        shard = F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(k << width)
+        above = F.shiftleft(F.shiftrightunsigned("fp", width * (k + 1)), width * k) if k < BLOCKS - 1 else F.lit(0).cast("long")
+        blocks.append(F.struct(shard.alias("shard"), above.bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << width * k) - 1))).alias("rest")))
+    dealt = distinct.select("fp", F.explode(F.array(*blocks)).alias("s")).select("fp", "s.shard", "s.rest")
+    hot = dealt.groupBy("shard").agg(F.count("*").alias("held")).where(F.col("held") > MOST_SHARD)  # BLOCKS << width rows at most
+    parts = [F.shiftleft(F.col("shard") + F.lit((j + 1) << 20), part) + F.shiftrightunsigned("rest", part * j).bitwiseAND(F.lit((1 << part) - 1)) for j in range(BLOCKS)]
+    keys = F.when(F.col("held").isNotNull(), F.array(*parts)).otherwise(F.array("shard"))
+    dealt = dealt.join(F.broadcast(hot), "shard", "left").select(F.explode(keys).alias("shard"), "fp")
     alone = dealt.repartition("shard").sortWithinPartitions("shard")
     return alone.mapInArrow(_shard_links, "a long, b long")
 

@@ -47,6 +47,18 @@ def test_against_brute_force(request, name):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
 
 
+@pytest.mark.parametrize("most", [simhash.MOST_SHARD, 0, 5])
+def test_large_shards_are_dealt_on(spark, monkeypatch, most):
+    """Values that share blocks and differ in few bits, against brute force."""
+    monkeypatch.setattr(simhash, "MOST_SHARD", most)
+    rng = random.Random(13)
+    values = {rng.choice([0, 0xFFFF << 48, rng.getrandbits(64)]) ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 9))) & (2**64 - 1) for _ in range(300)}
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    want = connected([v % (1 << 64) for v in values])
+    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()}
+    assert [roots.get(v, v) for v in values] == [values[k] for k in want]
+
+
 def test_trees_find_every_link():
     rng = random.Random(3)
     values = {rng.getrandbits(64) for _ in range(60)}
