@@ -60,63 +60,84 @@ def yaml_to_json(text: Column | str) -> Column:
     return _object(F.transform(_last_of_each(entries), lambda e: F.concat(json_quote(e["key"]), F.lit(": "), e["value"])), 0)
 
 
+#: Stand between the parts of a document under way; JSON texts hold neither.
+_SECTION, _NAME = "\x01", "\x02"
+
+
 def toml_to_json(text: Column | str) -> Column:
-    """struct(output, error): members before the first [section] are the root's, others their section's."""
-    is_section = lambda x: F.startswith(x, F.lit("[")) & F.endswith(x, F.lit("]")) & (F.length(x) > 1)
-    marked = F.transform(F.filter(F.transform(lines(text), trim), lambda x: (x != "") & ~F.startswith(x, F.lit("#"))), lambda x, i: F.struct(x.alias("line"), i.alias("pos")))
-
-    def members(rows: Column) -> Column:
-        heads = F.filter(rows, lambda m: is_section(m["line"]))
-        own = F.filter(rows, lambda m: ~is_section(m["line"]) & (F.instr(m["line"], "=") > 0))
-        head = lambda h, m: let(F.filter(h, lambda x: x["pos"] < m["pos"]), lambda b: F.get(b, F.size(b) - 1)["line"])
-        name = lambda line: trim(F.substring(line, F.lit(2), F.length(line) - 2))
-
-        def member(h: Column, m: Column) -> Column:
-            line = m["line"]
+    """struct(output, error): members before the first [section] are the root's, others their section's.
+
+    Lines are split into sections, members sorted, and sections cut out of the joined result, so that no member looks
+    through the others: the work grows with the file (its sorting apart).
+    """
+    kept = F.filter(F.transform(lines(text), trim), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+    # the first piece is the root's, as every other begins with its [section]
+    pieces = F.split(F.concat(F.lit("\n"), F.array_join(kept, "\n")), r"\n(?=\[[^\n]*\](?:\n|\z))", -1)
+
+    def members(piece: Column, i: Column) -> Column:
+        own = F.split(piece, "\n", -1)
+        name = F.when(i > 0, trim(F.substring(F.get(own, F.lit(0)), F.lit(2), F.length(F.get(own, F.lit(0))) - 2)))
+
+        def member(line: Column, k: Column) -> Column:
             value = toml_scalar(trim(F.substring(line, F.instr(line, "=") + 1, F.length(line))))
-            return F.struct(let(head(h, m), name).alias("section"), trim(F.substring_index(line, "=", 1)).alias("key"), m["pos"].alias("pos"), value.alias("value"))
+            return F.struct(name.alias("section"), trim(F.substring_index(line, "=", 1)).alias("key"), i.alias("piece"), k.alias("pos"), value.alias("value"))
 
-        return let(heads, lambda h: F.transform(own, lambda m: member(h, m)))
+        # the head of a section is no member, whatever it holds
+        return F.filter(F.transform(own, lambda x, k: F.when((F.instr(x, "=") > 0) & ((k > 0) | (i == 0)), member(x, k))), lambda m: m.isNotNull())
 
     shown = lambda e: F.concat(json_quote(e["key"]), F.lit(": "), e["value"])
-    own = lambda e: F.struct(e["key"].alias("key"), e["pos"].alias("pos"), e["value"].alias("value"))
 
-    def written(found: Column) -> Column:
-        root = _last_of_each(F.transform(F.filter(found, lambda e: e["section"].isNull()), own))
-        sections = F.array_distinct(F.transform(F.filter(found, lambda e: e["section"].isNotNull()), lambda e: e["section"]))
+    def last(found: Column) -> Column:
+        """Of the members of a section with the same key the last, in order of sections and keys."""
+        same = lambda x, y: x["section"].eqNullSafe(y["section"]) & (x["key"] == y["key"])
+        return let(F.array_sort(found), lambda e: F.filter(e, lambda x, i: (i == F.size(e) - 1) | ~same(x, F.get(e, i + 1))))
+
+    def tables(e: Column) -> Column:
+        """e: members in order of sections. (key, kind, text) of each section, by joining all of them and cutting between."""
 
-        def table(name: Column) -> Column:
-            inner = _last_of_each(F.transform(F.filter(found, lambda e: e["section"] == name), own))
-            return F.struct(name.alias("key"), F.concat(json_quote(name), F.lit(": "), _object(F.transform(inner, shown), 1)).alias("text"))
+        def part(x: Column, i: Column) -> Column:
+            opens = (i == 0) | (F.get(e, i - 1)["section"] != x["section"])
+            return F.concat(F.when(opens, F.concat(F.lit(_SECTION), json_quote(x["section"]), F.lit(_NAME))).otherwise(",\n"), F.lit("    "), shown(x))
 
-        def whole(r: Column) -> Column:
-            scalars = F.transform(r, lambda e: F.struct(e["key"].alias("key"), shown(e).alias("text")))
-            names = F.array_except(sections, F.transform(r, lambda e: e["key"]))
-            return F.array_sort(F.concat(scalars, F.transform(names, table)))
+        joined = F.split(F.array_join(F.transform(e, part), ""), _SECTION, -1)
+        names = F.transform(F.filter(e, lambda x, i: (i == 0) | (F.get(e, i - 1)["section"] != x["section"])), lambda x: x["section"])
+        texts = F.filter(joined, lambda x: x != "")
+        return F.zip_with(names, texts, lambda n, t: F.struct(n.alias("key"), F.lit(1).alias("kind"), F.concat(F.substring_index(t, _NAME, 1), F.lit(": {\n"), F.substring(t, F.instr(t, _NAME) + 1, F.length(t)), F.lit("\n  }")).alias("text")))
 
-        bad = F.exists(found, lambda e: e["value"].isNull())
-        text = _object(F.transform(let(root, whole), lambda e: e["text"]), 0)
-        return F.struct(F.when(~bad, text).alias("output"), F.when(bad, "TOML parse error: a value is a single quote character").alias("error"))
+    def written(e: Column) -> Column:
+        root = F.transform(F.filter(e, lambda x: x["section"].isNull()), lambda x: F.struct(x["key"].alias("key"), F.lit(0).alias("kind"), shown(x).alias("text")))
+        below = let(F.filter(e, lambda x: x["section"].isNotNull()), tables)
+        # a section that is named like one of the root's members keeps none of its own
+        every = let(F.array_sort(F.concat(root, below)), lambda x: F.filter(x, lambda m, i: (i == 0) | (F.get(x, i - 1)["key"] != m["key"])))
+        return F.struct(_object(F.transform(every, lambda m: m["text"]), 0).alias("output"), F.lit(None).cast("string").alias("error"))
 
-    return let(let(marked, members), written)
+    def checked(found: Column) -> Column:
+        bad = F.exists(found, lambda x: x["value"].isNull())
+        failed = F.struct(F.lit(None).cast("string").alias("output"), F.lit("TOML parse error: a value is a single quote character").alias("error"))
+        return F.when(bad, failed).otherwise(let(last(found), written))
+
+    return let(F.flatten(F.transform(pieces, members)), checked)
 
 
 def _members(text: Column | str) -> Column:
-    """(key, value as text) of a flat object, in order of keys."""
-    pairs = F.from_json(_c(text), "map<string,string>")
-    return let(pairs, lambda p: F.transform(F.array_sort(F.map_keys(p)), lambda k: F.struct(k.alias("key"), F.element_at(p, k).alias("value"))))
+    """(key, kind of variant, value as text) of a flat object, in order of keys."""
+    pairs = F.struct(F.from_json(_c(text), "map<string,string>").alias("texts"), F.try_variant_get(F.try_parse_json(_c(text)), "$", "map<string,variant>").alias("kinds"))
+    entry = lambda p, k: F.struct(k.alias("key"), F.schema_of_variant(F.element_at(p["kinds"], k)).alias("kind"), F.element_at(p["texts"], k).alias("value"))
+    return let(pairs, lambda p: F.transform(F.array_sort(F.map_keys(p["texts"])), lambda k: entry(p, k)))
+
+
+def _plain(m: Column) -> Column:
+    """A member's value without quotes; numbers as JSON writes them."""
+    number = ~m["kind"].isin("STRING", "VOID", "BOOLEAN")
+    return F.when(number, F.coalesce(number_text(m["value"]), m["value"])).otherwise(F.coalesce(m["value"], F.lit("null")))
 
 
 def flat_json_to_yaml(text: Column | str) -> Column:
     """key: value lines of a flat object; values stand without quotes, an empty one swallows its line end."""
-    return F.array_join(F.transform(_members(text), lambda m: F.concat(m["key"], F.lit(": "), trim_start(F.concat(F.coalesce(m["value"], F.lit("null")), F.lit("\n"))))), "")
+    return F.array_join(F.transform(_members(text), lambda m: F.concat(m["key"], F.lit(": "), trim_start(F.concat(_plain(m), F.lit("\n"))))), "")
 
 
 def flat_json_to_toml(text: Column | str) -> Column:
-    """key = value lines of a flat object whose strings do not look like numbers or booleans; null is an empty string."""
-
-    def value(m: Column) -> Column:
-        plain = m["value"].rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$") | m["value"].isin("true", "false")
-        return F.when(m["value"].isNull(), '""').when(plain, m["value"]).otherwise(F.concat(F.lit('"'), m["value"], F.lit('"')))
-
+    """key = value lines of a flat object; strings are quoted whatever they look like, null is an empty string."""
+    value = lambda m: F.when(m["kind"] == "VOID", '""').when(m["kind"] == "STRING", F.concat(F.lit('"'), m["value"], F.lit('"'))).otherwise(_plain(m))
     return F.array_join(F.transform(_members(text), lambda m: F.concat(m["key"], F.lit(" = "), value(m), F.lit("\n"))), "")

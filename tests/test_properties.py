@@ -121,6 +121,24 @@ def test_tree_expressions(spark):
     compare(spark, texts, lambda c: tree.toml_to_json(c)["output"], lambda t: tree_files.toml_to_json(t.encode()).decode())
 
 
+def test_flat_objects(spark):
+    """Values of all kinds, strings that look like others included, as the full operators write them."""
+    values = ["1", "-7", "0.5", "1e5", "1.50", "123456789012345678", "\"5\"", "\"true\"", "\"\"", "\"1e5\"", "\"null\"", "\"a b\"", "\"é\"", "true", "false", "null"]
+    texts = ["{" + ", ".join(f'"{k}": {v}' for k, v in zip("zyxab", random.Random(n).choices(values, k=n % 6), strict=False)) + "}" for n in range(300)]
+    compare(spark, texts, tree.flat_json_to_yaml, lambda t: tree_files.json_to_yaml(t.encode()).decode())
+    compare(spark, texts, tree.flat_json_to_toml, lambda t: tree_files.json_to_toml(t.encode()).decode())
+
+
+def test_large_toml(spark):
+    """20,000 members in 5,000 sections: no member looks through the others."""
+    import time
+
+    body = "\n".join(f"[s{k}]\n" + "\n".join(f"k{j} = {j}" for j in range(4)) for k in range(5000))
+    began = time.time()
+    compare(spark, [body], lambda c: tree.toml_to_json(c)["output"], lambda t: tree_files.toml_to_json(t.encode()).decode())
+    assert time.time() - began < 30
+
+
 def test_table_expressions(spark):
     texts = random_texts(["a", "\t", "\n", "\r\n", '"', ",", " ", "é"], 600)
     compare(spark, texts, lambda c: tabular.tsv_to_csv(c)["output"], lambda t: csv_files.tsv_to_csv(t.encode()).decode())
