@@ -6,6 +6,7 @@ Rows: id, name, content, extension ('' if unknown), size, target, status (pendin
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +20,22 @@ VOLUME_BYTES = 64 << 20
 
 
 def ingest(files: DataFrame, id_col: str | None = None) -> DataFrame:
-    """files (name, content) as pending rows. Without an id column, ids follow the order of the scan; nothing is shuffled."""
+    """files (name, content) as pending rows. Without an id column, ids follow the order of the scan; nothing is shuffled.
+
+    Files that the scan could not read (their error is not null) are error rows from the start.
+    """
     ext = F.coalesce(fm.detect_format("name"), F.lit(""))
+    error = F.col("error").cast("string") if "error" in files.columns else F.lit(None).cast("string")
     return files.select(
         (F.col(id_col) if id_col else F.monotonically_increasing_id()).cast("long").alias("id"),
         "name",
         "content",
         ext.alias("extension"),
-        F.octet_length("content").cast("long").alias("size"),
+        (F.coalesce(F.octet_length("content"), F.col("length")) if "length" in files.columns else F.octet_length("content")).cast("long").alias("size"),
         fm.default_target(ext).alias("target"),
-        F.lit(PENDING).alias("status"),
+        F.when(error.isNull(), PENDING).otherwise(ERROR).alias("status"),
         F.lit(None).cast("binary").alias("output"),
-        F.lit(None).cast("string").alias("error"),
+        error.alias("error"),
     )
 
 
@@ -86,12 +91,13 @@ def pack(batch: DataFrame, fmt: str, volume_bytes: int = VOLUME_BYTES) -> DataFr
     """volume, archive, mime, n_entries: archives of the batch's outputs in order of id; none of nothing or an unknown format.
 
     One archive, unless the outputs are larger than volume_bytes: then rows are dealt to volumes by a hash of their id,
-    so no task gathers the batch.
+    so no task gathers the batch. Outputs are kept on the executors' disks between the sum of their sizes and the packing, so
+    that each conversion runs once (again where an executor is lost); they stay until the session's cache is cleared.
     """
     out = "volume int, archive binary, mime string, n_entries long"
-    own = entries(batch)
     if fmt not in archives.FORMATS:
-        return own.sparkSession.createDataFrame([], out)
+        return batch.sparkSession.createDataFrame([], out)
+    own = entries(batch).persist(StorageLevel.DISK_ONLY)
     total = own.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first().n
     volumes = max(1, -(-total // volume_bytes))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from fileloom.functions import formats as fm
 from fileloom.functions import paged, tabular, text, tree
 from fileloom.operators import audio, images
 from fileloom.plans import batch, registry
+from fileloom.sources import files as files_io
 from fileloom.sources.tables import read_table as table
 
 QUERIES: dict = {}
@@ -28,6 +32,14 @@ def query(sql: str | None = None):
     return add
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: spark.checkpoint.dir, or in a local session without one a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or tempfile.mkdtemp(prefix="fileloom-")).rstrip("/")
+
+
 def as_text(result: Column) -> Column:
     return F.coalesce(result["output"].cast("string"), result["error"])
 
@@ -468,6 +480,28 @@ def rtf_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", as_text(registry.convert(to_bytes(body), "rtf", "txt")).alias("txt"))
 
 
+@query("""select c_custkey, 'Invalid UTF-8: invalid byte at position ' || (3 + strlen(c_name)) as error from customer""")
+def utf8_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown with a byte that UTF-8 has not: the error says where it stands."""
+    body = F.concat(F.lit("é ").cast("binary"), to_bytes(F.col("c_name")), F.unhex(F.lit("FF")), F.lit(" x").cast("binary"))
+    return table(spark, sf_dir, "customer").select("c_custkey", registry.convert(body, "md", "html")["error"].alias("error"))
+
+
+@query(f"""select doc_id, 3 + 2 * n as objects, 4 + 2 * n as size, true as table_found, true as objects_found
+    from (select doc_id, ((count(*) - 1) // {paged.PAGE_LINES} + 1) as n from (select doc_id, unnest(segments) from ({_SEGMENTS_SQL})) group by doc_id)""")
+def pdf_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of PDFs: how many, what the trailer says, and whether the table and each object stand where it is said."""
+    done = registry.convert(to_bytes(F.coalesce("text", F.lit(""))), "txt", "pdf")["output"]
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(F.struct(F.decode(done, "ISO-8859-1").alias("pdf")))))
+    start = F.regexp_extract("pdf", r"startxref\n([0-9]+)\n%%EOF\n$", 1).cast("int")
+    offsets = F.regexp_extract_all(F.substring(F.col("pdf"), start + 1, F.length("pdf")), F.lit(r"([0-9]{10}) 00000 n"), F.lit(1))
+    stands = lambda o, k: F.startswith(F.substring(F.col("pdf"), o.cast("int") + 1, F.lit(20)), F.concat((k + 1).cast("string"), F.lit(" 0 obj\n")))
+    return rows.select(
+        "doc_id", F.regexp_count("pdf", F.lit(r"(?m)^[0-9]+ 0 obj$")).cast("long").alias("objects"), F.regexp_extract("pdf", r"trailer\n<< /Size ([0-9]+)", 1).cast("long").alias("size"),
+        F.startswith(F.substring(F.col("pdf"), start + 1, F.lit(5)), F.lit("xref\n")).alias("table_found"), F.forall(F.transform(offsets, stands), lambda x: x).alias("objects_found"),
+    )
+
+
 # --- sound and pictures ------------------------------------------------------------------------------------------
 
 _PCM_SQL = "select vec_id, (pos - 1)::int as pos, trunc(greatest(-1::float, least(1::float, x)) * 32767::float)::smallint as sample from (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from embeddings)"
@@ -503,25 +537,36 @@ def wav_to_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOSSLESS = ("png", "bmp", "gif", "tiff", "qoi", "tga", "ico", "webp")
 
 
-@query(f"""select p_partkey, fmt, printf('%02x%02x%02xff', (p_partkey % 256)::int, (p_partkey * 7 % 256)::int, (p_partkey * 13 % 256)::int) as pixel
-    from part, (select unnest([{", ".join(f"'{x}'" for x in LOSSLESS)}]) as fmt)""")
-def image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A picture for each part, from PNG to each lossless format and back to PNG."""
+#: Width and height of the pictures that parts get; their colors run along both.
+PICTURE = (7, 5)
+_PICTURE_SQL = """(select p_partkey, string_agg(printf('%02x%02x%02xff', ((p_partkey + 31 * x) % 256)::int, ((p_partkey * 7 + 17 * y) % 256)::int, ((p_partkey * 13 + 5 * x * y) % 256)::int), '' order by y, x) as pixels
+    from part, (select unnest(range(7)) as x), (select unnest(range(5)) as y) group by p_partkey)"""
 
-    @F.arrow_udf("binary")
-    def made(v: pa.Array) -> pa.Array:
-        import numpy as np
 
-        return pa.array([images.encode_png(np.tile(np.array([k % 256, k * 7 % 256, k * 13 % 256, 255], np.uint8), (2, 3, 1))) for k in v.to_pylist()], pa.binary())
+def pictures(keys: pa.Array) -> pa.Array:
+    """A PNG for each key, no two of its rows and columns alike."""
+    import numpy as np
+
+    y, x = np.mgrid[: PICTURE[1], : PICTURE[0]]
+    solid = np.full_like(x, 255)
+    return pa.array([images.encode_png(np.stack([(k + 31 * x) % 256, (k * 7 + 17 * y) % 256, (k * 13 + 5 * x * y) % 256, solid], -1).astype(np.uint8)) for k in keys.to_pylist()], pa.binary())
+
+
+@query(f"""select p_partkey, fmt, sha256(unhex(pixels)) as pixels from {_PICTURE_SQL}, (select unnest([{", ".join(f"'{x}'" for x in LOSSLESS)}]) as fmt)""")
+def image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture for each part, from PNG to each lossless format and back to PNG: a digest of all its pixels, row by row."""
+    made = F.arrow_udf(lambda v: pictures(v), "binary")
 
     @F.arrow_udf("string")
-    def first(v: pa.Array) -> pa.Array:
-        return pa.array([images.decode_png(x.as_py())[0, 0].tobytes().hex() if x.is_valid else None for x in v], pa.string())
+    def digest(v: pa.Array) -> pa.Array:
+        import hashlib
+
+        return pa.array([hashlib.sha256(images.decode_png(x.as_py()).tobytes()).hexdigest() if x.is_valid else None for x in v], pa.string())
 
     rows = table(spark, sf_dir, "part").select("p_partkey", made("p_partkey").alias("png")).withColumn("fmt", F.explode(F.array(*map(F.lit, LOSSLESS))))
     there = registry.converted(rows, F.col("png"), F.lit("png"), F.col("fmt")).select("p_partkey", "fmt", F.col("__output").alias("there"))
     back = registry.converted(there, F.col("there"), F.col("fmt"), F.lit("png"))
-    return back.select("p_partkey", "fmt", first("__output").alias("pixel"))
+    return back.select("p_partkey", "fmt", digest("__output").alias("pixels"))
 
 
 @query("select n_nationkey, (n_nationkey + 1)::int as width, 5 as height, printf('%02x%02x%02xff', n_nationkey * 10, 200 - n_nationkey, 7) as pixel from nation")
@@ -612,6 +657,15 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.convert_all(batch.ingest(rows, "file_id"))
 
 
+@query("""select s_suppkey || '-' || s_name || '.base64' as name, strlen(base64(encode(s_name || ' é')))::bigint as length, sha256(base64(encode(s_name || ' é'))) as sha256, null as error from supplier""")
+def saved_and_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as files that are converted, saved to a shared folder and scanned again."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_id"), F.concat("s_name", F.lit(".dat")).alias("name"), to_bytes(F.concat("s_name", F.lit(" é"))).alias("content"))
+    folder = f"{shared_folder(spark)}/fileloom-saved-{uuid.uuid4().hex}"
+    files_io.save(batch.convert_all(batch.ingest(rows, "file_id")), folder)
+    return files_io.scan(spark, folder).select("name", "length", F.sha2("content", 256).alias("sha256"), "error")
+
+
 _ENTRIES_SQL = "select conv_id * 1000 + turn as id, 'c' || (conv_id % 50) || '.base64' as name, base64(encode(text)) as data from conversations"
 _ARCHIVE_SQL = f"""select (row_number() over (order by id) - 1)::int as position, case when k = 1 then name else replace(name, '.base64', ' (' || (k - 1) || ').base64') end as name, strlen(data)::bigint as size, sha256(data) as sha256
     from (select *, row_number() over (partition by name order by id) as k from ({_ENTRIES_SQL}))"""
@@ -624,8 +678,8 @@ def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _archive(fmt: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """The archive's entries, read back out of it. The batch is one volume here, as its bytes are bounded."""
-        rows = batch.unpack(batch.pack(encoded(spark, sf_dir), fmt, 1 << 40), fmt)
+        """The archives' entries, read back out of them; up to 64 MB of outputs are one volume, and so one sequence."""
+        rows = batch.unpack(batch.pack(encoded(spark, sf_dir), fmt), fmt)
         return rows.select("position", "name", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("sha256"))
 
     run.__name__ = "archive_" + fmt.replace(".", "_")

@@ -10,6 +10,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     A file of one row group cannot be split, so that one core would convert it all.
     """
+    if not hasattr(df, "_jdf"):  # Spark Connect does not say how many tasks a plan has
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
