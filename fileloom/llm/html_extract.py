@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -98,6 +99,7 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
+@lru_cache(1 << 14)
 def names_noise(token: str, words: frozenset = NAMED_WORDS) -> bool:
     """Whether a class or id means such a part of a page: cookie-notice does, no-sidebar or share-price-report does not."""
     parts = [w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if w]
@@ -115,19 +117,24 @@ class Node:
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         found: dict[str, str] = {}
-        if attributes:
+        if attributes and not attributes.isspace():
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 found.setdefault(name.lower(), unescape(a or b or c))
-        classes = found.get("class", "").split()
         self.tag = tag
-        self.depth = parent.depth + 1 if parent else 0
-        self.holds: set[str] = set()
-        self.article = bool(parent and parent.article)
-        self.main = bool(parent and parent.main)
-        self.never = bool(parent and parent.never) or tag in NEVER or "hidden" in found or found.get("aria-hidden") == "true"
-        self.named = "" if tag in ("html", "body") else self._named_by(tag, found.get("role", "").lower(), [*classes, found.get("id", "")])
-        own = tag + "".join(f".{c}" for c in sorted(_DIGITS.sub("0", c) for c in classes)) + (f"#{i}" if (i := _DIGITS.sub("0", found.get("id", ""))) else "")
-        if parent is None or tag in ("html", "body"):
+        self.holds: set[str] | None = None
+        if parent is None:
+            self.depth, self.article, self.main, self.never = 0, False, False, tag in NEVER
+        else:
+            self.depth, self.article, self.main, self.never = parent.depth + 1, parent.article, parent.main, parent.never or tag in NEVER
+        own, role, names = tag, "", []
+        if found:
+            classes, key, role = found.get("class", "").split(), found.get("id", ""), found.get("role", "").lower()
+            self.never |= "hidden" in found or found.get("aria-hidden") == "true"
+            own += "".join(f".{c}" for c in sorted(_DIGITS.sub("0", c) for c in classes)) + (f"#{_DIGITS.sub('0', key)}" if key else "")
+            names = [*classes, key]
+        whole = tag in ("html", "body")
+        self.named = "" if whole else self._named_by(tag, role, names)
+        if parent is None or whole:
             self.style, self.path = own, (own,) if tag in BLOCK else ()
         elif self.depth < DEPTH:
             self.style = f"{parent.style}/{own}"
@@ -135,18 +142,23 @@ class Node:
         else:
             self.style, self.path = parent.style, parent.path
         self.article |= tag == "article"
-        self.main |= tag == "main" or found.get("role", "").lower() == "main"
+        self.main |= tag == "main" or role == "main"
 
     def _named_by(self, tag: str, role: str, names: list[str]) -> str:
         if tag in NAMED_TAGS or role in NAMED_ROLES:
             # an aside in an article may be part of it: only the tree can tell
             return "" if tag == "aside" and self.article and not role else "form" if tag == "form" else "tag"
-        if not self.article and (tag in OUTER_TAGS or any(names_noise(x, OUTER_WORDS) for x in names)):
+        if not self.article and tag in OUTER_TAGS:
+            return "outer"
+        if not names:
+            return ""
+        if not self.article and any(names_noise(x, OUTER_WORDS) for x in names):
             return "outer"
-        return "class" if any(names_noise(x) for x in names) else ""
+        return "class" if any(map(names_noise, names)) else ""
 
     def prior(self) -> float:
-        if not self.named or (self.named == "form" and self.holds & HOLDS_FORM) or (self.named == "class" and self.holds & HOLDS_CLASS) or (self.named == "outer" and "main" in self.holds):
+        held = self.holds or frozenset()
+        if not self.named or (self.named == "form" and held & HOLDS_FORM) or (self.named == "class" and held & HOLDS_CLASS) or (self.named == "outer" and "main" in held):
             return 1.0
         return NAMED
 
@@ -237,7 +249,7 @@ class Page:
         if tag in HOLDS_FORM:
             for x in self._stack:
                 if x.named:
-                    x.holds.add(tag)
+                    x.holds = (x.holds or set()) | {tag}
         if node.named and not node.never:
             self.named.append(node)
         if block and not node.never and parent is not None:
@@ -269,7 +281,10 @@ class Page:
 
     def _pop_to(self, tags: frozenset | set, scope: frozenset | set) -> None:
         """Ends the nearest open element of tags and what is in it, if no element of scope is between."""
-        if not any(self._open[t] for t in tags):
+        for t in tags:
+            if self._open[t]:
+                break
+        else:
             return
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i].tag in tags:
@@ -375,7 +390,8 @@ def _extract(shared, has_styles: bool):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
-    noise = materialize(noise_nodes(style_tree(pages)), "noise")
+    tree = materialize(style_tree(pages), "tree")  # read twice, so that pages are not
+    noise = materialize(noise_nodes(tree), "noise")
     out = "page_id long, url string, text string, n_chars long"
     rows = pages.select("page_id", "url", "html")
     size = noise.agg(F.coalesce(F.sum(F.size("styles")), F.lit(0)).alias("n"), F.count("*").alias("hosts")).first()
