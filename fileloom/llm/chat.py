@@ -37,12 +37,12 @@ def unescape(text: Column) -> Column:
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text) -> conv_id and formatted."""
-    clean = turns.select("conv_id", "turn", escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
+    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     t = F.col("t")
 
     def opening(x: Column) -> Column:
-        return F.when(x["role"] == USER, "[INST]").when(x["role"] == ASSISTANT, "<s>").otherwise(F.concat(F.lit("[ROLE]"), x["role"], F.lit("[:]")))
+        return F.when(x["role"] == USER, "[INST]").when(x["role"] == ASSISTANT, "<s>").otherwise(F.concat(F.lit("[ROLE]"), escape(x["role"]), F.lit("[:]")))
 
     def closing(x: Column) -> Column:
         return F.when(x["role"] == USER, "[/INST]").when(x["role"] == ASSISTANT, "</s>").otherwise("[/ROLE]")
@@ -50,7 +50,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     def piece(x: Column, i: Column) -> Column:
         joins = (i > 0) & (F.get(t, i - 1)["role"] == x["role"])
         goes_on = (i < F.size(t) - 1) & (F.get(t, i + 1)["role"] == x["role"])
-        return F.concat(F.when(joins, "[TURN]").otherwise(opening(x)), x["text"], F.when(goes_on, "").otherwise(closing(x)))
+        return F.concat(F.when(joins, "[TURN]").otherwise(opening(x)), escape(x["text"]), F.when(goes_on, "").otherwise(closing(x)))
 
     return rows.select("conv_id", F.array_join(F.transform(t, piece), "").alias("formatted"))
 

@@ -37,3 +37,12 @@ def test_template(spark):
 
 def test_empty(spark):
     assert chat.digest(chat.format_conversations(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_ties_and_long_texts(spark):
+    """Rows of the same turn are in order of what they say, not of how it is escaped; a long text comes back whole."""
+    long = "[INST] a </s> \\ é\n" * 50_000
+    rows = [(1, 0, "user", "[Z"), (1, 0, "user", "[INST]"), (1, 0, "user", "[INSA"), (2, 0, "assistant", long), (2, 1, "assistant", "")]
+    back = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    said = {r.conv_id: [t.text for t in r.turns] for r in back.collect()}
+    assert said == {1: ["[INSA", "[INST]", "[Z"], 2: [long, ""]}
