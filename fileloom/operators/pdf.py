@@ -184,6 +184,46 @@ def _undo_predictor(data: bytes, parms: dict) -> bytes:
     return unfilter(data, row, width)
 
 
+def lzw(data: bytes, early: int = 1) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first; 256 clears the table, 257 ends. early: codes grow one entry before they must."""
+    out, table, held, bits, width, last = [], [], 0, 0, 9, b""
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 256:
+            table, width, last = [], 9, b""
+            continue
+        if code == 257:
+            break
+        if code < 256:
+            said = bytes([code])
+        elif code - 258 < len(table):
+            said = table[code - 258]
+        elif code - 258 == len(table) and last:
+            said = last + last[:1]
+        else:
+            raise ConversionError("Failed to extract PDF text: broken LZW data")
+        if last and len(table) < 4096 - 258:
+            table.append(last + said[:1])
+        out.append(said)
+        last = said
+        width = min(12, max(9, (258 + len(table) + early).bit_length()))
+    return b"".join(out)
+
+
+def run_lengths(data: bytes) -> bytes:
+    """Runs: n < 128 is followed by n + 1 bytes, n > 128 by one that stands 257 - n times, 128 ends."""
+    out, at = [], 0
+    while at < len(data) and data[at] != 128:
+        n = data[at]
+        out.append(data[at + 1 : at + 2 + n] if n < 128 else data[at + 1 : at + 2] * (257 - n))
+        at += 2 + n if n < 128 else 2
+    return b"".join(out)
+
+
 class Document:
     def __init__(self, data: bytes) -> None:
         if not data.lstrip(b"\0\t\n\x0c\r ").startswith(b"%PDF-"):
@@ -251,8 +291,12 @@ class Document:
                     raw = zlib.decompressobj().decompress(raw)
                 except zlib.error as e:
                     raise ConversionError(f"Failed to extract PDF text: {e}") from None
-                own = self.get(parms[k]) if k < len(parms) else None
-                raw = _undo_predictor(raw, own or {})
+                raw = _undo_predictor(raw, (self.get(parms[k]) if k < len(parms) else None) or {})
+            elif f in ("LZWDecode", "LZW"):
+                own = (self.get(parms[k]) if k < len(parms) else None) or {}
+                raw = _undo_predictor(lzw(raw, own.get("EarlyChange", 1)), own)
+            elif f in ("RunLengthDecode", "RL"):
+                raw = run_lengths(raw)
             elif f in ("ASCIIHexDecode", "AHx"):
                 digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw.split(b">")[0])
                 raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())

@@ -533,6 +533,70 @@ def wav_to_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.posexplode(samples(registry.convert("wav", "wav", "wav")["output"])).alias("pos", "sample"))
 
 
+def _flac(samples, rate: int) -> bytes:
+    """16 bits, one channel, verbatim blocks of up to 4,096 samples."""
+    import struct
+
+    blocks = []
+    for k in range(0, len(samples), 4096):
+        x = samples[k : k + 4096]
+        # block of a size that follows, sample rate of the head, one channel, 16 bits, number of the block, size
+        head = bytes([0xFF, 0xF8, 0x70, 0x08, k // 4096]) + struct.pack(">H", len(x) - 1)
+        blocks.append(head + bytes([audio._crc8(head), 0x02]) + x.astype(">i2").tobytes() + b"\0\0")
+    info = struct.pack(">HH", 4096, 4096) + bytes(6) + (rate << 44 | 15 << 36 | len(samples)).to_bytes(8, "big") + bytes(16)
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + b"".join(blocks)
+
+
+@query(f"select vec_id, pos, trunc(sample::float / 32768::float * 32767::float)::smallint as sample from ({_PCM_SQL})")
+def flac_to_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as FLAC files, converted to WAV."""
+
+    @F.arrow_udf("binary")
+    def made(v: pa.Array) -> pa.Array:
+        import numpy as np
+
+        return pa.array([_flac(np.array(x.as_py(), np.int16), 16000) for x in v], pa.binary())
+
+    @F.arrow_udf("array<smallint>")
+    def samples(v: pa.Array) -> pa.Array:
+        import numpy as np
+
+        return pa.array([np.frombuffer(x.as_py()[44:], "<i2") for x in v], pa.list_(pa.int16()))
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", made(paged.pcm16("embedding")).alias("flac"))
+    return rows.select("vec_id", F.posexplode(samples(registry.convert("flac", "flac", "wav")["output"])).alias("pos", "sample"))
+
+
+@query("""select n_nationkey, (n_nationkey + 9)::int as width, (n_nationkey + 4)::int as height, printf('%02x0a14ff', n_nationkey * 10) as pixel from nation""")
+def ico_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Icons of three pictures, the largest at the front, in the middle or at the end: that one is converted."""
+
+    @F.arrow_udf("binary")
+    def made(v: pa.Array) -> pa.Array:
+        import struct
+
+        import numpy as np
+
+        out = []
+        for k in v.to_pylist():
+            sizes = [(3, 5), (k + 8, k + 3)]
+            sizes.insert(k % 3, (k + 9, k + 4))
+            pngs = [images.encode_png(np.tile(np.array([k * 10, 10, 20, 255] if size == (k + 9, k + 4) else [1, 2, 3, 255], np.uint8), (size[1], size[0], 1))) for size in sizes]
+            at = 6 + 16 * len(pngs) + np.cumsum([0, *map(len, pngs)])
+            entries = b"".join(struct.pack("<BBBBHHII", w, h, 0, 0, 1, 32, len(png), int(a)) for (w, h), png, a in zip(sizes, pngs, at, strict=False))
+            out.append(struct.pack("<HHH", 0, 1, len(pngs)) + entries + b"".join(pngs))
+        return pa.array(out, pa.binary())
+
+    @F.arrow_udf("struct<width: int, height: int, pixel: string>")
+    def seen(v: pa.Array) -> pa.Array:
+        a = [images.decode_png(x.as_py()) for x in v]
+        return pa.array([{"width": x.shape[1], "height": x.shape[0], "pixel": x[-1, -1].tobytes().hex()} for x in a], pa.struct([("width", pa.int32()), ("height", pa.int32()), ("pixel", pa.string())]))
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", made("n_nationkey").alias("ico"))
+    rows = rows.select("n_nationkey", seen(registry.convert("ico", "ico", "png")["output"]).alias("s"))
+    return rows.select("n_nationkey", "s.width", "s.height", "s.pixel")
+
+
 # Lossless targets a picture passes through.
 LOSSLESS = ("png", "bmp", "gif", "tiff", "qoi", "tga", "ico", "webp")
 

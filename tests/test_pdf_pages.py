@@ -1,3 +1,8 @@
+import random
+
+import pytest
+
+from fileloom.operators import pdf
 from fileloom.operators.pdf import Document
 
 
@@ -6,3 +11,56 @@ def test_long_page_trees_are_read_whole():
     doc.get = lambda node: node
     doc.root = {"Pages": {"Kids": [{"Kids": [{} for _ in range(1000)]} for _ in range(101)]}}
     assert len(doc.pages()) == 101_000
+
+
+def lzw_codes(data: bytes, early: int) -> bytes:
+    """A plain writer: greedy, with the table of strings spelled out."""
+    table, bits, held = {bytes([k]): k for k in range(256)}, "", b""
+    entries, width = 258, 9
+    bits += f"{256:09b}"
+    for k in range(len(data)):
+        c = data[k : k + 1]
+        if held + c in table:
+            held += c
+            continue
+        bits += f"{table[held]:0{width}b}"
+        table[held + c] = entries
+        entries += 1
+        held = c
+        # the reader is one entry behind
+        width = max(9, (entries - 1 + early).bit_length())
+        if entries == 4094:
+            bits += f"{table[held]:0{width}b}"
+            width = max(9, min(12, (entries + early).bit_length()))
+            bits += f"{256:0{width}b}"
+            table, entries, width, held = {bytes([j]): j for j in range(256)}, 258, 9, b""
+    if held:
+        bits += f"{table[held]:0{width}b}"
+        width = max(9, (entries + early).bit_length())
+    bits += f"{257:0{width}b}"
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+# The example of the PDF reference, 7.4.4.2.
+def test_lzw_example():
+    assert pdf.lzw(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01])) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+
+
+@pytest.mark.parametrize("early", [0, 1])
+def test_lzw(early):
+    rng = random.Random(early)
+    for n in (0, 1, 2, 300, 1500, 20_000):
+        data = bytes(rng.choices(b"abcde \n(", k=n))
+        assert pdf.lzw(lzw_codes(data, early), early) == data
+
+
+def test_run_lengths():
+    assert pdf.run_lengths(bytes([2, 1, 2, 3, 254, 9, 0, 7, 128, 5])) == bytes([1, 2, 3, 9, 9, 9, 7])
+
+
+def test_text_behind_lzw_and_runs():
+    for name, coded in (("LZWDecode", lzw_codes(b"BT /F1 9 Tf (Hello there) Tj ET", 1)), ("RunLengthDecode", bytes([30]) + b"BT /F1 9 Tf (Hello there) Tj ET" + b"\x80")):
+        body = f"1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 >>\nendobj\n3 0 obj\n<< /Type /Page /Contents 4 0 R >>\nendobj\n4 0 obj\n<< /Length {len(coded)} /Filter /{name} >>\nstream\n"
+        data = b"%PDF-1.4\n" + body.encode() + coded + b"\nendstream\nendobj\ntrailer\n<< /Root 1 0 R >>\n"
+        assert pdf.pdf_to_text(data) == b"Hello there"
