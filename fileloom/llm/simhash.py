@@ -15,9 +15,9 @@ rounds over those edges, each written to the shared folder.
 the pipeline takes. Shingles have one order for all documents; of two sets that are 0.8 alike, the first shingles (one
 more than a fifth of them) have one in common, so these name the shards and no link lies outside all shards. In a shard
 the SimHash values of the sets form a BK-tree, and a document is proposed the nearest node on the path by which it
-enters the tree: one proposal for a document and turn, so a group of copies costs no more than its size. What is
-confirmed on the full sets is joined. A last turn compares what the trees left apart, by bounds that hold for sure
-(lengths, places in the order, parity sketches), and confirms it likewise, so that no link is lost.
+enters the tree. ``PROPOSED`` of these are confirmed on the full sets and joined, so a group of copies costs no more than
+its size. Then all that the trees left apart is compared, by bounds that hold for sure (lengths, places in the order,
+parity sketches), and confirmed likewise, so that no link is lost.
 
 Edge cases: null and empty texts have no words and the fingerprint zero, which is linked like any other; repeated rows
 each get a row; a document without an id is linked, but names no component (component_id is the smallest id that is
@@ -57,9 +57,9 @@ SAMPLE, REPEATED = 8192, 1 << 16
 #: Fewest bits of a sketch, and most of the filter of documents to be compared in full.
 LEAST_SKETCH, MOST_FILTER = 512, 1 << 23
 
-#: Turns of ``similar`` that follow trees before the one that compares all that are not joined, and the most bits
-#: between a document and the node that it is proposed. Both decide how much the last turn compares, not what is found.
-TREE_TURNS, TREE_RADIUS = 2, 14
+#: ``similar``: the most bits between a document and a node that a tree proposes, and how many nodes it is proposed, the
+#: nearest ones. Both decide how much is left to compare after the trees, not what is found.
+TREE_RADIUS, PROPOSED = 14, 12
 
 
 def fingerprint(text: str | None) -> int:
@@ -112,7 +112,7 @@ def _shingle_rows(batches):
 def repeated(docs: DataFrame) -> np.ndarray:
     """Shingles that several documents of a sample have, the most frequent last."""
     part = max(1, docs.count() // SAMPLE)
-    texts = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).distinct()
+    texts = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
     counts = texts.mapInArrow(_shingle_rows, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     found = counts.orderBy(F.desc("n"), "shingle").limit(REPEATED).select("shingle").toArrow()
     return found.column(0).to_numpy()[::-1].view(np.uint64)
@@ -221,37 +221,28 @@ def _pair_batch(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def _tree_pairs(turn: int):
-    """(a, b, d): for each row of a shard the nearest node of another label that it passes on its way into the BK-tree."""
-
-    def run(batches):
-        for parts in _by_shard(batches):
-            shard, node, sim, label = _columns(parts)
-            several = np.zeros(len(shard), bool)
-            order = np.lexsort((label, shard))
-            differ = (shard[order][1:] == shard[order][:-1]) & (label[order][1:] != label[order][:-1])
-            several = np.isin(shard, shard[order][1:][differ])
-            shard, node, sim, label = shard[several], node[several], sim[several].view(np.uint64), label[several]
-            if not len(shard):
-                continue
-            # one order of chance for all shards, so that a group has the same roots in all that it shares
-            chance = mix64(node.view(np.uint64) + np.uint64(turn))
-            order = np.lexsort((chance, sim, shard))
-            shard, node, sim, label, chance = (c[order] for c in (shard, node, sim, label, chance))
-            new = np.ones(len(shard), bool)
-            new[1:] = (shard[1:] != shard[:-1]) | (sim[1:] != sim[:-1])
-            again = np.flatnonzero(~new & (label != np.roll(label, 1)))  # of equal value: the one before
-            tops = np.flatnonzero(new)
-            tops = tops[np.lexsort((chance[tops], shard[tops]))]
-            trees = Forest(shard[tops], sim[tops], label[tops])
-            met = np.flatnonzero(trees.nearest_distance <= TREE_RADIUS)
-            a = np.concatenate([again, tops[met]])
-            b = np.concatenate([again - 1, tops[trees.nearest[met]]])
-            d = np.concatenate([np.zeros(len(again), np.int64), trees.nearest_distance[met]])
+def _tree_pairs(batches):
+    """(a, b, d): for each row of a shard the nearest node that it passes on its way into the BK-tree, and the bits between."""
+    for parts in _by_shard(batches):
+        shard, node, sim = _columns(parts)
+        sim = sim.view(np.uint64)
+        # several orders of chance, so that a node meets several of its group on its ways into the trees of its shards
+        chance = mix64(node.view(np.uint64) + mix64(shard.view(np.uint64) & np.uint64(15)))
+        order = np.lexsort((chance, sim, shard))
+        shard, node, sim, chance = (c[order] for c in (shard, node, sim, chance))
+        new = np.ones(len(shard), bool)
+        new[1:] = (shard[1:] != shard[:-1]) | (sim[1:] != sim[:-1])
+        again = np.flatnonzero(~new)  # of equal value: the one before
+        tops = np.flatnonzero(new)
+        tops = tops[np.lexsort((chance[tops], shard[tops]))]
+        trees = Forest(shard[tops], sim[tops])
+        met = np.flatnonzero(trees.nearest_distance <= TREE_RADIUS)
+        a = np.concatenate([again, tops[met]])
+        b = np.concatenate([again - 1, tops[trees.nearest[met]]])
+        d = np.concatenate([np.zeros(len(again), np.int64), trees.nearest_distance[met]])
+        if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(d)], ["a", "b", "d"])
 
-    return run
-
 
 def _pairs_apart(batches):
     """Of each shard all pairs that may be 0.8 alike and have different labels."""
@@ -346,10 +337,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 class Forest:
     """BK-trees of all shards of a batch. Item i is node i of its shard's tree; the first of a shard is the root.
 
-    nearest: the closest node of another label (if labels are given) on the item's way from the root to its place.
+    nearest: the closest node on the item's way from the root to its place.
     """
 
-    def __init__(self, shard: np.ndarray, value: np.ndarray, label: np.ndarray | None = None) -> None:
+    def __init__(self, shard: np.ndarray, value: np.ndarray) -> None:
         """Both sorted by shard; value is uint64 (a row of them for each item), distinct within a shard."""
         n = len(value)
         self.value = value.reshape(n, -1)
@@ -367,8 +358,6 @@ class Forest:
         while len(item):
             d = self.distance(item, node)
             closer = d < self.nearest_distance[item]
-            if label is not None:
-                closer &= label[item] != label[node]
             self.nearest[item[closer]], self.nearest_distance[item[closer]] = node[closer], d[closer]
             order = np.lexsort((item, d, node))
             item, node, d = item[order], node[order], d[order]
@@ -507,8 +496,10 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours of a node to the smallest of them, until they are few or settled. A node with many neighbours is only ever
     aggregated (min) and joined, never gathered.
     """
+    n, state = edges.count(), None
+    if n <= TASK_EDGES:
+        return materialize(edges.repartition(1).mapInArrow(_united, "node long, root long"), "roots")
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    n, state = now.count(), None
     while n > TASK_EDGES:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -551,21 +542,17 @@ def similar(docs: DataFrame) -> DataFrame:
     shared = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shared, place)
     shared = materialize(shared.join(groups.select("fp", "sim", "sketch"), "fp").select("shard", "fp", "place", "sim", "sketch"), "shared")
 
-    edges = None
-    for turn in range(TREE_TURNS + 1):
-        apart = shared.withColumn("label", F.col("fp"))
-        if turn:
-            joined = components(edges).toDF("fp", "root")
-            apart = shared.join(joined, "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
-        if turn < TREE_TURNS:
-            near = apart.select("shard", "fp", "sim", "label").repartition("shard").sortWithinPartitions("shard").mapInArrow(_tree_pairs(turn), "a long, b long, d long")
-            pairs = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("near")).select("a", "near.b")
-        else:
-            pairs = apart.select("shard", "fp", "place", "label", "sketch").repartition("shard").sortWithinPartitions("shard").mapInArrow(_pairs_apart, "a long, b long").distinct()
-        found = _confirmed(docs, groups, pairs, turn == TREE_TURNS)
-        edges = edges.unionByName(found) if turn else found
+    met = shared.select("shard", "fp", "sim").repartition("shard").sortWithinPartitions("shard").mapInArrow(_tree_pairs, "a long, b long, d long")
+    nearest = F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, PROPOSED)  # of one document's shards
+    pairs = met.groupBy("a").agg(nearest.alias("near")).select("a", F.explode("near").alias("near")).select("a", "near.b")
+    edges = _confirmed(docs, groups, pairs, False)
+    joined = components(edges).toDF("fp", "root")
+    apart = shared.join(joined, "fp", "left").select("shard", "fp", "place", F.coalesce("root", "fp").alias("label"), "sketch")
+    pairs = apart.repartition("shard").sortWithinPartitions("shard").mapInArrow(_pairs_apart, "a long, b long").distinct()
+    edges = edges.unionByName(_confirmed(docs, groups, pairs, True))
+    out = _named(rows.select("doc_id", "fp"), groups.select("fp", "least"), edges).select("doc_id", "component_id")
     dropped(shared)
-    return _named(rows.select("doc_id", "fp"), groups.select("fp", "least"), edges).select("doc_id", "component_id")
+    return out
 
 
 def _named(rows: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:

@@ -82,20 +82,18 @@ def test_similar_odd(request, name):
 
 
 def test_path_into_the_tree():
-    """nearest is the closest of an item's ancestors that has another label."""
+    """nearest is the closest of an item's ancestors."""
     rng = np.random.default_rng(8)
     value = np.unique(rng.integers(0, 1 << 20, 300).astype(np.uint64))
-    label = rng.integers(0, 3, len(value))
-    trees = simhash.Forest(np.arange(len(value)) // 100, value, label)
+    trees = simhash.Forest(np.arange(len(value)) // 100, value)
     for i in range(len(value)):
         k, best = trees.parent[i], simhash.FURTHEST
         while k >= 0:
-            if label[k] != label[i]:
-                best = min(best, int(value[i] ^ value[k]).bit_count())
+            best = min(best, int(value[i] ^ value[k]).bit_count())
             k = trees.parent[k]
         assert trees.nearest_distance[i] == best
         if best < simhash.FURTHEST:
-            assert int(value[i] ^ value[trees.nearest[i]]).bit_count() == best and label[trees.nearest[i]] != label[i]
+            assert int(value[i] ^ value[trees.nearest[i]]).bit_count() == best
 
 
 @pytest.mark.parametrize("most", [simhash.TASK_EDGES, 0, 60])
