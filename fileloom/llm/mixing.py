@@ -9,8 +9,8 @@ Within a source every document expects target / size copies. Documents are laid
 that what is taken comes within one document of the target; a prefix sum of the expected copies plus one random offset of
 the source gives as many copies as integer boundaries are crossed. The offset is drawn from the source's name, so reruns
 agree. The prefix sum is distributed: rows are numbered in chunks (a band of sizes of a tenth at most, and one of
-``LANES`` residues of a digest of the id), and the chunks' counts give where each begins. Sources are ranked likewise, in
-ranges of their order, so that however many there are none of this runs in one task.
+``LANES`` residues of a digest of the id), and the chunks' counts give where each begins. More than ``TASK_SOURCES`` sources are
+ranked likewise, in ranges of their order, so that however many there are none of this runs in one task.
 
 Edge cases: a null text has size 0; a source of size 0 has target 0 and takes nothing; null is a source of its own;
 a null id comes first in the order of its size and is spread by its text; repeated rows are each sampled; an empty table
@@ -27,38 +27,42 @@ from fileloom.llm.common import WORD, materialize
 WEIGHTS = (5, 2, 1)
 MOST = 3
 LANES = 128
+#: Sources that one task numbers, some 100 bytes each.
+TASK_SOURCES = 100_000
 
 
-def numbered(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], sums: dict[str, str], few: bool) -> DataFrame:
     """df with rank (from 1) in an order without ties, and for each name of sums the sum of a column over the rows before.
 
-    Rows go to ranges of the order; a range's rows are numbered by themselves and begin where the ranges before end. Only
-    the ranges' totals, a row for each, are summed in one task.
+    Few rows are numbered in one task. More go to ranges of the order; a range's rows are numbered by themselves and begin
+    where the ranges before end, and only the ranges' totals, a row for each, are summed in one task.
     """
-    rows = materialize(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
-    totals = rows.groupBy("range").agg(F.count("*").alias("rank_0"), *[F.sum(c).alias(f"{k}_0") for k, c in sums.items()])
-    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("range", *[F.coalesce(F.sum(f"{k}_0").over(ahead), F.lit(0)).alias(f"{k}_0") for k in ("rank", *sums)])
-    own = Window.partitionBy("range").orderBy(*order)
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(F.broadcast(totals), "range").withColumn("rank", F.row_number().over(own) + F.col("rank_0"))
+    rows, base = df, {k: F.lit(0) for k in ("rank", *sums)}
+    own = Window.orderBy(*order)
+    if not few:
+        rows = materialize(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+        totals = rows.groupBy("range").agg(F.count("*").alias("rank_0"), *[F.sum(c).alias(f"{k}_0") for k, c in sums.items()])
+        ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select("range", *[F.coalesce(F.sum(f"{k}_0").over(ahead), F.lit(0)).alias(f"{k}_0") for k in ("rank", *sums)])
+        rows, base, own = rows.join(F.broadcast(totals), "range"), {k: F.col(f"{k}_0") for k in ("rank", *sums)}, Window.partitionBy("range").orderBy(*order)
+    out = rows.withColumn("rank", F.row_number().over(own) + base["rank"])
     for k, c in sums.items():
-        out = out.withColumn(k, F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"{k}_0"))
+        out = out.withColumn(k, F.coalesce(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + base[k])
     return out.drop("range", *[f"{k}_0" for k in ("rank", *sums)])
 
 
 def targets(sizes: DataFrame) -> DataFrame:
     """(src, nul, source_size) of each source -> with target and rate, the copies that each document expects."""
+    few = sizes.count() <= TASK_SOURCES
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.col("rank") - 1) % len(WEIGHTS) + 1).cast("int"))
-    s = numbered(sizes, ["nul", "src"], {}).withColumn("weight", weight).withColumn("full", F.col("source_size").cast("double") * MOST)
+    s = numbered(sizes, ["nul", "src"], {}, few).withColumn("weight", weight).withColumn("full", F.col("source_size").cast("double") * MOST)
     s = s.withColumn("ratio", F.col("full") / F.col("weight")).drop("rank")
-    s = materialize(numbered(s, ["ratio", "nul", "src"], {"filled": "full", "weighed": "weight"}), "levels")
-    everything = s.agg(F.sum("source_size").cast("double").alias("words"), F.sum("weight").alias("weights"))
-    s = s.join(F.broadcast(everything))  # one row
-    level = (F.col("words") - F.col("filled")) / (F.col("weights") - F.col("weighed"))
-    first = s.where(F.col("ratio") > level).agg(F.min(F.struct("ratio", "nul", "src", level.alias("level")))["level"].alias("level"))
-    s = s.join(F.broadcast(first))  # one row; its level is null if all sources are full
-    target = F.when(F.col("level").isNull(), F.col("full")).otherwise(F.least("full", F.col("level") * F.col("weight")))
+    s = materialize(numbered(s, ["ratio", "nul", "src"], {"filled": "full", "weighed": "weight"}, few), "levels")
+    every = s.agg(F.sum("source_size").cast("double").alias("words"), F.sum("weight").alias("weights")).first()
+    level = (F.lit(every.words) - F.col("filled")) / (F.lit(every.weights) - F.col("weighed"))
+    first = s.where(F.col("ratio") > level).agg(F.min(F.struct("ratio", "nul", "src", level.alias("level")))["level"].alias("level")).first()
+    # without a level all sources are full
+    target = F.col("full") if first.level is None else F.least("full", F.lit(first.level) * F.col("weight"))
     s = s.withColumn("target", target)
     return s.select("src", "nul", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0).alias("rate"))
 
@@ -83,7 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     digits = F.col("size").cast("string")
     keys = ["nul", "src", "band", "lane"]
     rows = rows.withColumn("band", F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int"))
-    chunks = rows.groupBy(*keys).agg(F.count("*").alias("held"), F.sum("size").alias("words"))
+    chunks = materialize(rows.groupBy(*keys).agg(F.count("*").alias("held"), F.sum("size").alias("words")), "chunks")
     goal = targets(chunks.groupBy("src", "nul").agg(F.sum("words").alias("source_size")))
     # where a chunk begins: what the bands before hold, then the lanes before; no window sees all chunks of a source
     before = lambda w: F.coalesce(F.sum("held").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from fileloom.llm import mixing
@@ -46,14 +47,18 @@ def check(docs, near=0.02):
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(5)).collect()))
 
 
-def test_documents(documents):
+def test_documents(documents, monkeypatch):
     check(documents)
+    few = sorted(mixing.mix(documents).collect())
+    monkeypatch.setattr(mixing, "TASK_SOURCES", 0)
+    assert sorted(mixing.mix(documents).collect()) == few
 
 
-def test_numbered(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_numbered(spark, few):
     rng = random.Random(4)
     rows = [(k, rng.randint(0, 9)) for k in rng.sample(range(10**6), 500)]
-    got = mixing.numbered(spark.createDataFrame(rows, "k long, v long"), ["k"], {"below": "v"}).collect()
+    got = mixing.numbered(spark.createDataFrame(rows, "k long, v long"), ["k"], {"below": "v"}, few).collect()
     below = 0
     for rank, (k, v) in enumerate(sorted(rows), 1):
         assert (k, v, rank, below) in got
