@@ -18,7 +18,8 @@ Passes exchange rows of packed arrays (a blob for each partition and run of abou
 shuffles small; texts travel compressed. A task holds its partition's anchors (a share of 1/16 of the bytes), never its
 texts: those come one blob at a time.
 
-Edge cases: a null text is empty; a null doc_id is larger than any other and not smaller than another null; rows with
+Edge cases: a null text is empty; a null doc_id is larger than any other (but for 2^63 - 1, which counts as large) and not
+smaller than another null; rows with
 the same doc_id do not repeat each other; texts under 50 bytes stay whole; an empty table gives an empty result; extra
 columns are not looked at. Texts over ``PIECE_BYTES`` are read in overlapping pieces.
 """
@@ -150,13 +151,13 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _runs(batches):
-    """(ids, data, offsets, hash of each text) of runs of rows."""
+    """(hasher, ids, whether they are null, data, offsets, hash of each text) of runs of rows."""
     hasher = Hasher()
     for batch in batches:
-        ids = _ids(batch.column(0))
+        ids, nulls = _ids(batch.column(0)), batch.column(0).is_null().to_numpy(zero_copy_only=False)
         for i, j, data, offsets in chunks(batch.column(1)):
             texts = [xxhash.xxh64_intdigest(data[b:e].tobytes()) for b, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield hasher, ids[i:j], data, offsets, np.array(texts, np.uint64)
+            yield hasher, ids[i:j], nulls[i:j], data, offsets, np.array(texts, np.uint64)
 
 
 def home(ids: np.ndarray, texts: np.ndarray, parts: int) -> np.ndarray:
@@ -195,7 +196,7 @@ def _send_anchors(labels: list[int]):
 
     def run(batches):
         docs, held, size, n = [], [], 0, 0
-        for hasher, ids, data, offsets, texts in _runs(batches):
+        for hasher, ids, _, data, offsets, texts in _runs(batches):
             for own, bounds, base, low, high in _pieces(data, offsets):
                 h, e, row, at = anchors(hasher, own, bounds, low, high)
                 before = np.minimum(at - bounds[row], BEFORE).astype(np.uint8)
@@ -262,18 +263,16 @@ def _send_texts(labels: list[int]):
     parts = len(labels)
 
     def flush(held):
-        ids = np.concatenate([x[0] for x in held])
-        texts = np.concatenate([x[1] for x in held])
-        data = np.concatenate([x[2] for x in held])
-        length = np.concatenate([np.diff(x[3]) for x in held])
+        ids, nulls, texts, data = (np.concatenate([x[k] for x in held]) for k in range(4))
+        length = np.concatenate([np.diff(x[4]) for x in held])
         end = np.cumsum(length)
-        for p, (i, t, b, n) in by_part(home(ids, texts, parts), ids, texts, end - length, length):
-            yield p, pack(i, t, n, np.concatenate([data[x : x + y] for x, y in zip(b.tolist(), n.tolist(), strict=True)]))
+        for p, (i, z, t, b, n) in by_part(home(ids, texts, parts), ids, nulls, texts, end - length, length):
+            yield p, pack(i, z, t, n, np.concatenate([data[x : x + y] for x, y in zip(b.tolist(), n.tolist(), strict=True)]))
 
     def run(batches):
         held, size = [], 0
-        for _, ids, data, offsets, texts in _runs(batches):
-            held.append((ids, texts, data, offsets))
+        for _, ids, nulls, data, offsets, texts in _runs(batches):
+            held.append((ids, nulls, texts, data, offsets))
             size += len(data)
             if size >= RUN_BYTES:
                 yield rows_of(flush(held), TEXT, labels)
@@ -345,7 +344,7 @@ def _send_neighbourhoods(labels: list[int]):
 
     def run(batches):
         hasher = Hasher()
-        for table, (ids, texts, length, data) in _meet(batches):
+        for table, (ids, _, texts, length, data) in _meet(batches):
             at = np.cumsum(length) - length
             out = []
             for k, b, e in _about(table, ids, texts):
@@ -536,7 +535,7 @@ def _union(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _cut(batches):
-    for table, (ids, texts, length, data) in _meet(batches):
+    for table, (ids, nulls, texts, length, data) in _meet(batches):
         at = np.cumsum(length) - length
         raw = data.tobytes()
         spans, kept = [[] for _ in ids], [raw[a : a + n] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
@@ -548,7 +547,7 @@ def _cut(batches):
                 edges = [0, *(x for s in own for x in s), len(text)]
                 spans[k] = [{"start": s, "end": t} for s, t in own]
                 kept[k] = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(length.astype(np.int64)), pa.array(spans, _RESULT.field("spans").type), pa.array(kept, pa.binary())], schema=_RESULT)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(length.astype(np.int64)), pa.array(spans, _RESULT.field("spans").type), pa.array(kept, pa.binary())], schema=_RESULT)
 
 
 def even_labels(spark: SparkSession, parts: int) -> list[int]:

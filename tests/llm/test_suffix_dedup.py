@@ -39,6 +39,12 @@ def test_tables(request, name):
     check(request.getfixturevalue(name))
 
 
+def test_largest_id_is_no_null(spark):
+    rows = [(2**63 - 1, "x" * 60), (None, "y" * 60), (1, "x" * 50)]
+    got = {r.doc_id: bytes(r.kept) for r in sd.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2**63 - 1: b"", None: b"y" * 60, 1: b"x" * 50}
+
+
 @pytest.mark.parametrize("hot", [sd.HOT, 2])
 def test_planted(spark, monkeypatch, hot):
     """hot = 2: nearly all groups count as too large for one task."""
