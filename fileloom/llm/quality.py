@@ -1,9 +1,10 @@
 """Quality rules: counted rules first, then a calibrated logistic regression on hashed word and character n-grams.
 
 Training reads labelled rows (1 good, 0 bad), at most ``max_train`` of them (half of each class, those with the
-smallest hash of their id) and at most ``MAX_TRAIN_BYTES`` of their features, which is what the driver holds; rows whose labels contradict each other or are null are not used. A quarter is held out
-to calibrate the scores (Platt's sigmoid). Scoring runs in Arrow batches over whole texts; a document is kept if no
-counted rule fails and its calibrated probability reaches the fixed ``threshold``.
+smallest hash of their id) and at most ``MAX_TRAIN_BYTES`` of their features, which is what the driver holds; rows
+whose labels contradict each other or are null are not used. A quarter is held out to calibrate the scores (Platt's
+sigmoid). Scoring runs in Arrow batches over whole texts; a document is kept if no counted rule fails and its calibrated
+probability reaches the fixed ``threshold``.
 
 Edge cases: a null text counts as empty; an empty text has all counts 0 and fails the rule on words. Without labels
 of both classes there is no model: the counted rules alone decide and ``probability`` is null. Repeated rows are
@@ -140,9 +141,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(rows: list[tuple[int, bytes, bytes]], steps: int = 80, rate: float = 0.15, decay: float = 1e-4) -> dict | None:
-    """Logistic regression by Adam over all rows at a time, then Platt's sigmoid on the quarter that is held out."""
-    rows = sorted(r for r in rows if r[1])  # a text without words or grams teaches nothing
+def fit(rows: list[tuple[int, int, pa.Buffer, pa.Buffer]], steps: int = 80, rate: float = 0.15, decay: float = 1e-4) -> dict | None:
+    """Logistic regression by Adam over all rows at a time, then Platt's sigmoid on the quarter that is held out.
+
+    rows: label, id, columns and values of each; their order does not matter.
+    """
+    rows = sorted((r for r in rows if len(r[2])), key=lambda r: r[:2])  # a text without words or grams teaches nothing
     if len({r[0] for r in rows}) < 2:
         return None
     held = np.zeros(len(rows), bool)
@@ -153,12 +157,12 @@ def fit(rows: list[tuple[int, bytes, bytes]], steps: int = 80, rate: float = 0.1
     def stacked(mask):
         """Runs of rows with about STEP features: their columns and values one after another, where each begins, how long it is."""
         pick = np.flatnonzero(mask)
-        ends, runs, i = np.cumsum([len(rows[k][1]) // 4 for k in pick]), [], 0
+        ends, runs, i = np.cumsum([len(rows[k][2]) // 4 for k in pick]), [], 0
         while i < len(pick):
             j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP, "right")), i + 1)
             own = [rows[k] for k in pick[i:j]]
-            length = np.array([len(r[1]) // 4 for r in own])
-            runs.append((np.frombuffer(b"".join(r[1] for r in own), np.int32), np.frombuffer(b"".join(r[2] for r in own), np.float32), np.cumsum(length) - length, length))
+            length = np.array([len(r[2]) // 4 for r in own])
+            runs.append((np.concatenate([np.frombuffer(r[2], np.int32) for r in own]), np.concatenate([np.frombuffer(r[3], np.float32) for r in own]), np.cumsum(length) - length, length))
             i = j
         return runs, y[pick]
 
@@ -220,7 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dic
     rows = texts.select("doc_id", "label", "text").mapInArrow(_sparse, "doc_id long, label int, at binary, value binary")
     so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over max_train rows
     rows = rows.withColumn("held", F.sum(F.octet_length("at") + F.octet_length("value")).over(so_far)).where(F.col("held") <= MAX_TRAIN_BYTES)
-    return fit([tuple(x.values()) for batch in rows.select("label", "at", "value").toArrow().to_batches() for x in batch.to_pylist()])
+    found = rows.select("label", "doc_id", "at", "value").toArrow()
+    rows = [(x.as_py(), i.as_py(), a.as_buffer(), v.as_buffer()) for x, i, a, v in zip(*found.columns, strict=True)]
+    del found
+    return fit(rows)
 
 
 def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -114,3 +114,67 @@ def test_question_and_answer_by_hand(spark):
     ]
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 1), (5, 1), (6, 2)]
+
+
+def wand(postings, maxima, threshold):
+    """Items that reach the threshold, by moving a cursor a word from pivot to pivot. postings: word -> [(item, impact)], by item."""
+    cursors = [[p, 0, maxima[w]] for w, p in postings.items() if p]
+    found = {}
+    while True:
+        cursors = sorted((c for c in cursors if c[1] < len(c[0])), key=lambda c: c[0][c[1]][0])
+        bound, pivot = 0.0, None
+        for c in cursors:
+            bound += c[2]
+            if bound >= threshold - 1e-9:
+                pivot = c[0][c[1]][0]
+                break
+        if pivot is None:
+            return found
+        if cursors[0][0][cursors[0][1]][0] == pivot:
+            score = 0.0
+            for c in cursors:
+                if c[1] < len(c[0]) and c[0][c[1]][0] == pivot:
+                    score += c[0][c[1]][1]
+                    c[1] += 1
+            if score >= threshold - 1e-9:
+                found[pivot] = score
+        else:
+            for c in cursors:
+                while c[1] < len(c[0]) and c[0][c[1]][0] < pivot:
+                    c[1] += 1
+
+
+def test_blocks_retrieve_what_pivots_retrieve(documents, spark, sf_dir):
+    """Bounds over blocks find the passages and items that WAND with a cursor a word finds."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from fileloom.llm.common import chunks, slice_hashes
+
+    own = decontam.index([(r.item_id, r.text) for r in queries.table(spark, sf_dir, "benchmark").collect()])
+    blocks = own["maxima"].shape[1]
+    postings = [[] for _ in own["vocabulary"]]
+    for key, item, impact in zip(own["key"].tolist(), own["item"].tolist(), own["impact"].tolist(), strict=True):
+        postings[key // blocks].append((item, impact))
+    most = [max(x for _, x in p) for p in postings]
+    rng = random.Random(3)
+    texts = [r.text for r in documents.limit(60).collect()] + [" ".join(rng.sample(r.text.split(), len(r.text.split()))) for r in queries.table(spark, sf_dir, "benchmark").collect()]
+    column = pc.utf8_lower(pa.array(texts, pa.large_string()))
+    seen = 0
+    for _, _, data, offsets in chunks(column):
+        starts, ends, first = decontam.word_spans(data, offsets)
+        words = slice_hashes(data, starts, ends)
+        got = {(r, b, i): s for r, b, _, i, s in decontam.retrieve(own, words, first)}
+        want = {}
+        for r in range(len(first) - 1):
+            n = int(first[r + 1] - first[r])
+            for j in range(max(-(-n // own["stride"]) - 1, 1)):
+                begin = int(first[r]) + j * own["stride"]
+                at = np.searchsorted(own["vocabulary"], known := np.unique(words[begin : min(begin + 2 * own["stride"], int(first[r + 1]))]))
+                at = [int(k) for k, w in zip(at, known, strict=True) if k < len(own["vocabulary"]) and own["vocabulary"][k] == w]
+                for item, score in wand({k: sorted(postings[k]) for k in at}, most, decontam.THRESHOLD).items():
+                    want[r, begin, item] = score
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        seen += len(want)
+    assert seen > 20

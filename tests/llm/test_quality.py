@@ -46,7 +46,7 @@ def test_training_is_bounded_by_bytes(spark, documents, sf_dir, monkeypatch):
     seen = []
     monkeypatch.setattr(quality, "fit", lambda rows: seen.extend(rows))
     quality.train(documents, labels)
-    assert 0 < sum(len(r[1]) + len(r[2]) for r in seen) <= 400_000
+    assert 0 < sum(len(r[2]) + len(r[3]) for r in seen) <= 400_000
 
 
 def test_held_out_accuracy(spark, sf_dir):
