@@ -47,6 +47,8 @@ STEP = 1 << 16
 MOST_SHARD = 1 << 16
 #: Edges that one task unites, 16 bytes each.
 TASK_EDGES = 1 << 20
+#: Rows of up to three numbers that are broadcast for a join.
+FEW = 1 << 18
 #: More than any distance.
 FURTHEST = 1024
 
@@ -267,20 +269,38 @@ def _pairs_apart(batches):
             begin = stop
 
 
-def _unlike_left_out(batches):
+def _of_pairs(batches):
+    """(a, b, first node's cells, second node's) of each pair of which two nodes are known; rows (a, b, fp, ...) sorted by pair and node."""
+    pair = node = held = None
     for batch in batches:
-        n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
-        few = [9 * least_difference(x.as_py(), y.as_py()) <= k for x, y, k in zip(batch.column(4), batch.column(5), n.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(few, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+        a, b, fp = (batch.column(k).to_pylist() for k in range(3))
+        for k in range(batch.num_rows):
+            if pair != (a[k], b[k]):
+                pair, node, held = (a[k], b[k]), fp[k], [c[k] for c in batch.columns[3:]]
+            elif held is not None and node != fp[k]:
+                yield *pair, held, [c[k] for c in batch.columns[3:]]
+                held = None  # nodes that are met again say nothing new
+
+
+def _filtered(batches, holds):
+    found = [(a, b) for a, b, x, y in _of_pairs(batches) if holds(x, y)]
+    for i in range(0, len(found), STEP):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[i : i + STEP], strict=True)], ["a", "b"])
+
+
+def _not_unlike(batches):
+    """Pairs that sketches do not rule out; cells: n, sketch."""
+    return _filtered(batches, lambda x, y: 9 * least_difference(x[1].as_py(), y[1].as_py()) <= x[0].as_py() + y[0].as_py())
 
 
 def _alike(batches):
-    for batch in batches:
-        found = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            own, other = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-            found.append(9 * len(np.intersect1d(own, other, assume_unique=True)) >= 4 * (len(own) + len(other)))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(found, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+    """Pairs that are 0.8 alike; cells: all shingles."""
+
+    def holds(x, y) -> bool:
+        own, other = (np.frombuffer(v[0].as_buffer(), np.uint64) for v in (x, y))
+        return 9 * len(np.intersect1d(own, other, assume_unique=True)) >= 4 * (len(own) + len(other))
+
+    return _filtered(batches, holds)
 
 
 def _sets(bits: int, words: np.ndarray):
@@ -297,29 +317,38 @@ def _sets(bits: int, words: np.ndarray):
     return run
 
 
-def _confirmed(docs: DataFrame, groups: DataFrame, pairs: DataFrame, filtered: bool) -> DataFrame:
-    """Those of pairs (a, b) that are 0.8 alike; filtered: whether sketches rule out pairs at first."""
-    if filtered:
-        size = groups.select("fp", "n", "sketch")
-        both = pairs.join(size.toDF("a", "na", "sa"), "a").join(size.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        pairs = both.mapInArrow(_unlike_left_out, "a long, b long")
-    left = materialize(pairs, "pairs")
-    nodes = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """df for a join, broadcast if its n rows (of two numbers or three) are at most FEW."""
+    return F.broadcast(df) if n <= FEW else df
+
+
+def _kept(pairs: DataFrame, n: int, cells: DataFrame, kind) -> DataFrame:
+    """Those of n pairs (a, b) that hold by what cells (fp, ...) say of their two nodes."""
+    both = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
+    met = cells.join(_few(both, 2 * n), "fp").select("a", "b", *cells.columns)
+    return met.repartition("a", "b").sortWithinPartitions("a", "b", "fp").mapInArrow(kind, "a long, b long")
+
+
+def _confirmed(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that are 0.8 alike. Of no pair both (a, b) and (b, a) are needed."""
+    pairs = materialize(pairs, "proposed")
+    left = materialize(_kept(pairs, pairs.count(), groups.select("fp", "n", "sketch"), _not_unlike), "pairs")
+    n = left.count()
+    nodes = left.select(F.explode(F.array("a", "b")).alias("fp"))
     # texts are not dealt: a filter of bounded size, which lets some others through, tells tasks of which the shingles are asked for
-    bits = min(MOST_FILTER, max(64, 1 << (32 * left.count()).bit_length()))
+    bits = min(MOST_FILTER, max(64, 1 << (32 * n).bit_length()))
 
     def number(col):  # documents without an id share one
         return F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
 
-    at = groups.select("fp", "least").join(nodes, "fp", "left_semi").select(number("least").alias("at"))
+    at = groups.select("fp", "least").join(_few(nodes, 2 * n), "fp", "left_semi").select(number("least").alias("at"))
     set_bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("own")).toArrow()
     words = np.zeros(bits >> 6, np.uint64)
     words[set_bits.column(0).to_numpy()] = set_bits.column(1).to_numpy().view(np.uint64)
     sets = docs.select(number("doc_id").alias("at"), "text").mapInArrow(_sets(bits, words), "fp long, own binary")
-    sets = materialize(sets.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.first("own").alias("own")), "sets")
-    whole = left.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    found = materialize(whole.mapInArrow(_alike, "a long, b long"), "links")
-    dropped(left, sets)
+    sets = materialize(sets.join(_few(nodes, 2 * n), "fp", "left_semi").groupBy("fp").agg(F.first("own").alias("own")), "sets")
+    found = materialize(_kept(left, n, sets, _alike), "links")
+    dropped(pairs, left, sets)
     return found
 
 
@@ -545,11 +574,11 @@ def similar(docs: DataFrame) -> DataFrame:
     met = shared.select("shard", "fp", "sim").repartition("shard").sortWithinPartitions("shard").mapInArrow(_tree_pairs, "a long, b long, d long")
     nearest = F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, PROPOSED)  # of one document's shards
     pairs = met.groupBy("a").agg(nearest.alias("near")).select("a", F.explode("near").alias("near")).select("a", "near.b")
-    edges = _confirmed(docs, groups, pairs, False)
+    edges = _confirmed(docs, groups, pairs)
     joined = components(edges).toDF("fp", "root")
-    apart = shared.join(joined, "fp", "left").select("shard", "fp", "place", F.coalesce("root", "fp").alias("label"), "sketch")
+    apart = shared.join(_few(joined, 2 * edges.count()), "fp", "left").select("shard", "fp", "place", F.coalesce("root", "fp").alias("label"), "sketch")
     pairs = apart.repartition("shard").sortWithinPartitions("shard").mapInArrow(_pairs_apart, "a long, b long").distinct()
-    edges = edges.unionByName(_confirmed(docs, groups, pairs, True))
+    edges = edges.unionByName(_confirmed(docs, groups, pairs))
     out = _named(rows.select("doc_id", "fp"), groups.select("fp", "least"), edges).select("doc_id", "component_id")
     dropped(shared)
     return out
@@ -558,7 +587,9 @@ def similar(docs: DataFrame) -> DataFrame:
 def _named(rows: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
     """rows (doc_id, fp) with component_id, the least doc_id of what edges between fps connect; groups: fp, least."""
     linked = components(edges).withColumnRenamed("node", "fp")
-    of = groups.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    n = 2 * edges.count()
     # written, so that the join on root has plain shuffles on both sides, which Spark can split where a component is large
-    roots = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    return rows.join(of.select("fp", "root").join(roots, "root").select("fp", "component_id"), "fp")
+    roots = groups.join(_few(linked, n), "fp").groupBy("root").agg(F.min("least").alias("name"))
+    roots = materialize(linked.join(_few(materialize(roots, "roots"), n), "root").select("fp", "name"), "names")
+    of = groups.join(_few(roots, n), "fp", "left").select("fp", F.when(F.col("name").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id"))
+    return rows.join(of, "fp")

@@ -171,6 +171,20 @@ def test_trees_do_not_decide(spark, monkeypatch, radius):
     assert similar_labels(spark, texts) == dict(enumerate(exact_components(texts)))
 
 
+def test_pairs_of_rows():
+    import pyarrow as pa
+
+    rows = [(1, 2, 1, "a"), (1, 2, 1, "a"), (1, 2, 2, "b"), (1, 2, 2, "b"), (1, 3, 1, "a"), (2, 3, 2, "b"), (2, 3, 3, "c")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 3], strict=True)], ["a", "b", "fp", "x"]) for i in (0, 3, 6)]
+    assert [(a, b, x[0].as_py(), y[0].as_py()) for a, b, x, y in simhash._of_pairs(batches)] == [(1, 2, "a", "b"), (2, 3, "b", "c")]
+
+
+def test_joins_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 0)
+    texts = borderline(random.Random(26), 10) + ["", None, "one"]
+    assert similar_labels(spark, texts) == dict(enumerate(exact_components(texts)))
+
+
 def test_large_group_of_near_copies(spark):
     """Copies that differ from a base and from each other become one group, with few pairs compared."""
     rng = random.Random(25)
