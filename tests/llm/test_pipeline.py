@@ -47,10 +47,23 @@ def test_run_agrees_with_stages_and_repeats(spark, sf_dir):
 
 
 def test_odd_rows(spark, sf_dir, odd, empty):
-    for docs in (odd, empty):
-        for _, stage in cp.STAGES:
-            out = stage(spark, docs, sf_dir)
-            assert out.count() <= 3 * docs.count()
-    extra = odd.selectExpr("*", "text as __extra", "1 as tokens")
-    for _, stage in cp.STAGES[:-1]:
-        assert stage(spark, extra, sf_dir).columns == extra.columns
+    """Nulls, empty and long texts, repeated rows: what each stage makes of them is stated here."""
+    rows = [tuple(r) for r in odd.collect()]
+    stage = {name: (lambda docs, f=f: sorted((tuple(r) for r in f(spark, docs, sf_dir).collect()), key=repr)) for name, f in cp.STAGES}
+    of = lambda keep: sorted((r for r in rows if keep(r)), key=repr)
+    assert set(stage["quality_rules"](odd)) <= set(of(lambda r: not counts(r[1])[-1]))
+    label = exact_components([r[1] for r in rows])
+    least = {k: min((rows[i][0] for i in range(len(rows)) if label[i] == k and rows[i][0] is not None), default=None) for k in label}
+    gone = {r[0] for r, k in zip(rows, label, strict=True) if r[0] is not None and r[0] != least[k]}
+    assert gone and stage["near_dedup"](odd) == of(lambda r: r[0] not in gone)
+    assert stage["decontamination"](odd) == of(lambda r: True)
+    mixed = stage["mix_sources"](odd)
+    words = Counter()
+    for r in rows:
+        words[r[3]] += len((r[1] or "").split())
+    assert mixed and set(mixed) <= set(of(lambda r: words[r[3]])) and all(n <= 3 * rows.count(r) for r, n in Counter(mixed).items())
+    assert sorted(r[0] is None for r in stage["shard"](odd)) == sorted(r[0] is None for r in rows)
+    assert all(f(empty) == [] for f in stage.values())
+    extra = odd.selectExpr("*", "text as __extra", "1 as tokens", "2 as copies", "3 as fp", "4 as n")
+    for _, f in cp.STAGES[:-1]:
+        assert f(spark, extra, sf_dir).columns == extra.columns
