@@ -1,10 +1,13 @@
-"""SVG to PNG at its natural size: shapes, paths, groups, fills and strokes; text is not drawn, as without fonts.
+"""SVG to PNG at its natural size: shapes, paths, groups, reused elements, fills, strokes, gradients, clip paths, masks and
+embedded pictures; text is not drawn, as without fonts. Filters are an error.
 
 Coverage is counted on a grid of ``FINE`` x ``FINE`` points a pixel, by even-odd or winding crossings of each row.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import math
 import re
 import xml.etree.ElementTree as ET
@@ -12,7 +15,7 @@ import xml.etree.ElementTree as ET
 import numpy as np
 
 from fileloom.operators.errors import ConversionError, UnsupportedCodec, utf8
-from fileloom.operators.images import MOST_PIXELS, encode_png
+from fileloom.operators.images import MOST_PIXELS, decode, encode_png
 
 FINE = 4
 STEPS = 24  # segments of a curve
@@ -25,7 +28,8 @@ COLORS = {
 }
 INHERITED = {"fill": "black", "fill-opacity": "1", "fill-rule": "nonzero", "stroke": "none", "stroke-width": "1", "stroke-opacity": "1", "color": "black", "visibility": "visible"}
 UNDRAWN = frozenset("defs clipPath mask marker pattern symbol title desc metadata style script text linearGradient radialGradient filter".split())
-UNSUPPORTED = frozenset("image use foreignObject".split())
+#: Elements that refer to each other are followed so deep.
+DEEPEST = 24
 _NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 _PATH = re.compile(rf"([MmZzLlHhVvCcSsQqTtAa])|({_NUMBER.pattern})")
 
@@ -276,6 +280,15 @@ def coverage(parts: list, m: np.ndarray, width: int, height: int, even_odd: bool
     return total / (FINE * FINE)
 
 
+def _fitted(box: list[float], width: float, height: float, aspect: str) -> np.ndarray:
+    """A view box in the middle of a width and height, stretched only if the aspect says so."""
+    x, y, w, h = box
+    sx, sy = width / w, height / h
+    if aspect.strip() != "none":
+        sx = sy = min(sx, sy)
+    return np.array([[sx, 0, (width - sx * w) / 2 - sx * x], [0, sy, (height - sy * h) / 2 - sy * y], [0, 0, 1]])
+
+
 def _over(canvas: np.ndarray, layer: np.ndarray) -> None:
     """Puts a layer of premultiplied colors on the canvas."""
     canvas *= 1 - layer[..., 3:]
@@ -302,13 +315,7 @@ class Drawing:
             raise ConversionError("Failed to create pixmap")
 
     def png(self) -> bytes:
-        m = np.eye(3)
-        if self.box:
-            x, y, w, h = self.box
-            sx, sy = self.width / w, self.height / h
-            if self.root.get("preserveAspectRatio", "").strip() != "none":
-                sx = sy = min(sx, sy)
-            m = np.array([[sx, 0, (self.width - sx * w) / 2 - sx * x], [0, sy, (self.height - sy * h) / 2 - sy * y], [0, 0, 1]])
+        m = _fitted(self.box, self.width, self.height, self.root.get("preserveAspectRatio", "")) if self.box else np.eye(3)
         canvas = np.zeros((self.size[1], self.size[0], 4))
         for child in self.root:
             self._draw(child, canvas, m, self._style(self.root, INHERITED)[0])
@@ -317,37 +324,145 @@ class Drawing:
         return encode_png(np.rint(np.concatenate([rgb, alpha], axis=2).clip(0, 1) * 255).astype(np.uint8))
 
     @staticmethod
-    def _style(node: ET.Element, inherited: dict[str, str]) -> tuple[dict[str, str], float, bool]:
-        own = dict(node.attrib)
-        own |= {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in node.get("style", "").split(";")) if v}
+    def _own(node: ET.Element) -> dict[str, str]:
+        """Attributes, with what the style attribute says."""
+        return dict(node.attrib) | {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in node.get("style", "").split(";")) if v}
+
+    def _style(self, node: ET.Element, inherited: dict[str, str]) -> tuple[dict[str, str], float, bool]:
+        own = self._own(node)
         style = inherited | {k: own[k] for k in INHERITED if k in own and own[k] != "inherit"}
         return style, min(max(length(own.get("opacity"), 1.0), 0.0), 1.0), own.get("display") != "none"
 
-    def _draw(self, node: ET.Element, canvas: np.ndarray, m: np.ndarray, inherited: dict[str, str]) -> None:
+    def _referred(self, text: str | None) -> ET.Element | None:
+        found = re.match(r"\s*(?:url\(\s*['\"]?)?#([^'\")\s]+)", text or "")
+        return self.ids.get(found.group(1)) if found else None
+
+    def _whole(self) -> tuple[float, float]:
+        return (self.box[2], self.box[3]) if self.box else (self.width, self.height)
+
+    def _draw(self, node: ET.Element, canvas: np.ndarray, m: np.ndarray, inherited: dict[str, str], deep: int = 0) -> None:
         tag = node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
-        if tag in UNSUPPORTED:
+        if tag == "foreignObject":
             raise UnsupportedCodec(f"SVG element {tag}")
         style, opacity, shown = self._style(node, inherited)
-        if not tag or tag in UNDRAWN or not shown or not opacity:
+        if not tag or tag in UNDRAWN or not shown or not opacity or deep > DEEPEST:
             return
+        own = self._own(node)
+        if own.get("filter", "none") != "none":
+            raise UnsupportedCodec("SVG filters")
         m = m @ transform(node.get("transform"))
-        target = np.zeros_like(canvas) if opacity < 1 else canvas
+        clip, mask = self._referred(own.get("clip-path")), self._referred(own.get("mask"))
+        apart = opacity < 1 or clip is not None or mask is not None
+        target = np.zeros_like(canvas) if apart else canvas
+        parts = []
         if tag in ("g", "svg", "a", "switch"):
             if tag == "svg":
                 m = m @ transform(f"translate({length(node.get('x'), 0)} {length(node.get('y'), 0)})")
             for child in node:
-                self._draw(child, target, m, style)
+                self._draw(child, target, m, style, deep + 1)
+        elif tag == "use":
+            self._use(node, target, m, style, deep)
+        elif tag == "image":
+            if style["visibility"] == "visible":
+                self._image(node, target, m)
         elif style["visibility"] == "visible":
-            box = (self.box[2], self.box[3]) if self.box else (self.width, self.height)
-            parts = shape(tag, node.attrib, box)
+            parts = shape(tag, node.attrib, self._whole())
             fill = self._color(style["fill"], style["color"], parts, m)
             if fill is not None and tag != "line":
                 self._paint(target, parts, m, fill, float(style["fill-opacity"]), style["fill-rule"] == "evenodd")
             stroke, width = self._color(style["stroke"], style["color"], parts, m), length(style["stroke-width"], 1.0)
             if stroke is not None and width > 0:
                 self._paint(target, outline(parts, width), m, stroke, float(style["stroke-opacity"]), False)
-        if opacity < 1:
-            _over(canvas, target * opacity)
+        if apart:
+            held = np.full((*canvas.shape[:2], 1), opacity)
+            if clip is not None:
+                held *= self._clip(clip, parts, m)[..., None]
+            if mask is not None:
+                held *= self._mask(mask, parts, m, deep)[..., None]
+            _over(canvas, target * held)
+
+    def _href(self, node: ET.Element) -> str:
+        return next((v for k, v in node.attrib.items() if k.rpartition("}")[2] == "href"), "").strip()
+
+    def _use(self, node: ET.Element, canvas: np.ndarray, m: np.ndarray, style: dict[str, str], deep: int) -> None:
+        """Draws another element at x, y; a symbol's view box fills the width and height that are asked for."""
+        other = self._referred(self._href(node))
+        if other is None:
+            return
+        w, h = self._whole()
+        m = m @ transform(f"translate({length(node.get('x'), 0, w)} {length(node.get('y'), 0, h)})")
+        if other.tag.rpartition("}")[2] != "symbol":
+            self._draw(other, canvas, m, style, deep + 1)
+            return
+        box = [float(x) for x in _NUMBER.findall(other.get("viewBox", ""))]
+        if len(box) == 4 and box[2] > 0 and box[3] > 0:
+            wide, high = length(node.get("width"), w, w), length(node.get("height"), h, h)
+            m = m @ _fitted(box, wide, high, other.get("preserveAspectRatio", ""))
+        own = self._style(other, style)[0]
+        for child in other:
+            self._draw(child, canvas, m, own, deep + 1)
+
+    def _image(self, node: ET.Element, canvas: np.ndarray, m: np.ndarray) -> None:
+        """A picture in a data URI, sampled at FINE x FINE points a pixel."""
+        found = re.match(r"data:image/(png|jpeg|jpg|gif|webp|bmp);base64,(.*)", self._href(node), re.S)
+        if not found:
+            raise UnsupportedCodec("SVG images other than data URIs")
+        try:
+            raw = base64.b64decode(re.sub(r"\s", "", found.group(2)), validate=True)
+        except binascii.Error:
+            raise ConversionError("Failed to parse SVG: broken data URI") from None
+        picture = decode(raw, found.group(1)).astype(float) / 255
+        high, wide = picture.shape[:2]
+        whole = self._whole()
+        w, h = length(node.get("width"), wide, whole[0]), length(node.get("height"), high, whole[1])
+        if w <= 0 or h <= 0:
+            return
+        place = transform(f"translate({length(node.get('x'), 0, whole[0])} {length(node.get('y'), 0, whole[1])})") @ _fitted([0, 0, wide, high], w, h, node.get("preserveAspectRatio", ""))
+        back = np.linalg.pinv(m @ place)
+        layer = np.zeros_like(canvas)
+        for dy in range(FINE):
+            for dx in range(FINE):
+                yy, xx = np.mgrid[0 : self.size[1], 0 : self.size[0]]
+                px, py = xx + (dx + 0.5) / FINE, yy + (dy + 0.5) / FINE
+                u, v = (back[k, 0] * px + back[k, 1] * py + back[k, 2] for k in (0, 1))
+                inside = (u >= 0) & (u < wide) & (v >= 0) & (v < high)
+                seen = picture[v[inside].astype(int), u[inside].astype(int)]
+                layer[inside] += np.concatenate([seen[:, :3] * seen[:, 3:], seen[:, 3:]], axis=1)
+        _over(canvas, layer / FINE**2)
+
+    def _boxed(self, units: str, parts: list, m: np.ndarray) -> np.ndarray:
+        """The space of a clip path or mask: the element's, or that of its bounding box."""
+        if units != "objectBoundingBox":
+            return m
+        points = np.array([p for own, _ in parts for p in own], float)
+        if not len(points):
+            raise UnsupportedCodec("SVG clip paths and masks by the bounding box of a group")
+        low, size = points.min(0), np.ptp(points, axis=0)
+        return m @ np.array([[size[0], 0, low[0]], [0, size[1], low[1]], [0, 0, 1]])
+
+    def _clip(self, clip: ET.Element, parts: list, m: np.ndarray) -> np.ndarray:
+        space = self._boxed(clip.get("clipPathUnits", ""), parts, m) @ transform(clip.get("transform"))
+        out = np.zeros((self.size[1], self.size[0]))
+        for child in clip:
+            own, at = child, space @ transform(child.get("transform"))
+            if isinstance(child.tag, str) and child.tag.rpartition("}")[2] == "use":
+                own = self._referred(self._href(child))
+                if own is None:
+                    continue
+                at = at @ transform(f"translate({length(child.get('x'), 0)} {length(child.get('y'), 0)})") @ transform(own.get("transform"))
+            tag = own.tag.rpartition("}")[2] if isinstance(own.tag, str) else ""
+            if tag and tag not in UNDRAWN:
+                even_odd = self._own(own).get("clip-rule", self._own(clip).get("clip-rule")) == "evenodd"
+                out = np.maximum(out, coverage(shape(tag, own.attrib, self._whole()), at, self.size[0], self.size[1], even_odd))
+        return out
+
+    def _mask(self, mask: ET.Element, parts: list, m: np.ndarray, deep: int) -> np.ndarray:
+        """Luminance times alpha of what the mask draws (alpha alone, if it says so)."""
+        layer = np.zeros((self.size[1], self.size[0], 4))
+        space = self._boxed(mask.get("maskContentUnits", ""), parts, m)
+        for child in mask:
+            self._draw(child, layer, space, self._style(mask, INHERITED)[0], deep + 1)
+        return layer[..., 3] if self._own(mask).get("mask-type") == "alpha" else layer[..., :3] @ np.array([0.2125, 0.7154, 0.0721])
 
     def _color(self, text: str, current: str, parts: list, m: np.ndarray) -> np.ndarray | None:
         """One color, or one for each pixel."""

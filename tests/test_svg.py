@@ -49,11 +49,53 @@ def test_gradients():
     assert draw('<rect width="9" height="9" fill="url(#none) red"/>')[1, 1].tolist() == [255, 0, 0, 255]
 
 
+def test_reused_elements():
+    want = draw('<rect x="3" y="2" width="4" height="4" fill="red"/>')
+    same = [
+        '<defs><rect id="r" width="4" height="4"/></defs><use href="#r" x="3" y="2" fill="red"/>',
+        '<defs><g id="r" transform="translate(1 1)"><rect width="4" height="4"/></g></defs><use xlink:href="#r" transform="translate(2 1)" fill="red"/>',
+        '<symbol id="r" viewBox="0 0 8 8"><rect width="8" height="8" fill="red"/></symbol><use href="#r" x="3" y="2" width="4" height="4"/>',
+        '<defs><use id="a" href="#r" x="1"/><rect id="r" width="4" height="4"/></defs><use href="#a" x="2" y="2" fill="red"/>',
+    ]
+    assert all(np.array_equal(draw(x), want) for x in same)
+    assert draw('<use href="#none"/><g id="g"><use href="#g"/><rect width="2" height="2"/></g>')[1, 1, 3] == 255
+
+
+def test_clip_paths_and_masks():
+    want = draw('<rect x="2" y="1" width="4" height="6" fill="blue"/>')
+    same = [
+        '<clipPath id="c"><rect x="2" y="1" width="4" height="6"/></clipPath><rect width="20" height="10" fill="blue" clip-path="url(#c)"/>',
+        '<clipPath id="c"><rect x="2" y="1" width="2" height="6"/><path d="M4 1h2v6h-2z"/></clipPath><g style="clip-path:url(#c)"><rect width="20" height="10" fill="blue"/></g>',
+        '<clipPath id="c" clipPathUnits="objectBoundingBox"><rect x="0.1" y="0.1" width="0.2" height="0.6"/></clipPath><rect width="20" height="10" fill="blue" clip-path="url(#c)"/>',
+        '<defs><rect id="r" width="4" height="6"/></defs><clipPath id="c"><use href="#r" x="2" y="1"/></clipPath><rect width="20" height="10" fill="blue" clip-path="url(#c)"/>',
+        '<mask id="c"><rect x="2" y="1" width="4" height="6" fill="white"/></mask><rect width="20" height="10" fill="blue" mask="url(#c)"/>',
+        '<mask id="c" style="mask-type:alpha"><rect x="2" y="1" width="4" height="6"/></mask><rect width="20" height="10" fill="blue" mask="url(#c)"/>',
+    ]
+    assert all(np.array_equal(draw(x), want) for x in same)
+    half = draw('<mask id="c"><rect width="9" height="9" fill="#00ff00" fill-opacity=".5"/></mask><rect width="9" height="9" mask="url(#c)"/>')
+    assert abs(int(half[4, 4, 3]) - 0.7154 * 0.5 * 255) < 2
+    assert draw('<rect width="9" height="9" clip-path="url(#none)"/>')[4, 4, 3] == 255
+
+
+def test_embedded_pictures():
+    import base64
+
+    own = np.arange(24, dtype=np.uint8).reshape(2, 3, 4) * 10
+    own[..., 3] = 255
+    uri = "data:image/png;base64," + base64.b64encode(images.encode_png(own)).decode()
+    a = draw(f'<image href="{uri}" x="4" y="3"/>')
+    assert np.array_equal(a[3:5, 4:7], own) and a[..., 3].sum() == 6 * 255
+    b = draw(f'<image xlink:href="{uri}" width="6" height="8"/>')  # in the middle, twice as large
+    assert np.array_equal(b[2:6, :6], own.repeat(2, 0).repeat(2, 1)) and b[..., 3].sum() == 24 * 255
+    c = draw(f'<image href="{uri}" width="6" height="8" preserveAspectRatio="none"/>')
+    assert np.array_equal(c[:8, :6], own.repeat(4, 0).repeat(2, 1))
+
+
 def test_sizes():
     assert draw("", 'viewBox="0 0 7 3"').shape[:2] == (3, 7)
     assert draw("", 'width="1in" height="2.2"').shape[:2] == (3, 96)
     assert draw("", "").shape[:2] == (100, 100)
     assert draw('<text>no fonts</text><rect display="none" width="9" height="9"/>')[..., 3].max() == 0
-    for bad in ("", "<x/>", "<svg", f'{HEAD} width="-1"/>', f"{HEAD}><image/></svg>"):
+    for bad in ("", "<x/>", "<svg", f'{HEAD} width="-1"/>', f"{HEAD}><image/></svg>", f"{HEAD}><foreignObject/></svg>", f'{HEAD}><rect width="1" height="1" filter="url(#f)"/></svg>'):
         with pytest.raises(ConversionError):
             svg.svg_to_png(bad.encode())
