@@ -1,10 +1,10 @@
 """Quality rules: counted rules first, then a calibrated logistic regression on hashed word and character n-grams.
 
 Training reads labelled rows (1 good, 0 bad), at most ``max_train`` of them (half of each class, those with the
-smallest hash of their id) and at most ``MAX_TRAIN_BYTES`` of their features, which is what the driver holds; rows
-whose labels contradict each other or are null are not used. A quarter is held out to calibrate the scores (Platt's
-sigmoid). Scoring runs in Arrow batches over whole texts; a document is kept if no counted rule fails and its calibrated
-probability reaches the fixed ``threshold``.
+smallest hash of their id) and at most ``MAX_TRAIN_BYTES`` of their features, which is what the task that fits them
+holds; rows whose labels contradict each other or are null are not used. A quarter is held out to calibrate the scores
+(Platt's sigmoid). Scoring runs in Arrow batches over whole texts; a document is kept if no counted rule fails and its
+calibrated probability reaches the fixed ``threshold``.
 
 Edge cases: a null text counts as empty; an empty text has all counts 0 and fails the rule on words. Without labels
 of both classes there is no model: the counted rules alone decide and ``probability`` is null. Repeated rows are
@@ -13,6 +13,8 @@ judged one by one, extra columns are not looked at, an empty table gives an empt
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -213,7 +215,7 @@ def fit(rows: list[tuple[int, int, pa.Buffer, pa.Buffer]], steps: int = 80, rate
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict | None:
-    """docs (doc_id, text) and labels (doc_id, quality); the features of at most max_train rows come to the driver."""
+    """docs (doc_id, text) and labels (doc_id, quality); the features of at most max_train rows are held in one task."""
     own = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).where("label = most")
     picked = None
     for label in (0, 1):
@@ -224,10 +226,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dic
     rows = texts.select("doc_id", "label", "text").mapInArrow(_sparse, "doc_id long, label int, at binary, value binary")
     so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over max_train rows
     rows = rows.withColumn("held", F.sum(F.octet_length("at") + F.octet_length("value")).over(so_far)).where(F.col("held") <= MAX_TRAIN_BYTES)
-    found = rows.select("label", "doc_id", "at", "value").toArrow()
-    rows = [(x.as_py(), i.as_py(), a.as_buffer(), v.as_buffer()) for x, i, a, v in zip(*found.columns, strict=True)]
-    del found
-    return fit(rows)
+    # the task that sums the bytes also fits; only the weights come to the driver
+    found = rows.select("label", "doc_id", "at", "value").mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
+
+
+def _fitted(batches):
+    rows = [(x.as_py(), i.as_py(), a.as_buffer(), v.as_buffer()) for batch in batches for x, i, a, v in zip(*batch.columns, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
 
 
 def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:

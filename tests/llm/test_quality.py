@@ -41,12 +41,21 @@ def test_lines_and_windows_that_polynomials_confuse(spark):
 
 
 def test_training_is_bounded_by_bytes(spark, documents, sf_dir, monkeypatch):
+    """The task that fits gets rows up to the bound; a bound that no row meets leaves no model."""
     labels = queries.table(spark, sf_dir, "labels")
+    monkeypatch.setattr(quality, "MAX_TRAIN_BYTES", 0)
+    assert quality.train(documents, labels) is None
     monkeypatch.setattr(quality, "MAX_TRAIN_BYTES", 400_000)
-    seen = []
-    monkeypatch.setattr(quality, "fit", lambda rows: seen.extend(rows))
+    seen = spark.sparkContext.accumulator(0)
+    real = quality.fit
+
+    def spy(rows):
+        seen.add(sum(len(r[2]) + len(r[3]) for r in rows))
+        return real(rows)
+
+    monkeypatch.setattr(quality, "fit", spy)
     quality.train(documents, labels)
-    assert 0 < sum(len(r[2]) + len(r[3]) for r in seen) <= 400_000
+    assert 0 < seen.value <= 400_000
 
 
 def test_held_out_accuracy(spark, sf_dir):
