@@ -233,7 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dic
 
 def _fitted(batches):
     rows = [(x.as_py(), i.as_py(), a.as_buffer(), v.as_buffer()) for batch in batches for x, i, a, v in zip(*batch.columns, strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+    model = pickle.dumps(fit(rows))
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+    yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
 
 def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
