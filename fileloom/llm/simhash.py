@@ -17,7 +17,8 @@ more than a fifth of them) have one in common, so these name the shards and no l
 the SimHash values of the sets form a BK-tree, and a document is proposed the nearest node on the path by which it
 enters the tree. ``PROPOSED`` of these are confirmed on the full sets and joined, so a group of copies costs no more than
 its size. Then all that the trees left apart is compared, by bounds that hold for sure (lengths, places in the order,
-parity sketches), and confirmed likewise, so that no link is lost.
+parity sketches), and confirmed likewise, so that no link is lost. Shards of a shingle that very many documents have are
+cut into parts, and compared part by part.
 
 Edge cases: null and empty texts have no words and the fingerprint zero, which is linked like any other; repeated rows
 each get a row; a document without an id is linked, but names no component (component_id is the smallest id that is
@@ -56,6 +57,8 @@ FURTHEST = 1024
 WIDE_SHINGLE = 5
 #: Documents of the sample that orders shingles, and most shingles of it that count as repeated.
 SAMPLE, REPEATED = 8192, 1 << 16
+#: Rows of a shard that one task gets whole; of larger ones, which the sample points out, all pairs are some 10^7 and more.
+HOT_SHARD = 1 << 12
 #: Fewest bits of a sketch, and most of the filter of documents to be compared in full.
 LEAST_SKETCH, MOST_FILTER = 512, 1 << 23
 
@@ -111,13 +114,14 @@ def _shingle_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], ["shingle"])
 
 
-def repeated(docs: DataFrame) -> np.ndarray:
-    """Shingles that several documents of a sample have, the most frequent last."""
+def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, the most frequent last, and those that may name hot shards (ascending)."""
     part = max(1, docs.count() // SAMPLE)
     texts = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
     counts = texts.mapInArrow(_shingle_rows, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    found = counts.orderBy(F.desc("n"), "shingle").limit(REPEATED).select("shingle").toArrow()
-    return found.column(0).to_numpy()[::-1].view(np.uint64)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(REPEATED).toArrow()
+    order, n = (c.to_numpy()[::-1] for c in found.columns)
+    return order.view(np.uint64), np.sort(order[n * part > HOT_SHARD].view(np.uint64))
 
 
 def first_shingles(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -166,16 +170,23 @@ def _shingled(order: np.ndarray):
     return run
 
 
-def _dealt_firsts(batches):
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            cols = [batch.column(k).slice(i, 256) for k in range(3)]
-            node, n = (c.to_numpy(zero_copy_only=False) for c in cols[:2])
-            firsts = [np.frombuffer(x.as_py(), np.int64) for x in cols[2]]
-            each = [len(x) for x in firsts]
-            if sum(each):
-                place = np.repeat(n, each) << 32 | np.concatenate([np.arange(k) for k in each])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.repeat(node, each)), pa.array(place)], ["shard", "fp", "place"])
+def _dealt_firsts(hot: np.ndarray, whether: bool):
+    """(shard, fp, place) of first shingles that are hot, or that are not."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                cols = [batch.column(k).slice(i, 256) for k in range(3)]
+                node, n = (c.to_numpy(zero_copy_only=False) for c in cols[:2])
+                firsts = [np.frombuffer(x.as_py(), np.uint64) for x in cols[2]]
+                each = [len(x) for x in firsts]
+                if sum(each):
+                    place = np.repeat(n, each) << 32 | np.concatenate([np.arange(k) for k in each])
+                    shard = np.concatenate(firsts)
+                    own = np.isin(shard, hot) == whether
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)[own]), pa.array(np.repeat(node, each)[own]), pa.array(place[own])], ["shard", "fp", "place"])
+
+    return run
 
 
 def _columns(parts) -> list[np.ndarray]:
@@ -554,6 +565,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def split_hot(more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hot shards cut into parts of about HOT_SHARD rows: as shards of their own for trees, and for comparing all pairs as
+    blocks of two parts each, so that every pair meets in a block and no task gets a whole hot shard."""
+    held = more.groupBy("shard").agg(F.count("*").alias("n")).collect()  # REPEATED rows at most
+    parts = more.sparkSession.createDataFrame([(r.shard, -(-r.n // HOT_SHARD)) for r in held], "shard long, parts long")
+    cut = more.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    trees = cut.select(F.xxhash64("shard", "part").alias("shard"), "fp", "sim")
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    blocks = met.select(F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")).alias("shard"), "fp", "place", "sim", "sketch")
+    return trees, blocks
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of each row of docs, by links between sets of five-word shingles that are 0.8 alike.
 
@@ -562,21 +585,29 @@ def similar(docs: DataFrame) -> DataFrame:
     square.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order, hot = repeated(docs)
     kind = "doc_id long, fp long, n long, sim long, sketch binary, firsts binary"
-    rows = materialize(docs.mapInArrow(_shingled(repeated(docs)), kind), "shingled")
+    rows = materialize(docs.mapInArrow(_shingled(order), kind), "shingled")
     own = [F.first(c).alias(c) for c in ("n", "sim", "sketch", "firsts")]
     groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *own), "groups")
     place = "shard long, fp long, place long"
-    dealt = groups.select("fp", "n", "firsts").mapInArrow(_dealt_firsts, place)
+    firsts = groups.select("fp", "n", "firsts")
+    dealt = firsts.mapInArrow(_dealt_firsts(hot, False), place)
     shared = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shared, place)
-    shared = materialize(shared.join(groups.select("fp", "sim", "sketch"), "fp").select("shard", "fp", "place", "sim", "sketch"), "shared")
-
-    met = shared.select("shard", "fp", "sim").repartition("shard").sortWithinPartitions("shard").mapInArrow(_tree_pairs, "a long, b long, d long")
+    looks = groups.select("fp", "sim", "sketch")
+    shared = materialize(shared.join(looks, "fp").select("shard", "fp", "place", "sim", "sketch"), "shared")
+    compared, in_trees = shared, shared.select("shard", "fp", "sim")
+    if len(hot):
+        more = materialize(firsts.mapInArrow(_dealt_firsts(hot, True), place).join(looks, "fp").select("shard", "fp", "place", "sim", "sketch"), "hot")
+        trees, blocks = split_hot(more)
+        in_trees, compared = in_trees.unionByName(trees), compared.unionByName(blocks)
+
+    met = in_trees.repartition("shard").sortWithinPartitions("shard").mapInArrow(_tree_pairs, "a long, b long, d long")
     nearest = F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, PROPOSED)  # of one document's shards
     pairs = met.groupBy("a").agg(nearest.alias("near")).select("a", F.explode("near").alias("near")).select("a", "near.b")
     edges = _confirmed(docs, groups, pairs)
     joined = components(edges).toDF("fp", "root")
-    apart = shared.join(_few(joined, 2 * edges.count()), "fp", "left").select("shard", "fp", "place", F.coalesce("root", "fp").alias("label"), "sketch")
+    apart = compared.join(_few(joined, 2 * edges.count()), "fp", "left").select("shard", "fp", "place", F.coalesce("root", "fp").alias("label"), "sketch")
     pairs = apart.repartition("shard").sortWithinPartitions("shard").mapInArrow(_pairs_apart, "a long, b long").distinct()
     edges = edges.unionByName(_confirmed(docs, groups, pairs))
     out = _named(rows.select("doc_id", "fp"), groups.select("fp", "least"), edges).select("doc_id", "component_id")

@@ -179,6 +179,24 @@ def test_pairs_of_rows():
     assert [(a, b, x[0].as_py(), y[0].as_py()) for a, b, x, y in simhash._of_pairs(batches)] == [(1, 2, "a", "b"), (2, 3, "b", "c")]
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_hot_shards_are_cut(spark, monkeypatch, most):
+    """Nearly all shards count as hot; the same links are found, and a block holds two parts at most."""
+    monkeypatch.setattr(simhash, "HOT_SHARD", most)
+    rng = random.Random(27)
+    line = " ".join(rng.choices([f"word{i}" for i in range(2000)], k=9))
+    texts = borderline(rng, 8) + [f"{line} {i}" for i in range(12)] + [line] * 3
+    assert similar_labels(spark, texts) == dict(enumerate(exact_components(texts)))
+    more = spark.createDataFrame([(7, i, 0, i, b"") for i in range(40)] + [(8, 1, 0, 1, b"")], "shard long, fp long, place long, sim long, sketch binary")
+    trees, blocks = simhash.split_hot(more)
+    assert trees.count() == 41
+    held = {}
+    for r in blocks.collect():
+        held.setdefault(r.shard, set()).add(r.fp)
+    assert all(any({i, j} <= own for own in held.values()) for i in range(40) for j in range(i))
+    assert len(held) > 40 / most
+
+
 def test_joins_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FEW", 0)
     texts = borderline(random.Random(26), 10) + ["", None, "one"]
