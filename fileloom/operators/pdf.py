@@ -6,6 +6,7 @@ import re
 import zlib
 
 from fileloom.operators.errors import ConversionError, utf8
+from fileloom.operators.pdfcrypt import Lock
 from fileloom.operators.tabular import rust_lines
 from fileloom.operators.tree import WHITE
 
@@ -230,14 +231,14 @@ class Document:
             raise ConversionError("Failed to load PDF: invalid file header")
         self.objects: dict[int, object] = {}
         self.streams: dict[int, bytes] = {}
-        root = None
+        root, generations = None, {}
         for m in _OBJECT.finditer(data):  # later ones of a number replace earlier ones
             reader = Reader(data, m.end())
             try:
                 value = reader.value()
             except (EOFError, ValueError, TypeError, RecursionError):
                 continue
-            self.objects[int(m.group(1))] = value
+            self.objects[int(m.group(1))], generations[int(m.group(1))] = value, int(m.group(2))
             reader.skip()
             if isinstance(value, dict) and data.startswith(b"stream", reader.at):
                 at = reader.at + 6
@@ -245,25 +246,39 @@ class Document:
                 length = value.get("Length")
                 end = at + length if isinstance(length, int) and data[at + length : at + length + 12].lstrip().startswith(b"endstream") else data.find(b"endstream", at)
                 self.streams[int(m.group(1))] = data[at : end if end >= 0 else len(data)]
-        for n in list(self.streams):
-            d = self.objects[n]
-            if isinstance(d, dict) and d.get("Type") == "ObjStm":
-                self._unpack(n, d)
-            if isinstance(d, dict) and d.get("Type") == "XRef" and "Root" in d:
-                root = d["Root"]
+        trailers = [d for n in self.streams if isinstance(d := self.objects[n], dict) and d.get("Type") == "XRef" and "Root" in d]
         at = data.rfind(b"trailer")
-        while root is None and at >= 0:
+        while at >= 0 and not any("Root" in t for t in trailers):
             try:
                 trailer = Reader(data, at + 7).value()
-                root = trailer.get("Root") if isinstance(trailer, dict) else None
+                trailers += [trailer] if isinstance(trailer, dict) else []
             except EOFError:
                 pass
             at = data.rfind(b"trailer", 0, at)
+        root = next((t["Root"] for t in reversed(trailers) if "Root" in t), None)
+        self._unlock(trailers, generations)
+        for n in list(self.streams):
+            d = self.objects[n]
+            if isinstance(d, dict) and d.get("Type") == "ObjStm":
+                self._unpack(n, d)
         self.root = self.get(root) or next((v for v in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"), None)
         if not isinstance(self.root, dict):
             raise ConversionError("Failed to load PDF: no document catalog")
-        if "Encrypt" in data[-2048:].decode("latin-1"):
-            raise ConversionError("Failed to extract PDF text: the document is encrypted")
+
+    def _unlock(self, trailers: list[dict], generations: dict[int, int]) -> None:
+        """Decrypts the streams of a document that opens without a password."""
+        own = next((t for t in reversed(trailers) if "Encrypt" in t), None)
+        if own is None:
+            return
+        try:
+            first_id = (self.get(own.get("ID")) or [b""])[0]
+            lock = Lock({k: self.get(v) for k, v in self.get(own["Encrypt"]).items()}, first_id)
+        except (KeyError, TypeError, AttributeError, ValueError) as e:
+            raise ConversionError(f"Failed to extract PDF text: the document is encrypted {e}") from None
+        for n, raw in self.streams.items():
+            d = self.objects[n]
+            if not (isinstance(d, dict) and d.get("Type") == "XRef"):
+                self.streams[n] = lock.open(n, generations[n], raw)
 
     def _unpack(self, number: int, d: dict) -> None:
         raw = self.stream(number)
