@@ -1,4 +1,4 @@
-"""OpenEXR: scan lines of half, float or integer channels, plain, RLE or ZIP."""
+"""OpenEXR: scan lines or tiles (of several levels the largest) of half, float or integer channels, plain, RLE or ZIP."""
 
 from __future__ import annotations
 
@@ -37,11 +37,28 @@ def _runs(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _strips(data: bytes, at: int, step: int, top: int, width: int, height: int):
+    """(x, y, columns, rows, bytes) of each run of lines."""
+    for offset in struct.unpack_from(f"<{-(-height // step)}Q", data, at):
+        y, size = struct.unpack_from("<iI", data, offset)
+        yield 0, y - top, width, min(step, height - (y - top)), data[offset + 8 : offset + 8 + size]
+
+
+def _tiles(data: bytes, at: int, tag: bytes, width: int, height: int):
+    """The same of each tile of the largest level, which comes first."""
+    wide, high = struct.unpack_from("<II", tag)
+    for offset in struct.unpack_from(f"<{-(-width // wide) * -(-height // high)}Q", data, at):
+        i, j, _, _, size = struct.unpack_from("<4iI", data, offset)
+        x, y = i * wide, j * high
+        yield x, y, min(wide, width - x), min(high, height - y), data[offset + 20 : offset + 20 + size]
+
+
 def decode(data: bytes) -> np.ndarray:
     if data[:4] != b"\x76\x2f\x31\x01":
         raise ValueError("invalid EXR signature")
-    if struct.unpack_from("<I", data, 4)[0] & 0x1A00:
-        raise ValueError("tiled, deep and multi-part files are not supported")
+    flags = struct.unpack_from("<I", data, 4)[0]
+    if flags & 0x1800:
+        raise ValueError("deep and multi-part files are not supported")
     at, tags = 8, {}
     while data[at]:
         name_end = data.index(0, at)
@@ -65,19 +82,15 @@ def decode(data: bytes) -> np.ndarray:
     width, height = right - left + 1, bottom - top + 1
     checked(width, height)
     planes = {name: np.zeros((height, width), np.float32) for name, _, _ in channels}
-    step = _LINES[packing]
-    for offset in struct.unpack_from(f"<{-(-height // step)}Q", data, at):
-        y, size = struct.unpack_from("<iI", data, offset)
-        body, y = data[offset + 8 : offset + 8 + size], y - top
-        rows = min(step, height - y)
-        full = rows * width * sum(n for _, _, n in channels)
-        if packing and len(body) < full:
+    pixel = sum(n for _, _, n in channels)
+    for x, y, cols, rows, body in _tiles(data, at, tags[b"tiles"], width, height) if flags & 0x200 else _strips(data, at, _LINES[packing], top, width, height):
+        if packing and len(body) < rows * cols * pixel:
             body = _undo(_runs(body) if packing == 1 else zlib.decompress(body))
         pos = 0
         for k in range(rows):
             for name, kind, n in channels:
-                planes[name][y + k] = np.frombuffer(body, kind, width, pos)
-                pos += n * width
+                planes[name][y + k, x : x + cols] = np.frombuffer(body, kind, cols, pos)
+                pos += n * cols
     grey = planes.get(b"Y")
     out = np.ones((height, width, 4), np.float32)
     for k, name in enumerate((b"R", b"G", b"B")):

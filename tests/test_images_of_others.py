@@ -134,8 +134,9 @@ def test_dds():
     assert images.decode(dds(b"DXT5", b"\xff\0" + (0 | 1 << 3 | 2 << 6 | 7 << 9).to_bytes(6, "little") + color), "dds")[0, :, 3].tolist() == [255, 0, 218, 36]
 
 
+@pytest.mark.parametrize("tiled", [False, True])
 @pytest.mark.parametrize("packing", [0, 1, 2, 3])
-def test_exr(packing):
+def test_exr(packing, tiled):
     width, height = 5, 18
     rgb = {c: np.linspace(0, 1.2, width * height).reshape(height, width).astype(np.float32) * s for c, s in (("B", 0.5), ("G", 0.25), ("R", 1))}
 
@@ -151,10 +152,17 @@ def test_exr(packing):
 
     tag = lambda n, k, v: n.encode() + b"\0" + k.encode() + b"\0" + struct.pack("<I", len(v)) + v
     channels = b"".join(n.encode() + b"\0" + struct.pack("<iB3xii", kind, 0, 1, 1) for n, kind in (("B", 1), ("G", 2), ("R", 1))) + b"\0"
-    head = b"\x76\x2f\x31\x01\2\0\0\0" + tag("channels", "chlist", channels) + tag("compression", "compression", bytes([packing])) + tag("dataWindow", "box2i", struct.pack("<4i", 2, 3, 2 + width - 1, 3 + height - 1)) + b"\0"
+    tiles = tag("tiles", "tiledesc", struct.pack("<IIB", 4, 7, 1)) if tiled else b""
+    head = b"\x76\x2f\x31\x01\2" + bytes([2 * tiled]) + b"\0\0" + tiles + tag("channels", "chlist", channels) + tag("compression", "compression", bytes([packing])) + tag("dataWindow", "box2i", struct.pack("<4i", 2, 3, 2 + width - 1, 3 + height - 1)) + b"\0"
     step = 16 if packing == 3 else 1
     blocks = []
-    for y in range(0, height, step):
+    for j, i in [(j, i) for j in range(3) for i in range(2)] * tiled:
+        raw = b"".join(rgb[c][k, 4 * i : 4 * i + 4].astype("<f4" if c == "G" else "<f2").tobytes() for k in range(7 * j, min(7 * j + 7, height)) for c in "BGR")
+        body = packed(raw)
+        blocks.append(struct.pack("<4iI", i, j, 0, 0, len(body)) + body)
+    if tiled:
+        blocks.append(struct.pack("<4iI", 0, 0, 1, 1, 0))  # a level that is not read
+    for y in range(0, 0 if tiled else height, step):
         raw = b"".join(rgb[c][k].astype("<f4" if c == "G" else "<f2").tobytes() for k in range(y, min(y + step, height)) for c in "BGR")
         body = packed(raw)
         blocks.append(struct.pack("<iI", y + 3, len(body)) + body)
