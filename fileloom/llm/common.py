@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a kernel works on at a time; temporaries are some 100 bytes for each.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Longer slices are hashed one by one.
 LONG_SLICE = 256
 
