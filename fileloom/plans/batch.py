@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fileloom.functions import formats as fm
@@ -17,6 +17,8 @@ from fileloom.plans.registry import converted
 PENDING, DONE, ERROR = "pending", "done", "error"
 #: Bytes of outputs that one archive holds at most, about; a larger batch is packed into several.
 VOLUME_BYTES = 64 << 20
+#: Bytes that an entry counts beside its data: a header in a tar.
+ENTRY_BYTES = 512
 
 
 def ingest(files: DataFrame, id_col: str | None = None) -> DataFrame:
@@ -87,36 +89,81 @@ def manifest(batch: DataFrame) -> DataFrame:
     return entries(batch).select("id", "name", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("sha256"))
 
 
+def _told_apart(batches):
+    """(row, volume, position, name) of rows (row, volume, position, name, root) sorted by root and position: names get (n) as in one archive."""
+    at, seen, tried = None, set(), {}
+    for b in batches:
+        names = []
+        for name, root in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            if root != at:
+                at, seen, tried = root, set(), {}
+            names.append(archives.unique_name(name, seen, tried))
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(names, pa.string())], ["row", "volume", "position", "name"])
+
+
+def placed(own: DataFrame, volume_bytes: int) -> DataFrame:
+    """row, volume, position and name of each of own's entries (row, id, name, data) in one sequence by id, cut into volumes.
+
+    Data is not sorted, only its size. Rows are dealt to ranges of the order and numbered there; the ranges' totals, a row
+    for each, say where they begin. Ties in id go by name and data, rows without an id come last.
+    """
+    order = [F.col("id").asc_nulls_last(), F.col("name"), F.col("digest"), F.col("row")]
+    size = F.coalesce(F.octet_length("data"), F.lit(0)).cast("long") + ENTRY_BYTES
+    rows = own.select("row", "id", "name", F.xxhash64("data").alias("digest"), size.alias("size"))
+    rows = rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(ahead(w)), F.lit(0))
+    totals = rows.groupBy("range").agg(F.count("*").alias("held"), F.sum("size").alias("bytes"))
+    starts = totals.select("range", before("held", Window.orderBy("range")).alias("first"), before("bytes", Window.orderBy("range")).alias("begin"))
+    within = Window.partitionBy("range").orderBy(*order)
+    position = F.col("first") + F.row_number().over(within) - 1
+    volume = F.floor((F.col("begin") + before("size", within)) / volume_bytes).cast("int")
+    rows = rows.join(F.broadcast(starts), "range").select("row", volume.alias("volume"), position.alias("position"), "name").persist(StorageLevel.DISK_ONLY)
+    # a name without its numbers and all names that are made of it have the same root
+    ext = F.regexp_extract("name", r"\.[^.]*\z", 0)
+    stem = F.substring("name", F.lit(1), F.length("name") - F.length(ext))
+    rows = rows.withColumn("root", F.concat(F.regexp_replace(stem, r"( \([0-9]+\))+\z", ""), ext))
+    tangled = rows.where("name <> root").select("root").distinct()
+    plain = rows.join(tangled, "root", "left_anti")
+    n = F.row_number().over(Window.partitionBy("name").orderBy("position")) - 1
+    told = F.when(n == 0, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext))
+    plain = plain.select("row", "volume", "position", told.alias("name"))
+    others = rows.join(tangled, "root", "left_semi").select("row", "volume", "position", "name", "root")
+    others = others.repartition("root").sortWithinPartitions("root", "position")
+    return plain.unionByName(others.mapInArrow(_told_apart, "row long, volume int, position long, name string"))
+
+
 def pack(batch: DataFrame, fmt: str, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
-    """volume, archive, mime, n_entries: archives of the batch's outputs in order of id; none of nothing or an unknown format.
+    """volume, archive, mime, n_entries, first: archives of the batch's outputs in order of id; none of nothing or an unknown format.
 
-    One archive, unless the outputs are larger than volume_bytes: then rows are dealt to volumes by a hash of their id,
-    so no task gathers the batch. Outputs are kept on the executors' disks between the sum of their sizes and the packing, so
-    that each conversion runs once (again where an executor is lost); they stay until the session's cache is cleared.
+    One archive, unless the outputs are larger than volume_bytes: then each volume goes on where the one before ends (first
+    is the position of its first entry in the batch), and a name is told apart from those of all volumes, so that volumes
+    unpacked to one folder are the batch. Volumes ascend, with gaps behind entries that are larger. No task gathers the
+    batch. Outputs are kept on the executors' disks between numbering and packing them, so that each conversion runs once
+    (again where an executor is lost); they stay until the session's cache is cleared.
     """
-    out = "volume int, archive binary, mime string, n_entries long"
+    out = "volume int, archive binary, mime string, n_entries long, first long"
     if fmt not in archives.FORMATS:
         return batch.sparkSession.createDataFrame([], out)
-    own = entries(batch).persist(StorageLevel.DISK_ONLY)
-    total = own.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first().n
-    volumes = max(1, -(-total // volume_bytes))
+    own = entries(batch).withColumn("row", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
 
     def make(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "name", "data", "volume")), strict=True), key=lambda r: (r[0] is None, r[0]))
-        packed = archives.create(fmt, [(n, d) for _, n, d, _ in rows])
-        return pa.table({"volume": pa.array([rows[0][3]], pa.int32()), "archive": pa.array([packed], pa.binary()), "mime": [archives.FORMATS[fmt]], "n_entries": pa.array([len(rows)], pa.int64())})
+        table = table.sort_by("position")
+        volume, first = table.column("volume")[0].as_py(), table.column("position")[0].as_py()
+        packed = archives.create(fmt, [(n.as_py(), d.as_py() or b"") for n, d in zip(table.column("name"), table.column("data"), strict=True)])
+        return pa.table({"volume": pa.array([volume], pa.int32()), "archive": pa.array([packed], pa.binary()), "mime": [archives.FORMATS[fmt]], "n_entries": pa.array([table.num_rows], pa.int64()), "first": pa.array([first], pa.int64())})
 
-    return own.withColumn("volume", F.pmod(F.xxhash64("id"), F.lit(volumes)).cast("int")).groupBy("volume").applyInArrow(make, out)
+    return own.select("row", "data").join(placed(own, volume_bytes).hint("shuffle_hash"), "row").groupBy("volume").applyInArrow(make, out)
 
 
 def unpack(packed: DataFrame, fmt: str) -> DataFrame:
-    """volume, position, name and data of the entries of archives."""
+    """volume, position in the batch, name and data of the entries of archives."""
 
     def read(batches):
         for b in batches:
-            rows = [(v, k, n, d) for v, a in zip(b.column(0).to_pylist(), b.column(1), strict=True) for k, (n, d) in enumerate(archives.manifest(fmt, a.as_py()))]
-            if rows:
+            for v, first, archive in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                rows = [(v, first + k, n, d) for k, (n, d) in enumerate(archives.manifest(fmt, archive.as_py()))]
                 kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["volume", "position", "name", "data"])
 
-    return packed.select("volume", "archive").mapInArrow(read, "volume int, position int, name string, data binary")
+    return packed.select("volume", "first", "archive").mapInArrow(read, "volume int, position int, name string, data binary")

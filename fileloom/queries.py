@@ -753,7 +753,7 @@ def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _archive(fmt: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """The archives' entries, read back out of them; up to 64 MB of outputs are one volume, and so one sequence."""
+        """The archives' entries, read back out of them; volumes of 64 MB go on one after the other, and so are one sequence."""
         rows = batch.unpack(batch.pack(encoded(spark, sf_dir), fmt), fmt)
         return rows.select("position", "name", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("sha256"))
 

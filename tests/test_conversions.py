@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fileloom.functions import formats as fm
 from fileloom.functions import tabular, text
-from fileloom.operators import audio, images, jsontext, pdf
+from fileloom.operators import archives, audio, images, jsontext, pdf
 from fileloom.plans import batch, registry
 
 
@@ -273,6 +273,31 @@ def test_batch_and_archives(spark):
     assert batch.remove_file(own, 0).count() == 4
 
 
+def test_volumes_are_one_sequence(spark):
+    """However many volumes: positions go on, and names are told apart as in one archive."""
+    names = ["a", "a (1)", "a", "b", "a", "b", "c (1)", "c (1)", "", "", " (1)", "a (1)", "d (1) (1)", "d", "d", "d (1)", "e", "e", "e"]
+    endings = ["txt", "b (1)"]
+    rows = [(7 * k % 38, f"{names[k % 19]}.{endings[k // 19]}", b"x" * (k % 3)) for k in range(38)]
+    rows += [(50 + k, n, b"") for k, n in enumerate(["g", "g", "g (1)", "g"])] + [(None, "g", b"z"), (None, "a.txt", None)]
+    own = spark.createDataFrame(rows, "id long, name string, data binary").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))
+    want = [(k, n, d or b"") for k, (n, d) in enumerate(archives.unique_names([r[1:] for r in order]))]
+    done = own.selectExpr("id", "name", "'bin' as target", "'done' as status", "data as output")
+    told = batch.placed(own.withColumn("row", F.monotonically_increasing_id()), 1).orderBy("position").collect()
+    assert [(r.position, r.name) for r in told] == [w[:2] for w in want] and len({r.volume for r in told}) == len(rows)
+    for fmt in archives.FORMATS:
+        one = [(r.position, r.name, bytes(r.data)) for r in batch.unpack(batch.pack(done, fmt), fmt).orderBy("position").collect()]
+        packed = batch.pack(done, fmt, 2000)
+        many = batch.unpack(packed, fmt).orderBy("position").collect()
+        assert [(r.position, r.name, bytes(r.data)) for r in many] == one and len({n for _, n, _ in one}) == len(rows)
+        assert 10 < packed.count() < 20 and [r.volume for r in many] == sorted(r.volume for r in many)
+
+
+def test_many_files_of_one_name_take_linear_time():
+    names = [n for n, _ in archives.unique_names([("x.md", b"")] * 50_000)]
+    assert names[0] == "x.md" and names[-1] == "x (49999).md" and len(set(names)) == 50_000
+
+
 def test_sql_function(spark):
     registry.register(spark)
     assert spark.sql("select cast(fileloom_convert(cast('a,b' as binary), 'csv', 'tsv', null).output as string) as x").first().x == "a\tb\n"
