@@ -20,6 +20,11 @@ CHUNK_BYTES = 1 << 19
 #: Longer slices are hashed one by one.
 LONG_SLICE = 256
 
+#: For a shared folder that is mounted: Hadoop's usual local file system starts two processes (chmod) for each file that it
+#: writes, one of them for the file of checksums beside it; the plain one starts one. Until such a process has its own
+#: program it shares the executor's memory, and tools that add up processes count that twice.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -38,7 +43,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it again. The table goes when it is dropped, or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fileloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path)
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))

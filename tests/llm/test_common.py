@@ -18,6 +18,15 @@ def test_tables_go_when_they_are_dropped(spark):
     common.dropped(b)
 
 
+def test_tables_are_written_without_files_of_checksums(spark):
+    """Each file of checksums costs a process of its own, besides the file's."""
+    own = common.materialize(spark.range(8).repartition(2), "test")
+    names = os.listdir(own._fileloom_path.removeprefix("file:"))
+    assert [n for n in names if n.endswith(".parquet")] and not [n for n in names if n.endswith(".crc")]
+    assert sorted(r.id for r in own.collect()) == list(range(8))
+    common.dropped(own)
+
+
 class Session:
     """As much of a session as the choice of the shared folder asks."""
 
